@@ -1,4 +1,6 @@
 """The queries over the test tables and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tracemill.plans import compare_queries, coverage_queries, grading_queries, mining_queries, scoring_queries, text_queries  # noqa: F401
+from tracemill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
