@@ -28,3 +28,22 @@ def test_run(spark, sf_dir):
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     rows = out.collect()
     assert 0 < len(rows) < 200 and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_edges_extra_columns_and_empty(spark, sf_dir):
+    """Nulls, repeated rows and columns named like an operator's own pass through every stage."""
+    rows = [(1, "some words here", None, "s", None, 0.5, "x"), (1, "some words here", None, "s", None, 0.5, "x"), (2, None, "en", None, 3, None, None), (None, "some words here", "en", "s", 3, None, None), (None, None, None, None, None, None, None), (3, "12345", "en", "s", 5, 0.1, "y"), (4, "token = abcdef123456", "en", "s", 5, 0.1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, found string")
+    wanted = {"language": [None, 1, 1, 4], "near_duplicates": [None, 1, 4], "decontaminate": [None, 1, 4], "mask_secrets": [None, 1, 4]}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        out = stage(spark, now, sf_dir)
+        got = out.collect()
+        assert out.columns == docs.columns
+        assert sorted((r.doc_id for r in got), key=lambda x: -1 if x is None else x) == wanted[name], name
+        now = spark.createDataFrame(got, docs.schema)
+    masked = [r for r in now.collect() if r.doc_id == 4][0]
+    assert masked.text == "[assign]" and masked.n_chars == 8 and masked.found == "y"
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, now, sf_dir).count() == 3 and last(spark, docs.limit(0), sf_dir).count() == 0

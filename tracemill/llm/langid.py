@@ -151,18 +151,18 @@ def _sum(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     return keys, np.bincount(at, np.concatenate([c for _, c in own]), len(keys)).astype(np.int64)
 
 
-def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, plus lang_pred and score."""
+def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of `docs`, plus the prediction and its score, under names that `docs` must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     at, names = docs.columns.index(text_col), docs.columns
-    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select("*").schema.add(pred_col, "string").add(score_col, "double")
 
     def run(batches):
         p = shared.value
         for batch in batches:
             found = [p.predict(t.as_py()) for t in batch.column(at)]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, pred_col, score_col])
 
     return docs.mapInArrow(run, schema)
 

@@ -186,8 +186,8 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns of `docs`, and `found`: spans as array<struct<start, ord, kind, end>>, sorted."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, found_col: str = "found") -> DataFrame:
+    """All columns of `docs`, and `found_col`: spans as array<struct<start, ord, kind, end>>, sorted."""
     queries = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
     indexed = {k: q for k, q in queries.items() if q is not None}
     index = postings(docs, id_col, text_col, sorted({t for q in indexed.values() for conj in q for t in conj}))
@@ -200,7 +200,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
         if k in indexed:
             test = (F.coalesce("_tm_rules", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) & test
         columns.append(F.when(test, matches(text, r, k)).otherwise(empty))
-    return keyed.withColumn("found", F.array_sort(F.concat(*columns))).drop("_tm_key", "_tm_rules")
+    return keyed.withColumn(found_col, F.array_sort(F.concat(*columns))).drop("_tm_key", "_tm_rules")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
