@@ -118,3 +118,33 @@ def skill_commands(triggers: DataFrame, commands: DataFrame) -> DataFrame:
     runs = t.groupBy("skill").agg(F.count("*").alias("skill_runs"))
     pairs = t.join(commands.select("run_id", "cmd").distinct(), "run_id").groupBy("skill", "cmd").agg(F.count("*").alias("runs"))
     return pairs.join(runs, "skill").withColumn("status", F.when(F.col("skill_runs") < PROBES["min_runs"], "insufficient-data").otherwise("ok"))
+
+
+def blocked_refs(reads: DataFrame, declared: DataFrame) -> DataFrame:
+    """References that some read was denied, observed (outcome) or declared (status): (ref)."""
+    seen = reads.filter(F.col("outcome") == "permission-artifact").select("ref")
+    return seen.union(declared.filter(F.col("status") == "blocked").select("ref")).filter("ref is not null").distinct()
+
+
+def excluded_hits(triggers: DataFrame, reps: DataFrame) -> DataFrame:
+    """Skills that excluded runs triggered: a tripwire for exclusions that hide something.  (skill, runs)."""
+    out = reps.filter("excluded").select("run_id").distinct()
+    return triggers.join(out, "run_id", "left_semi").groupBy("skill").agg(F.count_distinct("run_id").alias("runs"))
+
+
+def provenance(runs: DataFrame) -> DataFrame:
+    """Runs by where their facts come from; an unknown source is its own class."""
+    kind = F.when(F.col("source") == "adapter-trace", "adapter-reported").when(F.col("source").isNull(), "unknown").otherwise("harness-observed")
+    return runs.groupBy(kind.alias("provenance")).agg(F.count_distinct("run_id").alias("runs"))
+
+
+def axes_omitted(experiments: DataFrame) -> DataFrame:
+    """Adds `omitted`: sections that an experiment can't have.  has_inventory, n_probes, n_valid."""
+    return experiments.withColumn("omitted", F.array_compact(F.array(F.when(~F.col("has_inventory"), F.lit("refCoverage")), F.when(F.col("n_probes") == 0, F.lit("cli")), F.when(F.col("n_valid") == 0, F.lit("proximity")))))
+
+
+def inventory_status(experiments: DataFrame) -> DataFrame:
+    """Adds what the reference inventory of an experiment rests on, and why a section is null.  runtime, snapshot, declared, backfill."""
+    status = F.when(F.col("snapshot"), "snapshot").when(F.col("declared"), "adapter-declared").when(F.col("runtime") != "claude-code", "external-runtime").when(F.col("backfill"), "none-backfill").otherwise("unknown")
+    out = experiments.withColumn("status", status)
+    return out.withColumn("reason", F.when(F.col("status") == "external-runtime", "external-runtime-self-managed").when(F.col("status") == "none-backfill", "no-inventory-snapshot").when(F.col("status") == "unknown", "unknown-inventory-status"))

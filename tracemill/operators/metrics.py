@@ -102,3 +102,26 @@ def paired_models(scores: DataFrame, a: str, b: str) -> DataFrame:
 def skill_trend(scores: DataFrame) -> DataFrame:
     """A skill's composites in order of time within comparable cohorts (suite, model, runtime)."""
     return scores.groupBy("skill", "suite_sha", "model", "runtime").agg(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "composite"))), lambda x: x["composite"]).alias("series"))
+
+
+def skill_body_cost(calls: DataFrame) -> DataFrame:
+    """Tokens of the skill bodies that a run loaded (a quarter of their characters); null if none was seen."""
+    from tracemill.config import TOKEN_CHARS
+    from tracemill.functions.num import utf16_len
+
+    return calls.groupBy("run_id").agg(F.floor(F.sum(F.when(F.col("name") == "Skill", utf16_len(F.col("skill_body")))) / TOKEN_CHARS + 0.5).cast("long").alias("body_tokens"))
+
+
+def sum_efficiency(reps: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens, time and cost added up; diagnostic, never part of a score."""
+    return reps.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("u_in", "u_out", "u_cache_w", "u_cache_r", "duration_ms", "cost_usd")))
+
+
+def skill_context(skills: DataFrame) -> DataFrame:
+    """What a skill file costs while listed (its name and description) and once loaded (its body).  name, text."""
+    from tracemill.config import TOKEN_CHARS
+
+    front = F.regexp_extract("text", r"(?s)^---\r?\n(.*?)\r?\n---", 1)
+    desc = F.regexp_extract(front, r"(?m)^description:\s*(.+)$", 1)
+    body = F.length(F.regexp_replace("text", r"(?s)^---\r?\n.*?\r?\n---\r?\n?", ""))
+    return skills.select("name", F.ceil((F.length("name") + F.length(desc)) / TOKEN_CHARS).alias("listing_tokens"), F.ceil(body / TOKEN_CHARS).alias("body_tokens"))
