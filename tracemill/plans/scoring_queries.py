@@ -85,7 +85,7 @@ def g11_two_proportion_z(spark, sf):
 
 @query(f"""WITH {REPS}, s AS (SELECT order_id, task_id, repeat AS step, CAST(order_id % 4 AS DOUBLE) / 3 AS reward, CASE WHEN order_id % 2 = 0 THEN 0.5 ELSE 0 END AS m FROM reps),
 b AS (SELECT *, coalesce(sum(CASE WHEN reward < m THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
-SELECT task_id, count(*) FILTER (WHERE before = 0) AS steps_run, count(*) AS steps, min(step) FILTER (WHERE before = 0 AND reward < m) AS aborted_at_step, {r('avg(reward) FILTER (WHERE before = 0)', 2)} AS reward, CAST(bool_and(before = 0 AND reward = 1) AS INTEGER) AS C FROM b GROUP BY ALL""")
+SELECT task_id, count(*) FILTER (WHERE before = 0) AS steps_run, count(*) AS steps, min(step) FILTER (WHERE before = 0 AND reward < m) AS aborted_at_step, {r(r('avg(reward) FILTER (WHERE before = 0)'), 2)} AS reward, CAST(bool_and(before = 0 AND reward = 1) AS INTEGER) AS C FROM b GROUP BY ALL""")
 def g9_multi_step(spark, sf):
     s = reps(spark, sf).select("task_id", F.col("repeat").cast("long").alias("step"), (F.col("order_id") % 4).alias("passed"), F.lit(3).alias("total"), F.when(F.col("order_id") % 2 == 0, 0.5).otherwise(0.0).alias("min_reward"))
     return scoring.multi_step(s, ["task_id"]).withColumn("reward", js_round(F.col("reward"), 2))
@@ -168,7 +168,7 @@ def u4_benjamini_hochberg(spark, sf):
 _V = "FILTER (WHERE NOT excluded)"
 _EQ = "(0e0 + coalesce(CAST(u_in AS DOUBLE), 0e0) * 1e0 + coalesce(CAST(u_out AS DOUBLE), 0e0) * 5e0 + coalesce(CAST(u_cache_r AS DOUBLE), 0e0) * 1e-1 + coalesce(CAST(u_cache_w AS DOUBLE), 0e0) * 125e-2)"
 _ARM = f"""arms AS (SELECT arm, count(*) {_V} AS n, count(*) AS attempted, count(*) FILTER (WHERE excluded) AS excluded_repeats, {r(f'avg(CAST(l1_pass AS INTEGER)) {_V}')} AS l1_rate, {r(f'avg(CAST(l2_pass AS INTEGER)) {_V}')} AS l2_rate, {r(f'avg(CAST(l3_pass AS INTEGER)) {_V}')} AS l3_rate,
-  {r(f'avg(rounds) {_V}')} AS mean_turns, {r(f'avg(CASE WHEN u_in IS NOT NULL THEN {_EQ} END) {_V}', 2)} AS mean_equiv_tokens, {r(f'avg(duration_ms / 1000e0) {_V}')} AS mean_seconds, count(*) FILTER (WHERE flow_status = 'incomplete') AS flow_incomplete, {r("count(*) FILTER (WHERE flow_status = 'incomplete') / CAST(count(*) AS DOUBLE)")} AS flow_rate FROM reps GROUP BY arm)"""
+  {r(f'avg(rounds) {_V}')} AS mean_turns, {r(r(f'avg(CASE WHEN u_in IS NOT NULL THEN {_EQ} END) {_V}'), 2)} AS mean_equiv_tokens, {r(f'avg(duration_ms / 1000e0) {_V}')} AS mean_seconds, count(*) FILTER (WHERE flow_status = 'incomplete') AS flow_incomplete, {r("count(*) FILTER (WHERE flow_status = 'incomplete') / CAST(count(*) AS DOUBLE)")} AS flow_rate FROM reps GROUP BY arm)"""
 
 
 @query(f"WITH {REPS}, {_ARM} SELECT * FROM arms")

@@ -102,7 +102,7 @@ def l20_redact(spark, sf):
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 2592000000 WHEN 1 THEN 43200000 WHEN 2 THEN 5400000 WHEN 3 THEN 1209600000 WHEN 4 THEN 45000 END AS ms,
-  CASE WHEN p_partkey < 1024 THEN CAST(p_partkey AS VARCHAR) || ' B' WHEN p_partkey < 1048576 THEN printf('%.1f KB', p_partkey / 1024e0) ELSE printf('%.1f MB', p_partkey / 1048576e0) END AS size FROM part""")
+  CASE WHEN p_partkey < 1024 THEN CAST(p_partkey AS VARCHAR) || ' B' WHEN p_partkey < 1048576 THEN printf('%.1f KB', floor(p_partkey / 1024e0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', p_partkey / 1048576e0) END AS size FROM part""")
 def t6_durations(spark, sf):
     k = F.col("p_partkey")
     d = F.when(k % 6 == 0, "30d").when(k % 6 == 1, " 12H ").when(k % 6 == 2, "90m").when(k % 6 == 3, "2w").when(k % 6 == 4, "45s").otherwise("soon")
