@@ -24,15 +24,18 @@ def matrix(events: DataFrame, window: int = PROXIMITY["window"], min_cases: int
     after = (F.col("ob") > F.col("oa")) | ((F.col("ob") == F.col("oa")) & (F.col("pb") > F.col("pa")))
     near = left.join(right, ["run_id", "bin"]).filter(after & (F.col("ob") - F.col("oa") <= window) & ~((F.col("from_id") == F.col("to_id")) & (F.col("from_type") == F.col("to_type"))))
     ends = ["from_type", "from_id", "to_type", "to_id"]
-    # gaps are integers: counted by gap, then weighed, so the sum doesn't depend on the order of rows
-    gaps = near.groupBy(*ends, (F.col("ob") - F.col("oa")).alias("gap")).agg(F.count("*").alias("n"))
-    weight = gaps.groupBy(*ends).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("gap", "n"))), F.lit(0.0), lambda acc, x: acc + x["n"] / (x["gap"] + 1.0)).alias("weight"))
-    sets = near.groupBy(*ends).agg(F.count_distinct("case_a").alias("pair_cases"), F.count_distinct("run_id").alias("runs"))
+    # one pass over the pairs: counts by gap for each run, then everything else from those; gaps are integers, so the
+    # weight doesn't depend on the order of rows
+    by_gap = [F.count_if(F.col("ob") - F.col("oa") == g).alias(f"_g{g}") for g in range(window + 1)]
+    per_run = near.groupBy(*ends, "case_a", "run_id").agg(*by_gap)
+    total = per_run.groupBy(*ends).agg(*(F.sum(f"_g{g}").alias(f"_g{g}") for g in range(window + 1)), F.count_distinct("case_a").alias("pair_cases"), F.count_distinct("run_id").alias("runs"))
+    weight = sum((F.col(f"_g{g}") / (g + 1.0) for g in range(window + 1)), F.lit(0.0))
+    sets = total.select(*ends, weight.alias("weight"), "pair_cases", "runs")
     nodes = e.groupBy("type", "id").agg(F.count("*").alias("occ"), F.count_distinct("case_id").alias("cases"))
     n = e.agg(F.count_distinct("case_id").alias("n_cases"))
     a = nodes.select(F.col("type").alias("from_type"), F.col("id").alias("from_id"), F.col("occ"), F.col("cases").alias("cases_a"))
     b = nodes.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"), F.col("cases").alias("cases_b"))
-    out = weight.join(sets, ends).join(a, ["from_type", "from_id"]).join(b, ["to_type", "to_id"]).crossJoin(F.broadcast(n))  # n: one row
+    out = sets.join(a, ["from_type", "from_id"]).join(b, ["to_type", "to_id"]).crossJoin(F.broadcast(n))  # n: one row
     pa, pb, pab = (F.col(c) / F.col("n_cases") for c in ("cases_a", "cases_b", "pair_cases"))
     lift = F.when((F.col("pair_cases") >= min_cases) & (pa > 0) & (pb > 0), js_round(pab / (pa * pb), 4))
     return out.select(*ends, js_round(F.col("weight") / F.col("occ"), 4).alias("closeness"), js_round(F.when(F.col("cases_a") > 0, F.col("pair_cases") / F.col("cases_a")), 4).alias("confidence"), lift.alias("lift"), "pair_cases", "runs")
