@@ -13,16 +13,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import worker_cache
 
 SPACE = "▁"
-#: Entries in a worker's cache of encoded stretches, and the longest stretch that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Entries in each of the two generations of a worker's cache of encoded stretches, and the longest stretch that is cached.
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
+#: Remembered pairs, and rows of a batch that are encoded before their results go out.
+PAIRS, ROWS = 400_000, 1024
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ class PrefixTable:
         self.rank = {p: (model.scores[i], i) for i, p in enumerate(model.pieces) if model.normal[i]}
         self.chars = frozenset(p for p in self.rank if len(p) == 1)
         self.by_byte = {i: b for b, i in enumerate(model.byte_ids)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by first id << 24 | second id
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
             if self.merged(p) == [p]:  # entries that merging can never reach are no tokens
@@ -80,38 +84,38 @@ class PrefixTable:
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 24 | b
         known = self.fits.get(key)
         if known is None:
             x, y = self.model.pieces[a], self.model.pieces[b]
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self.merged(x + y) == [x, y]
         return known
 
     def _stretch(self, s: str, out: list[int]) -> None:
         """Ids of a stretch whose characters are all in the vocabulary."""
-        last = [-1] * (len(s) + 1)
-        fits, compatible = self.fits, self.compatible
-        sizes = [0] * (len(s) + 1)
+        n = len(s)
+        last, sizes = [-1] * (n + 1), [0] * (n + 1)
+        fits, compatible = self.fits.get, self.compatible
         for end, (token, size) in self.automaton.iter(s):
             end += 1
             if last[end] >= 0:
                 continue
-            start = end - size
-            if start:
-                before = last[start]
+            if end > size:
+                before = last[end - size]
                 if before < 0:
                     continue
-                ok = fits.get((before, token))
+                ok = fits(before << 24 | token)
                 if not (compatible(before, token) if ok is None else ok):
                     continue
             last[end], sizes[end] = token, size
-        ids, at = [], len(s)
+        ids, at = [], n
         while at:
             ids.append(last[at])
             at -= sizes[at]
-        out.extend(reversed(ids))
+        ids.reverse()
+        out += ids
 
     def encode_normalized(self, s: str) -> list[int]:
         out: list[int] = []
@@ -171,29 +175,34 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     def run(batches):
         m = broadcast.value
         table = worker_cache(("pieces", len(m.pieces), hash(m.pieces)), lambda: PrefixTable(m))
-        cache = worker_cache(("stretches", len(m.pieces), hash(m.pieces)), dict)
-
-        def one(part: str) -> tuple[str, int, str]:
-            ids = table.encode_normalized(part)
-            found = (",".join(map(str, ids)), len(ids), table.decode_raw(ids))
-            if len(part) <= CACHE_CHARS and len(cache) < CACHE_ENTRIES:
-                cache[part] = found
+        # a full generation becomes the old one; what is asked for again moves from there into the new
+        held = worker_cache(("stretches", len(m.pieces), hash(m.pieces), with_ids), lambda: [{}, {}])
+
+        def one(part: str) -> tuple[str, int, str, bytes]:
+            found = held[1].get(part)
+            if found is None:
+                ids = table.encode_normalized(part)
+                found = (",".join(map(str, ids)), len(ids), table.decode_raw(ids), array("i", ids).tobytes() if with_ids else b"")
+            if len(part) <= CACHE_CHARS:
+                held[0][part] = found
             return found
 
-        for batch in batches:
-            n_tokens, ids_out, ids_sha, text_sha = [], [], [], []
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            n_tokens, packed, ids_sha, text_sha = [], [], [], []
             for text in batch.column(1):
-                get = cache.get
+                if len(held[0]) >= CACHE_ENTRIES:
+                    held[:] = [{}, held[0]]
+                get = held[0].get
                 found = [get(p) or one(p) for p in stretches(text.as_py() or "")]
-                joined = ",".join([f[0] for f in found])
                 n_tokens.append(sum([f[1] for f in found]))
-                ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256("".join([f[2] for f in found]).removeprefix(" ").encode()).hexdigest())
                 if with_ids:
-                    ids_out.append([int(x) for x in joined.split(",")] if joined else [])
-            columns = [batch.column(0), pa.array(n_tokens, pa.int64())] + [pa.array(ids_out, pa.list_(pa.int32()))] * with_ids
-            columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = [id_col, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    packed.append(b"".join([f[3] for f in found]))
+            columns = {id_col: batch.column(0), "n_tokens": pa.array(n_tokens, pa.int64())}
+            if with_ids:
+                ends = np.cumsum([0, *n_tokens]).astype(np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_pydict(columns | {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
