@@ -306,6 +306,20 @@ def test_op6(spark, place, monkeypatch):
     assert rows_of(queries.op6_neardup(spark, place)) == want
 
 
+def test_op6_cut_tiles_lose_no_link(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(12)]))
+    ids = rng.permutation(len(fps)).astype(np.int64)
+    whole = set(zip(*(x.tolist() for x in neardup.tile_links(fps, ids, fps, ids, 4)), strict=True))
+    halves = set(zip(*(x.tolist() for x in neardup.tile_links(fps[::2], ids[::2], fps[1::2], ids[1::2], 4)), strict=True))
+    monkeypatch.setattr(neardup, "SUB_TILED", 0)
+    assert whole and whole == set(zip(*(x.tolist() for x in neardup.tile_links(fps, ids, fps, ids, 4)), strict=True))
+    assert halves == set(zip(*(x.tolist() for x in neardup.tile_links(fps[::2], ids[::2], fps[1::2], ids[1::2], 4)), strict=True))
+
+
 def test_op6_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.component for r in neardup.components(edges).collect()}

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Fingerprints in a tile at most (16 bytes each).
-TILE = 32_768
+#: Fingerprints in a tile at most (16 bytes each), and comparisons above which a pair of tiles is cut more finely.
+TILE, SUB_TILED = 32_768, 16_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -77,27 +77,53 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+def _sub_tiles(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the population counts of the four 16-bit quarters; the counts of each run of equal ones, and the runs' bounds."""
+    quarters = np.bitwise_count(np.ascontiguousarray(f).view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    kinds, at = np.unique(quarters, axis=0, return_inverse=True)
+    order = np.argsort(at.ravel(), kind="stable")
+    return order, kinds, np.concatenate([[0], np.bincount(at.ravel(), minlength=len(kinds)).cumsum()])
+
+
 def tile_links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars, by representative, of the links between two tiles (or within one, given twice)."""
+    """Spanning stars, by representative, of the links between two tiles (or within one, given twice).
+
+    Large tiles are cut once more, by the population counts of quarters; pairs of these cuts beyond the radius are skipped.
+    """
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     held = 0
-    for i in range(0, len(fa), 128):
-        left = fa[i : i + 128, None]
-        for j in range(0, len(fb), 2048):
-            hit = np.bitwise_count(left ^ fb[None, j : j + 2048]) <= radius
-            if not hit.any():
-                continue
-            x, y = np.nonzero(hit)
-            x, y = ra[x + i], rb[y + j]
-            if len(x) > 4096:
-                x, y = forest(x, y)
-            us.append(x)
-            vs.append(y)
-            held += len(x)
-            if held > 500_000:
-                x, y = forest(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [x], [y], len(x) - 400_000
+
+    def compare(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray) -> None:
+        nonlocal us, vs, held
+        for i in range(0, len(fa), 128):
+            left = fa[i : i + 128, None]
+            for j in range(0, len(fb), 2048):
+                hit = np.bitwise_count(left ^ fb[None, j : j + 2048]) <= radius
+                if not hit.any():
+                    continue
+                x, y = np.nonzero(hit)
+                x, y = ra[x + i], rb[y + j]
+                if len(x) > 4096:
+                    x, y = forest(x, y)
+                us.append(x)
+                vs.append(y)
+                held += len(x)
+                if held > 500_000:
+                    x, y = forest(np.concatenate(us), np.concatenate(vs))
+                    us, vs, held = [x], [y], len(x) - 400_000
+
+    if len(fa) * len(fb) <= SUB_TILED:
+        compare(fa, ra, fb, rb)
+    else:
+        same = fa is fb
+        oa, ka, ca = _sub_tiles(fa)
+        ob, kb, cb = (oa, ka, ca) if same else _sub_tiles(fb)
+        fa, ra, fb, rb = fa[oa], ra[oa], fb[ob], rb[ob]
+        for g in range(len(ka)):
+            near = np.nonzero(np.abs(kb - ka[g]).sum(1) <= radius)[0]
+            for h in near[near >= g] if same else near:
+                compare(fa[ca[g] : ca[g + 1]], ra[ca[g] : ca[g + 1]], fb[cb[h] : cb[h + 1]], rb[cb[h] : cb[h + 1]])
     if not us:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return forest(np.concatenate(us), np.concatenate(vs))
@@ -113,17 +139,8 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     counts = {(r.hi, r.lo): r.n for r in cells.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 rows at most
     if not counts:
         return reps.sparkSession.createDataFrame([], "a long, b long")
-    parts = {c: -(-n // TILE) for c, n in counts.items()}
-    near = [(dh, dl) for dh in range(-radius, radius + 1) for dl in range(-radius, radius + 1) if abs(dh) + abs(dl) <= radius]
-    plan = []  # for each tile, the pairs that it is in: 41 neighbouring cells at radius 4, times their parts
-    for (h, w), n in parts.items():
-        for p in range(n):
-            for dh, dl in near:
-                for q in range(parts.get((h + dh, w + dl), 0)):
-                    x, y = sorted([(h, w, p), (h + dh, w + dl, q)])
-                    plan.append((h, w, p, f"{x[0]}.{x[1]}.{x[2]}-{y[0]}.{y[1]}.{y[2]}"))
     spark = reps.sparkSession
-    sizes = F.broadcast(spark.createDataFrame([(h, w, n) for (h, w), n in parts.items()], "hi int, lo int, parts int"))
+    sizes = F.broadcast(spark.createDataFrame([(h, w, -(-n // TILE)) for (h, w), n in counts.items()], "hi int, lo int, parts int"))
     tiled = cells.join(sizes, ["hi", "lo"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
 
     def pack(group: pa.Table) -> pa.Table:
@@ -132,10 +149,13 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
         return pa.table({"hi": first["hi"], "lo": first["lo"], "part": first["part"], "fps": pa.array([fps.tobytes()], pa.binary()), "own": pa.array([own.tobytes()], pa.binary())})
 
     packed = tiled.select("hi", "lo", "part", "fp", "rep").groupBy("hi", "lo", "part").applyInArrow(pack, "hi int, lo int, part int, fps binary, own binary")
-    pairs = spark.createDataFrame(plan, "hi int, lo int, part int, pair string")
-    if len(plan) <= 200_000:  # a few MB: a size known on the driver
-        pairs = F.broadcast(pairs)
-    dealt = packed.join(pairs, ["hi", "lo", "part"]).select("pair", "fps", "own")
+    # each tile meets the tiles of the cells around it (41 at radius 4), itself among them; both ends name the pair alike
+    near = [(dh, dl) for dh in range(-radius, radius + 1) for dl in range(-radius, radius + 1) if abs(dh) + abs(dl) <= radius]
+    steps = F.array(*(F.struct(F.lit(dh).alias("dh"), F.lit(dl).alias("dl")) for dh, dl in near))
+    around = packed.withColumn("step", F.explode(steps)).withColumn("hi2", F.col("hi") + F.col("step.dh")).withColumn("lo2", F.col("lo") + F.col("step.dl"))
+    around = around.join(sizes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("parts").alias("parts2")), ["hi2", "lo2"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    own, other = F.format_string("%02d.%02d.%d", "hi", "lo", "part"), F.format_string("%02d.%02d.%d", "hi2", "lo2", "part2")
+    dealt = around.select(F.concat_ws("-", F.least(own, other), F.greatest(own, other)).alias("pair"), "fps", "own")
 
     def compare(group: pa.Table) -> pa.Table:
         fps = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("fps")]
