@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from .common import worker_cache
 
 SPACE = "▁"
-#: Entries in each of the two generations of a worker's cache of encoded stretches, and the longest stretch that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 100_000, 48
-#: Remembered pairs, and rows of a batch that are encoded before their results go out.
-PAIRS, ROWS = 400_000, 1024
+#: Entries of a worker's cache of encoded stretches, the longest stretch that is cached, and misses of a full cache
+#: after which it starts anew (so it follows the texts, without the cost of an eviction for every miss).
+CACHE_ENTRIES, CACHE_CHARS, STALE = 300_000, 48, 3_000_000
+#: Remembered pairs in each of two generations, and rows of a batch that are encoded before their results go out.
+PAIRS, ROWS = 500_000, 1024
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,7 @@ class PrefixTable:
         self.chars = frozenset(p for p in self.rank if len(p) == 1)
         self.by_byte = {i: b for b, i in enumerate(model.byte_ids)}
         self.fits: dict[int, bool] = {}  # by first id << 24 | second id
+        self.fitted: dict[int, bool] = {}  # the generation before
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
             if self.merged(p) == [p]:  # entries that merging can never reach are no tokens
@@ -87,17 +89,21 @@ class PrefixTable:
         key = a << 24 | b
         known = self.fits.get(key)
         if known is None:
-            x, y = self.model.pieces[a], self.model.pieces[b]
-            if len(self.fits) > PAIRS:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(x + y) == [x, y]
+            known = self.fitted.get(key)
+            if known is None:
+                x, y = self.model.pieces[a], self.model.pieces[b]
+                known = self.merged(x + y) == [x, y]
+            if len(self.fits) >= PAIRS:
+                self.fits, self.fitted = {}, self.fits
+            self.fits[key] = known
         return known
 
     def _stretch(self, s: str, out: list[int]) -> None:
         """Ids of a stretch whose characters are all in the vocabulary."""
         n = len(s)
         last, sizes = [-1] * (n + 1), [0] * (n + 1)
-        fits, compatible = self.fits.get, self.compatible
+        compatible = self.compatible
+        fits = self.fits.get
         for end, (token, size) in self.automaton.iter(s):
             end += 1
             if last[end] >= 0:
@@ -175,24 +181,26 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     def run(batches):
         m = broadcast.value
         table = worker_cache(("pieces", len(m.pieces), hash(m.pieces)), lambda: PrefixTable(m))
-        # a full generation becomes the old one; what is asked for again moves from there into the new
-        held = worker_cache(("stretches", len(m.pieces), hash(m.pieces), with_ids), lambda: [{}, {}])
+        cache = worker_cache(("stretches", len(m.pieces), hash(m.pieces), with_ids), dict)
+        missed = worker_cache(("missed", len(m.pieces), hash(m.pieces), with_ids), lambda: [0])
 
         def one(part: str) -> tuple[str, int, str, bytes]:
-            found = held[1].get(part)
-            if found is None:
-                ids = table.encode_normalized(part)
-                found = (",".join(map(str, ids)), len(ids), table.decode_raw(ids), array("i", ids).tobytes() if with_ids else b"")
+            ids = table.encode_normalized(part)
+            found = (",".join(map(str, ids)), len(ids), table.decode_raw(ids), array("i", ids).tobytes() if with_ids else b"")
             if len(part) <= CACHE_CHARS:
-                held[0][part] = found
+                if len(cache) < CACHE_ENTRIES:
+                    cache[part] = found
+                else:
+                    missed[0] += 1
+                    if missed[0] > STALE:
+                        cache.clear()
+                        missed[0] = 0
             return found
 
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             n_tokens, packed, ids_sha, text_sha = [], [], [], []
             for text in batch.column(1):
-                if len(held[0]) >= CACHE_ENTRIES:
-                    held[:] = [{}, held[0]]
-                get = held[0].get
+                get = cache.get
                 found = [get(p) or one(p) for p in stretches(text.as_py() or "")]
                 n_tokens.append(sum([f[1] for f in found]))
                 ids_sha.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
