@@ -86,3 +86,44 @@ def mixed_arm(old: DataFrame, new: DataFrame, choice: dict[str, str], default: s
     """An arm that takes each skill's rows from the arm named for it."""
     side = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in choice.items() for x in kv)), F.col("skill")), F.lit(default)) if choice else F.lit(default)
     return old.filter(side == "old").unionByName(new.filter(side == "new"))
+
+
+def budget_spent(reps: DataFrame, by: list[str]) -> DataFrame:
+    """Sessions, hours and cost that an experiment took; hours and cost are null if nobody reported any."""
+    ms = F.sum(F.coalesce("duration_ms", "wall_ms", F.lit(0)))
+    return reps.groupBy(*by).agg(F.count("*").alias("sessions"), F.when(ms > 0, js_round(ms / 3.6e6)).alias("hours"), js_round(F.sum(F.coalesce("cost_usd", "cost_usd_reported"))).alias("usd"))
+
+
+def probe_hits(excluded: DataFrame, exclusion_pct: float | None, tripwire: float = 12.0) -> DataFrame:
+    """Commands of excluded runs by arm, and whether exclusions trip the wire.  excluded: arm, tool, cmd."""
+    g = excluded.groupBy("arm", "tool").agg(F.sort_array(F.collect_set("cmd")).alias("cmds"))
+    return g.withColumn("tripwired", F.lit(exclusion_pct is not None and exclusion_pct > tripwire))
+
+
+def version_quads(arms: DataFrame) -> DataFrame:
+    """What was compared: (arm, cli_version, model, harness_version, isolation_verified, skills as name and digest).
+
+    arms: those columns and one row per skill (name, sha256); missing parts stay null.
+    """
+    head = ["arm", "cli_version", "model", "harness_version", "isolation_verified"]
+    return arms.groupBy(*head).agg(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "sha256")))).alias("skills"))
+
+
+def arms_isolated(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Skills that an arm had and should not have had; empty if isolated.  Rows: arm, name."""
+    return actual.select("arm", "name").distinct().join(expected.select("arm", "name"), ["arm", "name"], "left_anti")
+
+
+def build_repeats(runs: DataFrame, results: DataFrame, routing: DataFrame, safety: DataFrame) -> DataFrame:
+    """Repeats assembled from their parts by rep_id: outcome, scores, routing, safety and the verdict on all axes.
+
+    runs: rep_id and the columns of `scoring.score_repeat`; results: rep_id, cls, passed; routing: rep_id, routing;
+    safety: rep_id, verdict.  A repeat without verifiers has outcome 0; unknown axes stay null.
+    """
+    from tracemill.operators.grading import case_verdict
+    from tracemill.operators.scoring import gate, score_repeat
+
+    out = score_repeat(runs).join(gate(results, ["rep_id"]), "rep_id", "left").join(routing.select("rep_id", "routing"), "rep_id", "left").join(safety.select("rep_id", F.col("verdict").alias("safety")), "rep_id", "left")
+    out = out.withColumn("C", F.coalesce("C", F.lit(0)))
+    l1, l2, l3, passed = case_verdict(F.col("routing"), F.col("C") == 1, F.col("safety"))
+    return out.select("rep_id", "C", "P", "H", "activated", "tool_err_rate", "hit_max_turns", "routing", "safety", l1.alias("l1_pass"), l2.alias("l2_pass"), l3.alias("l3_pass"), passed.alias("passed"))

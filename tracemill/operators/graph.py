@@ -97,3 +97,39 @@ def break_even(groups: DataFrame, p_trigger: str | None = None) -> DataFrame:
     saved = (F.col("sum_desc") - F.col("merged_desc")) / F.lit(float(DEPGRAPH["chars_per_token"]))
     out = groups.withColumn("resident_savings", saved)
     return out.withColumn("inflation_ceiling", F.when(F.col(p_trigger) > 0, saved / F.col(p_trigger)) if p_trigger else F.lit(None).cast("double"))
+
+
+def session_events(observed: DataFrame, declared: DataFrame) -> DataFrame:
+    """Triggers of sessions in order: observed ones by call, then a round's declared ones; first occurrences.
+
+    observed: session, skill, round, ordinal; declared: session, skill, round.  (session, skill, rank, first_ordinal):
+    first_ordinal is null for what was only declared, rank 1 is primary.
+    """
+    from pyspark.sql import Window as W
+
+    o = observed.select("session", "skill", "round", F.lit(0).alias("phase"), "ordinal")
+    d = declared.select("session", "skill", "round", F.lit(1).alias("phase"), F.lit(None).cast("long").alias("ordinal"))
+    first = o.unionByName(d).filter("skill <> ''").groupBy("session", "skill").agg(F.min(F.struct("round", "phase", "ordinal")).alias("at"), F.min("ordinal").alias("first_ordinal"))
+    return first.select("session", "skill", F.row_number().over(W.partitionBy("session").orderBy("at", "skill")).alias("rank"), "first_ordinal")
+
+
+def provenance_mix(sessions: DataFrame) -> DataFrame:
+    """How many sessions were observed, reported by adapters, or say nothing of it: (harness, adapter, unknown)."""
+    p = F.coalesce("provenance", F.lit(""))
+    return sessions.agg(F.count_if(p == "harness-observed").alias("harness"), F.count_if(p == "adapter-reported").alias("adapter"), F.count_if(~p.isin("harness-observed", "adapter-reported")).alias("unknown"))
+
+
+def report(sessions: DataFrame, triggers: DataFrame, reads: DataFrame, full: bool = False) -> dict[str, DataFrame]:
+    """All graph results of a set of sessions (session, category, provenance); splits only for the full set."""
+    n = sessions.select("session").distinct().count()
+    nodes, edges = co_trigger_graph(triggers, n)
+    out = {"provenance": provenance_mix(sessions), "read_rates": read_rates(triggers, reads), "co_read": co_read_pairs(reads, n), "nodes": nodes, "edges": edges, "merge": merge_groups(nodes, edges)}
+    if full:
+        named = triggers.join(sessions.select("session", "category"), "session")
+        out["split"] = jaccard_split(named.select("skill", "session", "category"), reads.select("skill", "session", "ref"))
+    return out
+
+
+def heat_map(co_read: DataFrame) -> DataFrame:
+    """Both halves of the symmetric matrix of co-read rates: (x, y, rate)."""
+    return co_read.select(F.col("a").alias("x"), F.col("b").alias("y"), "rate").unionByName(co_read.select(F.col("b").alias("x"), F.col("a").alias("y"), "rate"))

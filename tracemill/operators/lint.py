@@ -167,3 +167,46 @@ def model_mismatch(asked: Column, ran: Column) -> Column:
 
 def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def adapter_keys(outputs: DataFrame, raw: str = "raw") -> DataFrame:
+    """Distinct keys that adapter outputs use, by level: (level, key) for top, round and toolCall."""
+    v = F.try_parse_json(raw)
+    steps = F.coalesce(F.try_variant_get(v, "$.trace", "array<variant>"), F.array().cast("array<variant>"))
+    keys = lambda x: F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+    per_step = lambda s: F.coalesce(F.try_variant_get(s, "$.toolCalls", "array<variant>"), F.array().cast("array<variant>"))
+    none = F.array().cast("array<string>")
+    level = lambda name, arr: outputs.select(F.lit(name).alias("level"), F.explode(arr).alias("key"))
+    return (
+        level("top", F.coalesce(keys(v), none)).union(level("round", F.flatten(F.transform(steps, lambda s: F.coalesce(keys(s), none)))))
+        .union(level("toolCall", F.flatten(F.transform(F.flatten(F.transform(steps, per_step)), lambda c: F.coalesce(keys(c), none))))).distinct()
+    )
+
+
+def resolve_meta(*layers: tuple[str, dict]) -> dict[str, dict]:
+    """Metadata from layers in rising precedence: {key: {value, source}}; keys and values are checked."""
+    import re
+
+    out = {}
+    for source, values in layers:
+        for k, v in values.items():
+            if not re.fullmatch(r"[A-Za-z0-9._-]{1,64}", k):
+                raise ValueError(f"invalid key {k}")
+            if not isinstance(v, (str, int, float, bool)):
+                raise ValueError(f"{k}: a value must be a string, number or boolean")
+            out[k] = {"value": v, "source": source}
+    return out
+
+
+def resolve_variables(text: str, values: dict[str, str], reserved: tuple[str, ...] = ("PROMPT", "MODEL", "SUITE_DIR", "REPLY")) -> str:
+    """Fills `{{NAME}}`; reserved names are left, an unknown name is an error."""
+    import re
+
+    def fill(m: re.Match) -> str:
+        if m[1] in reserved:
+            return m[0]
+        if values.get(m[1]) is None:
+            raise ValueError(f"variable {m[1]} is unresolved")
+        return str(values[m[1]])
+
+    return re.sub(r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}", fill, text)
