@@ -1,5 +1,7 @@
 """The pipeline's stages against what they are for."""
 
+import random
+
 import corpus_pipeline
 
 
@@ -47,3 +49,39 @@ def test_edges_extra_columns_and_empty(spark, sf_dir):
     assert masked.text == "[assign]" and masked.n_chars == 8 and masked.found == "y"
     name, last = corpus_pipeline.STAGES[-1]
     assert last(spark, now, sf_dir).count() == 3 and last(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_duplicates_finds_every_pair_of_similarity_0_8(spark, sf_dir):
+    """Planted copies of similarity about 0.5 to 0.95, chains, boilerplate and short texts against brute force."""
+    rng = random.Random(8)
+    texts = ["one two three", "One  two three", "one two three four", "", "a b c d e"]
+    for k in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 60, 200]))] + ["the same licence line under every text"] * (k % 2)
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            words = list(words)
+            for _ in range(rng.randrange(1, 1 + max(1, len(words) // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    top = list(range(len(texts)))
+
+    def root(i):
+        return i if top[i] == i else root(top[i])
+
+    found = []
+    for i in range(len(texts)):
+        for j in range(i):
+            common, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or 10 * common >= 8 * every > 0:
+                found.append(common / every if every else 1.0)
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    assert sum(0.8 <= s < 0.95 for s in found) >= 20
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    assert got == {k for k in range(len(texts)) if root(k) == k}

@@ -8,6 +8,8 @@ returns a spanning forest of its links, at most one row per fingerprint, never a
 
 Defined results: null or empty text has fingerprint zero, which links like any other.  Repeated rows share their
 component.  A row without an id gets the component of its fingerprint's group, or null if nobody there has an id.
+
+`similar_groups` is exact instead: it links texts whose sets of word shingles have a given Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -194,3 +196,106 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     merged = components(links(reps, radius))
     named = reps.join(merged, reps.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Documents whose shingles are counted to put frequent ones last, and frequent shingles that are kept.
+ORDER_DOCS, ORDER_SHINGLES = 4_096, 65_536
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; a text of fewer words is one shingle."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    hashes = np.fromiter(starmap(xxhash.xxh64_intdigest, ((joined[a:b],) for a, b in zip(starts, ends, strict=True))), np.uint64, len(starts))
+    return np.unique(hashes.view(np.int64))
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that occur repeatedly in a bounded sample of documents, and their counts."""
+    keyed = docs.select(F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text")).filter("text is not null")
+    last = keyed.select("at").distinct().orderBy("at").limit(ORDER_DOCS).agg(F.max("at").alias("at")).first().at
+    if last is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["h"])
+
+    counted = keyed.filter(F.col("at") <= last).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = sorted((r.h, r.n) for r in counted.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect())
+    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, component_id) for every row: components of all pairs of texts with a Jaccard similarity of `least` or more.
+
+    Shingles are put in one order, rare ones first.  Of two sets this similar, the first n - ceil(least * n) + 1
+    shingles have one in common, so an equi-join on these prefixes loses no pair, whatever the order; sizes and places
+    rule out most others and the whole sets decide.  Each text is first checked against the first of its candidates;
+    of the other pairs only those between different components remain.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, shingle))
+
+    def run(batches):
+        import xxhash
+
+        known, counts = frequent.value
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+            keys, sets = [], []
+            for text in batch.column(1):
+                grams = shingle_set(text.as_py(), shingle)
+                keys.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    grams = grams[np.argsort(np.where(known[at] == grams, counts[at], 0), kind="stable")]
+                sets.append(grams)
+            ends = np.cumsum([0, *map(len, sets)])
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "key", "grams"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, grams array<long>")
+    rows = materialize(rows, "shingles")
+    n = F.size("grams")
+    prefix = F.slice("grams", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    reps = rows.filter("id is not null").select("id", "key", n.alias("n"), prefix.alias("prefix")).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = materialize(reps, "representatives")
+
+    placed = reps.select("key", "n", F.posexplode("prefix").alias("pos", "gram"))
+    a, b = placed.alias("a"), placed.alias("b")
+    shared = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # at most, if this is their first in common
+    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (shared >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
+    pairs = a.join(b, F.col("a.gram") == F.col("b.gram")).filter((F.col("a.key") < F.col("b.key")) & close)
+    pairs = materialize(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "candidates")
+
+    named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", "rep"), "key")
+    sets = rows.join(named.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+    sets = materialize(sets, "candidate-shingles")
+
+    def similar(part: DataFrame) -> DataFrame:
+        both = part.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
+        common = F.size(F.array_intersect("ga", "gb"))
+        return both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = materialize(similar(first), "similar-first")
+    merged = components(edges)
+    for end in ("a", "b"):
+        pairs = pairs.join(merged.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    rest = pairs.filter(~F.col("ca").eqNullSafe(F.col("cb")) | F.col("ca").isNull()).select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = materialize(similar(rest), "similar-rest")
+    if not more.isEmpty():
+        merged = components(edges.union(more))
+
+    grouped = reps.select("key", "rep").join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = grouped.join(lowest, "component").select("key", "component_id")
+    return rows.select("id", "key").join(ids, "key", "left").select(F.col("id").alias(id_col), "component_id")
