@@ -235,3 +235,13 @@ def test_trend(spark):
     assert trend.search(d, "t", "id", "n").count() == 0
     items = spark.createDataFrame([(k, k * 10) for k in range(6)], "id int, ts_ms long")
     assert sorted(r.id for r in trend.prune(items, [], 60, older_than_ms=45, most=4).collect()) == [0, 1]
+
+
+def test_u16_reports_every_order(spark, sf_dir):
+    import json
+
+    from tracemill.plans import catalogue
+
+    got = {r.id: json.loads(r.report) for r in catalogue.QUERIES["u16_report_json"](spark, sf_dir).collect()}
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").collect()
+    assert got == {o.o_orderkey: {"id": o.o_orderkey, "verdict": o.o_orderstatus, "cost": o.o_totalprice} for o in orders}
