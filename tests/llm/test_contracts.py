@@ -204,6 +204,17 @@ def test_op3_finds_unprefixed_numbers_and_leaves_plain_text(spark):
     assert [(s[1], text[s[0] : s[2]]) for s in d.added(text, [])] == [(3, "(743) 555-1234")]
 
 
+def test_op3_finds_forms_that_are_common_in_the_sample(spark):
+    rows = [(k, f"word call us +1 (743) 555-{k:04d} or mail user{k}@host{k % 7}.com of 12 in 2024") for k in range(400)]
+    rows += [(1000 + k, f"word call us (743) 555-{k:04d} or mail user{k} (at) host{k % 7} (dot) com then {k} items") for k in range(400)]
+    rows += [(2000 + k, f"other 12345678{k:04d}{k:05d} rows 10 20 30{k % 10} and 2023 2024 20{k % 90 + 10} of {k} more") for k in range(400)]
+    d = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "call us (743) 555-1234 now or mail some.name (at) host (dot) com today"
+    assert [text[s[0] : s[2]] for s in sorted(d.added(text, []))] == ["(743) 555-1234", "some.name (at) host (dot) com"]
+    plain = "rows 10 20 305 and 2023 2024 2051 of a table with 1234567800010001 more"
+    assert d.added(plain, pii.base_spans(plain)) == []
+
+
 def test_op4(spark, place):
     import sentencepiece
 
