@@ -85,3 +85,12 @@ def test_near_duplicates_finds_every_pair_of_similarity_0_8(spark, sf_dir):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
     assert got == {k for k in range(len(texts)) if root(k) == k}
+
+
+def test_decontaminate_takes_rows_without_an_id(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (None, "clean words without an id"), (1, f"{item} again"), (2, "clean words"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} == {rows[1], rows[3], rows[4]}
