@@ -370,8 +370,9 @@ def test_op7_distance_by_hand():
 
 
 def brute_leaks(docs, items, least=0.8):
+    """All windows of all documents; those with fewer than half of the item's shingles, in any order, are not scored."""
     cut = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
-    sh = lambda w, g: Counter(tuple(w[k : k + g]) for k in range(max(1, len(w) - g + 1)))
+    sh = lambda w, g: [tuple(w[k : k + g]) for k in range(max(1, len(w) - g + 1))]
     out = {}
     for i, t in docs:
         w = cut(t)
@@ -380,23 +381,76 @@ def brute_leaks(docs, items, least=0.8):
             if not iw or not w:
                 continue
             g = min(5, len(iw))
-            own = sh(iw, g)
+            own = Counter(sh(iw, g))
+            held = [0]
+            for x in sh(w, g):
+                held.append(held[-1] + (x in own))
+            n = sum(own.values())
             for s in range(max(1, len(w) - len(iw) + 1)):
-                a = sh(w[s : s + len(iw)], g)
+                if 2 * (held[min(s + n, len(held) - 1)] - held[s]) < n:
+                    continue
+                a = Counter(sh(w[s : s + len(iw)], g))
                 sim = sum((a & own).values()) / sum((a | own).values())
-                if sim >= least and sim > out.get((i, item), 0):
-                    out[(i, item)] = sim
+                if sim >= least and sim > out.get((i, item), (0, 0))[0]:
+                    out[(i, item)] = sim, s
     return out
 
 
 def test_op8(spark, place):
-    docs = [(i, t) for i, t in documents(spark, place) if len(t or "") < 9000 or place != "x"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{place}/benchmark.parquet").collect()]
-    grams = {tuple(g) for _, t in items for w in [re.findall(r"[^\W_]+", (t or "").lower())] for k in range(max(1, len(w) - 4)) for g in [w[k : k + 5]] if g}
-    hit = lambda t: any(tuple(w[k : k + len(g)]) == g for w in [re.findall(r"[^\W_]+", (t or "").lower())] for g in grams for k in range(len(w)) if w[k] == g[0])
-    want = brute_leaks([d for d in docs if hit(d[1])], items)
-    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op8_decontam(spark, place).collect()}
-    assert got == {k: pytest.approx(v) for k, v in want.items()} and got
+    want = brute_leaks(documents(spark, place), items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.window_start) for r in queries.op8_decontam(spark, place).collect()}
+    assert got == {k: (pytest.approx(v), s) for k, (v, s) in want.items()} and got
+
+
+def test_op8_recall_on_edited_and_reordered_passages(spark):
+    """Passages with replaced words, repeated words, swapped parts and cut ends, in documents of all lengths, against all windows."""
+    import random
+
+    rng = random.Random(3)
+    items, docs = [], []
+    for k in range(40):
+        items.append((k, " ".join(f"w{rng.randrange(60 if k % 4 else 8)}" for _ in range(rng.choice([1, 3, 5, 12, 30, 60, 90])))))
+    for k in range(400):
+        w = rng.choice(items)[1].split()
+        kind = rng.randrange(5)
+        if kind == 0:
+            at = rng.randrange(len(w))
+            w = w[at:] + w[:at]
+        elif kind == 1:
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "zz"
+        elif kind == 2:
+            w = w[rng.randrange(3) : len(w) - rng.randrange(8)]
+        elif kind == 3:
+            w = w + w[: len(w) // 2]
+        pad = lambda: [f"q{rng.randrange(1000)}" for _ in range(rng.choice([0, 1, 20, 100]))]
+        docs.append((k, " ".join([*pad(), *w, *pad()])))
+    want = brute_leaks(docs, items)
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.window_start) for r in found.collect()}
+    assert len(want) > 300 and set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(got[k][0] <= want[k][0] + 1e-12 for k in got)
+    same = sum(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in got)
+    assert same >= 0.99 * len(want)
+
+
+def test_op8_swapped_halves_inside_a_longer_text(spark):
+    w = [f"w{k}" for k in range(60)]
+    pad = " ".join(f"p{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, f"{pad} {' '.join(w[30:] + w[:30])} {pad}")], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")).collect()
+    assert [(r.window_start, r.window_words) for r in got] == [(80, 60)] and got[0].similarity == pytest.approx(52 / 60)
+
+
+def test_op8_long_text_and_repeated_ids(spark):
+    """A text of 2 MB with passages throughout; equal ids with different texts; equal texts under different ids."""
+    item = " ".join(f"w{k}" for k in range(40))
+    text = " ".join(f"{'plain words here ' * 40}{item}" for _ in range(2000))
+    docs = spark.createDataFrame([(1, text), (1, item), (1, item), (None, f"x {item}")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (6, item), (5, "one two three four five six seven eight")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.window_start, r.similarity) for r in decontam.contaminated(docs, items).collect())
+    assert got == [(0, 5, 1, 1.0), (0, 6, 1, 1.0), (1, 5, 0, 1.0), (1, 6, 0, 1.0)]
 
 
 def test_op8_edited_passage_and_shuffled_join(spark, monkeypatch):
