@@ -1,14 +1,19 @@
-"""Helpers shared by the corpus operators: the shared folder, written intermediates, worker caches, schema checks."""
+"""Helpers shared by the corpus operators: the shared folder, written intermediates, shared values, worker caches."""
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Values of runs that a worker process keeps at most.
+KEPT = 4
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) a temporary
-    folder is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset on one machine (tests) a temporary
+    folder is made and remembered in the session; a cluster without the setting is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracemill.shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.tracemill.shared", found)
     return found.rstrip("/")
@@ -44,10 +51,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A value that workers read, broadcast as bytes in which its classes go by value: workers need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.key = uuid.uuid4().hex
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return worker_cache(("shared", self.key), lambda: pickle.loads(self._bytes.value))
+
+
 def worker_cache(key, make):
-    """One value per Python worker process; it outlives tasks, because Spark reuses workers."""
+    """One value per Python worker process; it outlives tasks, because Spark reuses workers.
+
+    Of the values that belong to one run (their key starts with "shared"), the latest `KEPT` stay.
+    """
     store = sys.__dict__.setdefault("_tracemill_worker_cache", {})
     if key not in store:
+        if key[0] == "shared":
+            for old in [k for k in store if k[0] == "shared"][: 1 - KEPT]:
+                del store[old]
         store[key] = make()
     return store[key]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, worker_cache
+from .common import Shared, fold, worker_cache
 
 UND = "und"
 #: N-grams in a profile, and letters in one stretch of counting (the longest key list held at once).
@@ -153,7 +153,7 @@ def _sum(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of `docs`, plus the prediction and its score, under names that `docs` must not have."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared = Shared(docs.sparkSession, profiles)
     at, names = docs.columns.index(text_col), docs.columns
     schema = docs.select("*").schema.add(pred_col, "string").add(score_col, "double")
 

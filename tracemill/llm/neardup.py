@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Shared, materialize
 
 #: Fingerprints in a tile at most (16 bytes each), and comparisons above which a pair of tiles is cut more finely.
 TILE, SUB_TILED = 32_768, 16_000_000
@@ -243,7 +243,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rule out most others and the whole sets decide.  Each text is first checked against the first of its candidates;
     of the other pairs only those between different components remain.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, shingle))
+    frequent = Shared(docs.sparkSession, frequent_shingles(docs, text_col, shingle))
 
     def run(batches):
         import xxhash

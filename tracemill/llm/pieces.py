@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import Shared, worker_cache
 
 SPACE = "▁"
 #: Entries of a worker's cache of encoded stretches, the longest stretch that is cached, and misses of a full cache
@@ -175,11 +175,11 @@ def stretches(text: str) -> list[str]:
 def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: the id, n_tokens, the ids (unless `with_ids` is off), ids_sha256, decoded_sha256.  No shuffle."""
     id_type = docs.schema[id_col].dataType
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     schema = f"`{id_col}` {id_type.simpleString()}, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        m = broadcast.value
+        m = shared.value
         table = worker_cache(("pieces", len(m.pieces), hash(m.pieces)), lambda: PrefixTable(m))
         cache = worker_cache(("stretches", len(m.pieces), hash(m.pieces), with_ids), dict)
         missed = worker_cache(("missed", len(m.pieces), hash(m.pieces), with_ids), lambda: [0])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import Shared, materialize, worker_cache
 
 #: Buckets of the hashed models, and labelled documents that the target model may be fitted on.
 BUCKETS, TARGET_DOCS = 1 << 16, 131_072
@@ -86,7 +86,7 @@ def learn(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
 
 def weigh(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(id, n_grams, log_weight, gumbel_key) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = Shared(docs.sparkSession, ratio)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
