@@ -283,6 +283,51 @@ def test_op5_added_rules_and_masking(spark):
     assert got[2] == "plain" and "abcdef01" not in got[1] and "ghp_" not in got[1] and got[1].startswith("x [") and got[1].endswith(" z")
 
 
+def test_op5_searches_find_what_is_not_dropped():
+    import random
+
+    rng = random.Random(2)
+    for rule in secrets.RULES[:3]:
+        for _ in range(4000):
+            t = "".join(rng.choice(["AKIA", "A", "K", "IA", "0", "9", "f", "Z", " ", "-", "AKIA" + "Q" * 14, "0123456789abcdef"]) for _ in range(rng.randrange(14)))
+            every = [m.span() for m in re.finditer(rule.pattern, t) if len(m[rule.group]) >= rule.least]
+            assert every == [m.span() for m in re.finditer(rule.kept, t) if len(m[rule.group]) >= rule.least], t
+
+
+def test_op5_and_masking_on_long_texts(spark, monkeypatch):
+    """A megabyte of words with one hex secret, and one with 20,000 assignments, in a few seconds; the join without a broadcast."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    one = "badé cafe 12 words ☃ " * 50_000 + "0123456789abcdef" * 3 + " end of it"
+    many = "x😀 token=abcdef1 passwd: 'qwertyu' secret=no " * 20_000
+    docs = spark.createDataFrame([(1, one), (2, many), (3, many[:3000]), (None, None), (4, "")], "doc_id long, text string").repartition(4)
+    secrets.scan(docs.limit(0)).collect()
+    began = time.time()
+    rows = secrets.scan(docs).select("doc_id", "text", "found", secrets.redacted(F.col("text"), F.col("found")).alias("masked")).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        want = brute_secrets(r.text)
+        assert [tuple(x) for x in r.found] == want
+        out, at = [], 0
+        for start, _, kind, end in want:
+            out += [(r.text or "")[at:start], f"[{kind}]"]
+            at = end
+        assert r.masked == (None if r.text is None else "".join(out) + r.text[at:])
+    monkeypatch.setattr(secrets, "HITS", -1)
+    assert rows_of(secrets.scan(docs).select("doc_id", F.to_json("found"))) == Counter((r.doc_id, __import__("json").dumps([x.asDict() for x in r.found], separators=(",", ":"))) for r in rows)
+
+
+def test_op5_masks_overlapping_spans_once(spark):
+    from pyspark.sql import functions as F
+
+    key = "AKIA" + "0123456789ABCDEF" * 300
+    rows = [(1, f"a token={key} b"), (2, f"{key}"), (3, "secret: " + "0123456789abcdef" * 3 + ".zz and " + "f" * 30)]
+    got = {r.doc_id: r.m for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.redacted(F.col("text"), F.col("found")).alias("m")).collect()}
+    assert got == {1: "a [assign] b", 2: "[access]", 3: "[assign] and [hex]"}
+
+
 def brute_fp(text):
     w = words(text)
     if not w:

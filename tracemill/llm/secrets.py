@@ -6,7 +6,10 @@ Intersecting postings by row key gives the candidates of a rule, and only candid
 A rule without mandatory trigrams (long runs of hex digits) scans every text.
 
 Row keys are hashes of id and text; a collision adds a candidate, which verification rejects.  The posting table is
-shuffled by row key, so no trigram, however frequent, lands in one task.
+shuffled by row key, so no trigram, however frequent, lands in one task.  The candidates' keys are broadcast while they
+number `HITS` at most, so texts stay where they are read; beyond, they are joined by key.
+
+Offsets and masked texts take time in proportion to a text's length (times its logarithm), however many matches it has.
 
 Defined results: null text is empty and has no spans; offsets are code points; equal rows are scanned each on its own
 and give equal results; null ids are kept; other columns are not read.
@@ -21,22 +24,32 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` works alike in Java and Python; matches whose `group` is shorter than `least` are dropped."""
+    """`pattern` works alike in Java and Python; matches whose `group` is shorter than `least` are dropped.
+
+    `search`, where given, finds just the matches that are not dropped: for a run of characters, the run's least length.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = False
+    search: str = ""
+
+    @property
+    def kept(self) -> str:
+        return self.search or self.pattern
 
 
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    Rule("hex", r"[0-9a-f]+", 0, 24, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True, r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 24, True, r"[0-9a-f]{24,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -46,6 +59,8 @@ RULES = (
 
 #: Strings that a part of an expression may stand for before it counts as free, and trigrams used of one AND.
 EXPAND, CONJUNCTS = 64, 4
+#: Candidates whose keys may be broadcast, and characters (a power of two) of the pieces that masking cuts texts into.
+HITS, PIECE = 1_000_000, 1 << 12
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -141,28 +156,44 @@ def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> Da
     return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """Running totals, by doubling strides: log2(n) linear passes, where a fold that appends to an array is quadratic."""
+
+    def totals(v: Column) -> Column:
+        strides = F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+        def step(acc: Column, k: Column) -> Column:
+            stride = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda x, i: F.when(i >= stride, combine(x, F.get(acc, i - stride))).otherwise(x))
+
+        return F.aggregate(strides, v, step)
+
+    return bound(values, totals)
+
+
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, ord, kind, end>> of a rule: the text between matches and the matches give the offsets."""
-    pattern = F.lit(rule.pattern)
-    bound = F.array(F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part")))
+    pattern = F.lit(rule.kept)
+    cut = F.struct(F.split(text, rule.kept, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
 
     def spans(s: Column) -> Column:
-        both = F.zip_with(F.slice(s["gaps"], F.lit(1), F.size(s["found"])), s["found"], lambda g, m: F.struct((F.length(g) + F.length(m)).alias("step"), F.length(m).alias("size")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-        ends = F.aggregate(both, start, lambda a, x: F.struct((a["at"] + x["step"]).alias("at"), F.concat(a["ends"], F.array(a["at"] + x["step"])).alias("ends")), lambda a: a["ends"])
-        zipped = F.transform(F.arrays_zip(ends.alias("e"), s["found"].alias("f"), s["part"].alias("p")), lambda x: F.struct((x["e"] - F.length(x["f"])).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), x["e"].alias("end"), F.length(x["p"]).alias("size")))
-        kept = F.filter(zipped, lambda x: x["size"] >= rule.least)
-        return F.transform(kept, lambda x: F.struct(x["start"], x["ord"], x["kind"], x["end"]))
+        steps = F.zip_with(F.slice(s["gaps"], F.lit(1), F.size(s["found"])), s["found"], lambda g, m: F.length(g) + F.length(m))
 
-    return F.transform(bound, spans)[0]
+        def placed(ends: Column) -> Column:
+            every = F.transform(s["found"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), F.get(ends, i).alias("end"), F.length(F.get(s["part"], i)).alias("size")))
+            return F.transform(F.filter(every, lambda x: x["size"] >= rule.least), lambda x: F.struct(x["start"], x["ord"], x["kind"], x["end"]))
 
+        return bound(running(steps, lambda x, y: x + y), placed)
 
-_SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
+    return bound(cut, spans)
 
 
-def _quick(rule: Rule) -> str:
-    """A test that holds for every text with a kept match; cheaper than collecting matches that are then dropped."""
-    return {"hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}"}.get(rule.kind, rule.pattern)
+_SPANS = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
 def listed(spans: Column) -> Column:
@@ -171,14 +202,22 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or what of it is not yet masked, replaced by its kind."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.when(s["end"] > a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def masked(s: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.shiftright(a, PIECE.bit_length() - 1), F.shiftright(b - 1, PIECE.bit_length() - 1)
+            held = F.array_join(F.slice(s["pieces"], first + 1, last - first + 1), "")
+            return F.when(b > a, F.substring(held, a.bitwiseAND(F.lit(PIECE - 1)) + 1, b - a)).otherwise(F.lit(""))
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(s["ends"], i - 1), F.lit(0))
+            return F.when(x["end"] > before, F.concat(piece(before, x["start"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(spans, one), ""), piece(F.element_at(s["ends"], -1), F.length(text)))
 
-    masked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = F.struct(pieces.alias("pieces"), running(F.transform(spans, lambda x: x["end"]), lambda x, y: F.greatest(x, y)).alias("ends"))
+    return F.when(F.size(spans) > 0, bound(cut, masked)).otherwise(text)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, found_col: str = "found") -> DataFrame:
@@ -186,12 +225,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     queries = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
     indexed = {k: q for k, q in queries.items() if q is not None}
     index = postings(docs, id_col, text_col, sorted({t for q in indexed.values() for conj in q for t in conj}))
-    hits = candidates(index, indexed).withColumnRenamed("key", "_tm_key").withColumnRenamed("rules", "_tm_rules")
-    keyed = docs.withColumn("_tm_key", row_key(id_col, text_col)).join(hits, "_tm_key", "left")
+    hits = materialize(candidates(index, indexed).withColumnRenamed("key", "_tm_key").withColumnRenamed("rules", "_tm_rules"), "candidates")
+    keyed = docs.withColumn("_tm_key", row_key(id_col, text_col)).join(F.broadcast(hits) if hits.count() <= HITS else hits, "_tm_key", "left")
     text, empty = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(_SPANS)
     columns = []
     for k, r in enumerate(rules):
-        test = text.rlike(_quick(r))
+        test = text.rlike(r.kept)
         if k in indexed:
             test = (F.coalesce("_tm_rules", F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0) & test
         columns.append(F.when(test, matches(text, r, k)).otherwise(empty))
