@@ -107,18 +107,87 @@ def test_op1_lattice_is_the_sum_over_all_cuts():
         assert found.sum() == pytest.approx(sum(uses.values()))
 
 
-def test_op1_score_is_a_distribution_that_generalises(spark, sf_dir):
-    """On held-out texts the score beats the model of entries alone and, where words are known, stays near the base."""
-    rows = [r for r in queries.op1_lattice(spark, sf_dir).collect() if r.held_out]
-    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -5.0
-    docs = spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string")
+def brute_word_log(weights, first_total, other_total, byte_weight, word, cache={}):
+    """log10 of a word's probability: every entry that ends at each character, in plain probabilities scaled to avoid underflow."""
+    if word not in cache:
+        s, scale = "▁" + word, 0.0
+        p = [1.0]
+        for end in range(1, len(s) + 1):
+            c = s[end - 1]
+            x = p[end - 1] * math.prod([byte_weight / other_total] * len(c.encode("utf-8", "replace")))
+            for start in range(max(0, end - 40), end):
+                w = weights.get(s[start:end])
+                if w:
+                    x += p[start] * w / (first_total if s[start] == "▁" else other_total)
+            p.append(x)
+            if x < 1e-100:
+                p = [0.0] * (len(p) - 41) + [y / x for y in p[-41:]]
+                scale += math.log10(x)
+        cache[word] = math.log10(p[-1]) + scale
+    return cache[word]
+
+
+def test_op1_score_of_whole_documents(spark, place):
+    """The marginal under the vocabulary's own scores, ranks read as 1 / (rank + 2), against a plain recursion."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path(spark, queries.PIECES))
+    normal = {sp.id_to_piece(i): abs(sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    normal = {p: 1 / (2 + min(len(normal), rank)) for p, rank in normal.items()}
+    byte_weight = 1 / (2 + len(normal))
+    first = sum(w for p, w in normal.items() if p[0] == "▁")
+    others = sum(w for p, w in normal.items() if p[0] != "▁") + 256 * byte_weight + 3e-12  # control and unknown entries
+    end_weight = others / 2
+    docs = documents(spark, place)
+    ends = sum(crc(i, 7) != 2 for i, _ in docs)
+    n = ends + sum(len(words(t)) for i, t in docs if crc(i, 7) != 2)
+    want = defaultdict(list)
+    for i, t in docs:
+        logs = [brute_word_log(normal, first, others + end_weight, byte_weight, w) + math.log10(end_weight / (others + end_weight)) + math.log10((n - ends) / n) for w in words(t)]
+        want[i].append(sum(logs) + math.log10(ends / n))
+    got = defaultdict(list)
+    for r in queries.op1_lattice(spark, place).collect():
+        got[r.doc_id].append(r.score)
+    assert {i: sorted(x) for i, x in got.items()} == {i: pytest.approx(sorted(x), rel=1e-7) for i, x in want.items()}
+
+
+def test_op1_long_words_and_many_of_them(spark, monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(4)
+    lat = lattice.Lattice.of(pieces.PieceModel.load(queries.tokenizer_path(spark, queries.PIECES)))
+    word = "".join(rng.choice("aabcdeeinorst.,;0AEéñ中ก\U0001f600-_") for _ in range(700))
+    monkeypatch.setattr(lattice, "LONG", 10_000)
+    want = lat.word_logs([word])[0]
+    monkeypatch.setattr(lattice, "LONG", 512)
+    for stretch in (1, 7, 100, 65536):
+        monkeypatch.setattr(lattice, "STRETCH", stretch)
+        assert lat.word_logs([word, "a"])[0] == pytest.approx(want, rel=1e-12)
+    began = time.time()
+    assert math.isfinite(lat.word_logs(["".join(rng.choices("abcdefgh", k=1_000_000))])[0]) and time.time() - began < 60
     from pyspark.sql import functions as F
 
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("the "), F.repeat(F.sha2(F.col("id").cast("string"), 256), 150)).alias("text"))
     scorer = lattice.learn(docs, pieces.PieceModel.load(queries.tokenizer_path(spark, queries.PIECES)), F.lit(True))
+    rows = lattice.score(docs, scorer).collect()
+    assert len(rows) == 200 and all(r.n_tokens == r.n_known == 3 and r.score < -5000 for r in rows)
+    assert max(len(r.word) for r in lattice.frequent(scorer.words).collect()) <= lattice.HEAD_BYTES
+
+
+def test_op1_whole_words_are_a_distribution(spark):
+    """With the options, known words score above their cuts, and all words' probabilities stay below one."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
     more = spark.createDataFrame([(k, chr(k)) for k in range(97, 123)], "doc_id long, text string")
-    table = {r.word: 10**r.logp for r in lattice.extended(scorer, more).words.collect()}
-    assert len(table) == 26 and table["a"] > table["b"] > table["z"] > 0 and table["c"] > table["z"]
-    assert sum(table.values()) + 10**scorer.end_log < 1
+    model = pieces.PieceModel.load(queries.tokenizer_path(spark, queries.PIECES))
+    for options in ({"rounds": 3, "whole_words": True}, {"rounds": 1}, {}):
+        scorer = lattice.learn(docs, model, F.lit(True), **options)
+        table = {r.word: 10**r.logp for r in lattice.extended(scorer, more).words.collect()}
+        assert len(table) == 26 and sum(table.values()) + 10**scorer.end_log < 1
+        if "whole_words" in options:
+            assert table["a"] > table["b"] > table["z"] > 0 and table["c"] > table["z"]
 
 
 def test_op1_head_and_tail_agree(spark, sf_dir, monkeypatch):
