@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Values of runs that a worker process keeps at most.
-KEPT = 4
+KEPT = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,25 +54,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 class Shared:
     """A value that workers read, broadcast as bytes in which its classes go by value: workers need no copy of this package."""
 
-    def __init__(self, spark: SparkSession, value):
-        self.key = uuid.uuid4().hex
+    def __init__(self, spark: SparkSession, value, owner: str):
+        self.key = (owner, "shared", uuid.uuid4().hex)
         self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     @property
     def value(self):
-        return worker_cache(("shared", self.key), lambda: pickle.loads(self._bytes.value))
+        return worker_cache(self.key, lambda: pickle.loads(self._bytes.value))
 
 
-def worker_cache(key, make):
+def worker_cache(key: tuple, make):
     """One value per Python worker process; it outlives tasks, because Spark reuses workers.
 
-    Of the values that belong to one run (their key starts with "shared"), the latest `KEPT` stay.
+    The key begins with the operator that owns the value.  A worker that turns to another operator drops the values of
+    the one before, and of values that belong to one run (the key's second part is "shared") keeps the latest `KEPT`.
     """
     store = sys.__dict__.setdefault("_tracemill_worker_cache", {})
     if key not in store:
-        if key[0] == "shared":
-            for old in [k for k in store if k[0] == "shared"][: 1 - KEPT]:
-                del store[old]
+        own = [k for k in store if k[:2] == (key[0], "shared")]
+        for old in [k for k in store if k[0] != key[0]] + (own[: 1 - KEPT] if key[1] == "shared" else []):
+            del store[old]
         store[key] = make()
     return store[key]
 

@@ -38,7 +38,7 @@ def _letters() -> np.ndarray:
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys (21 bits a character) and their counts; empty if the text has no letter."""
-    table = worker_cache("langid-letters", _letters)
+    table = worker_cache(("langid", "letters"), _letters)
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     low = table[np.minimum(points, 0xFFFF)]
     far = points > 0xFFFF
@@ -153,7 +153,7 @@ def _sum(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns of `docs`, plus the prediction and its score, under names that `docs` must not have."""
-    shared = Shared(docs.sparkSession, profiles)
+    shared = Shared(docs.sparkSession, profiles, "langid")
     at, names = docs.columns.index(text_col), docs.columns
     schema = docs.select("*").schema.add(pred_col, "string").add(score_col, "double")
 

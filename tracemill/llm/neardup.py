@@ -243,7 +243,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rule out most others and the whole sets decide.  Each text is first checked against the first of its candidates;
     of the other pairs only those between different components remain.
     """
-    frequent = Shared(docs.sparkSession, frequent_shingles(docs, text_col, shingle))
+    frequent = Shared(docs.sparkSession, frequent_shingles(docs, text_col, shingle), "neardup")
 
     def run(batches):
         import xxhash

@@ -175,14 +175,14 @@ def stretches(text: str) -> list[str]:
 def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: the id, n_tokens, the ids (unless `with_ids` is off), ids_sha256, decoded_sha256.  No shuffle."""
     id_type = docs.schema[id_col].dataType
-    shared = Shared(docs.sparkSession, model)
+    shared = Shared(docs.sparkSession, model, "pieces")
     schema = f"`{id_col}` {id_type.simpleString()}, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
         m = shared.value
-        table = worker_cache(("pieces", len(m.pieces), hash(m.pieces)), lambda: PrefixTable(m))
-        cache = worker_cache(("stretches", len(m.pieces), hash(m.pieces), with_ids), dict)
-        missed = worker_cache(("missed", len(m.pieces), hash(m.pieces), with_ids), lambda: [0])
+        table = worker_cache(("pieces", "table", len(m.pieces), hash(m.pieces)), lambda: PrefixTable(m))
+        cache = worker_cache(("pieces", "stretches", len(m.pieces), hash(m.pieces), with_ids), dict)
+        missed = worker_cache(("pieces", "missed", len(m.pieces), hash(m.pieces), with_ids), lambda: [0])
 
         def one(part: str) -> tuple[str, int, str, bytes]:
             ids = table.encode_normalized(part)

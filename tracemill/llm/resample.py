@@ -60,7 +60,7 @@ def learn(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left")
 
     def run(batches):
-        seen = worker_cache("resample-words", dict)
+        seen = worker_cache(("resample", "words"), dict)
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text, is_good in zip(batch.column(0), batch.column(1), strict=True):
@@ -86,13 +86,13 @@ def learn(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
 
 def weigh(docs: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(id, n_grams, log_weight, gumbel_key) for every row."""
-    shared = Shared(docs.sparkSession, ratio)
+    shared = Shared(docs.sparkSession, ratio, "resample")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import xxhash
 
-        seen, logs = worker_cache("resample-words", dict), shared.value.logs
+        seen, logs = worker_cache(("resample", "words"), dict), shared.value.logs
         for batch in batches:
             n, weights, keys = [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):

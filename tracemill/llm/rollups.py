@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, version: str, t
         return tiktoken.Encoding(version, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def run(batches):
-        encode = worker_cache(("tiktoken", version, len(shared.value[0])), encoder).encode_ordinary
+        encode = worker_cache(("rollups", "encoder", version, len(shared.value[0])), encoder).encode_ordinary
         for batch in batches:
             n = [len(encode(t.as_py() or "")) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], [*names, "tokenizer_version", "tokens"])
