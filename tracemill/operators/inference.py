@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 from tracemill.config import VERDICT
 from tracemill.functions.num import equiv_tokens, js_round, ratio, splitmix32, two_proportion
 
+#: Units of a bootstrap that may be broadcast.
+UNITS = 1_000_000
+
 
 def bootstrap(units: DataFrame, by: list[str], order: str, total: str, count: str, iters: int = VERDICT["iters"], seed: int = VERDICT["seed"], level: float = VERDICT["level"]) -> DataFrame:
     """Percentile interval of the pooled mean under resampling of units: (by, lo, hi, mean, n).
 
     A unit carries its sum and count, so single differences (count 1) and clusters are alike.  `order` pins which unit
     a draw means; draw b * n + i + 1 of the generator picks the i-th unit of resample b, and each group restarts it.
-    Draws are generated from the counter, without state, and meet their unit by an equi-join; a group's resamples are
-    a fixed number of rows, whatever the data.
+    Draws are made from the counter, without state, in the tasks of their resample, where they are summed: while units
+    number `UNITS` at most they are broadcast and no draw is shuffled; beyond, draws meet their unit by an equi-join.
     """
     w = W.partitionBy(*by)
     ranked = units.withColumn("_pos", F.row_number().over(w.orderBy(order)) - 1)
     sizes = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(total).alias("_sum"), F.sum(count).alias("_cnt"))
-    draws = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_b"))
-    draws = draws.select(*by, "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_i"))
+    resamples = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_b"))
+    # a fixed number: resamples are few bytes but many draws, and would be coalesced
+    resamples = resamples.repartition(4 * units.sparkSession.sparkContext.defaultParallelism, *by, "_b")
+    draws = resamples.select(*by, "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_i"))
     draw = splitmix32(F.col("_b").cast("long") * F.col("_n") + F.col("_i") + 1, seed)
     draws = draws.select(*by, "_b", F.floor(draw * F.col("_n")).cast("int").alias("_pos"))
     on = [*by, "_pos"]
-    means = draws.join(ranked.select(*on, total, count), on).groupBy(*by, "_b").agg((F.sum(total) / F.sum(count)).alias("_mean"))
+    own = ranked.select(*on, total, count)
+    own = F.broadcast(own) if units.count() <= UNITS else own
+    means = draws.join(own, on).groupBy(*by, "_b").agg((F.sum(total) / F.sum(count)).alias("_mean"))
     placed = means.withColumn("_r", F.row_number().over(w.orderBy("_mean")) - 1)
     alpha = (1 - level) / 2
     low, high = int(alpha * iters + 1e-9), min(iters - 1, int(-(-(1 - alpha) * iters // 1)) - 1)

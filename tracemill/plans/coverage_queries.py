@@ -39,12 +39,13 @@ def x3_trigger_rate(spark, sf):
     return coverage.trigger_rate(o.join(table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("expected_skill")), "c_custkey"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_name AS skill FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48), g AS (SELECT DISTINCT p_name AS skill FROM part WHERE p_size > 25)
-SELECT DISTINCT p_name AS skill, CASE WHEN p_name IN (SELECT skill FROM g) THEN 'neverTriggered' ELSE 'notExercised' END AS status FROM part WHERE p_name NOT IN (SELECT skill FROM t)""")
+@query("""WITH t AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS skill FROM lineitem WHERE l_quantity > 48), g AS (SELECT CAST(p_partkey AS VARCHAR) AS skill FROM part WHERE p_size > 25)
+SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS skill, CASE WHEN CAST(p_partkey AS VARCHAR) IN (SELECT skill FROM g) THEN 'neverTriggered' ELSE 'notExercised' END AS status FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT skill FROM t)""")
 def x4_untriggered(spark, sf):
     p = table(spark, sf, "part")
-    t = table(spark, sf, "lineitem").filter("l_quantity > 48").join(p, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("skill"))
-    return coverage.untriggered(p.select(F.col("p_name").alias("skill")), t, p.filter("p_size > 25").select(F.col("p_name").alias("expected_skill")))
+    name = F.col("p_partkey").cast("string")
+    t = table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").cast("string").alias("skill"))
+    return coverage.untriggered(p.select(name.alias("skill")), t, p.filter("p_size > 25").select(name.alias("expected_skill")))
 
 
 _PRI = "CASE c_custkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END"

@@ -45,15 +45,15 @@ def v5_file_exists(spark, sf):
     return grading.file_exists(checks, o.select("rep_id", "k", paths.alias("path")).select("rep_id", "path", content.alias("content")))
 
 
-_INV = """iv AS (SELECT user_id AS rep_id, CASE event_type WHEN 'purchase' THEN 'wallet send' WHEN 'view' THEN 'wallet balance' ELSE event_type END AS cmd, 'cli' AS tool, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END AS outcome FROM events WHERE extract('day' FROM ts) < 4),
-rp AS (SELECT DISTINCT user_id AS rep_id, user_id % 6 <> 0 AS has_trace FROM events)"""
+_INV = """iv AS (SELECT user_id * 100 + extract('day' FROM ts) AS rep_id, CASE event_type WHEN 'purchase' THEN 'wallet send' WHEN 'view' THEN 'wallet balance' ELSE event_type END AS cmd, 'cli' AS tool, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'success' END AS outcome FROM events),
+rp AS (SELECT DISTINCT user_id * 100 + extract('day' FROM ts) AS rep_id, user_id % 6 <> 0 AS has_trace FROM events)"""
 
 
 def _invocations(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").withColumn("rep_id", F.col("user_id") * 100 + F.dayofmonth("ts"))
     t = F.col("event_type")
-    inv = e.filter(F.dayofmonth("ts") < 4).select(F.col("user_id").alias("rep_id"), F.when(t == "purchase", "wallet send").when(t == "view", "wallet balance").otherwise(t).alias("cmd"), F.lit("cli").alias("tool"), F.when(F.col("event_id") % 3 == 0, "error").otherwise("success").alias("outcome"))
-    return e.select(F.col("user_id").alias("rep_id"), (F.col("user_id") % 6 != 0).alias("has_trace")).distinct(), inv
+    inv = e.select("rep_id", F.when(t == "purchase", "wallet send").when(t == "view", "wallet balance").otherwise(t).alias("cmd"), F.lit("cli").alias("tool"), F.when(F.col("event_id") % 3 == 0, "error").otherwise("success").alias("outcome"))
+    return e.select("rep_id", (F.col("user_id") % 6 != 0).alias("has_trace")).distinct(), inv
 
 
 @query(f"WITH {_INV}, h AS (SELECT DISTINCT rep_id FROM iv WHERE (cmd = 'wallet' OR starts_with(cmd, 'wallet ')) AND outcome = 'success') SELECT rep_id, has_trace AND h.rep_id IS NOT NULL AS passed FROM rp LEFT JOIN h USING (rep_id)")
@@ -89,15 +89,15 @@ def v13_policy(spark, sf):
     return table(spark, sf, "orders").select(k.alias("id"), grading.policy_decide(F.when(k % 7 == 0, "always"), F.when(k % 3 == 0, F.lit(100000.0)), F.when(k % 2 == 0, F.col("o_totalprice")), F.when(k % 5 == 0, "approve").otherwise("deny")).alias("decision"))
 
 
-_RT = """c AS (SELECT user_id AS run_id, event_type AS skill, min(event_id) AS ord FROM events WHERE event_id % 4 <> 0 AND event_id % 20 < 9 AND event_type <> 'error' GROUP BY ALL), rt AS (SELECT run_id, list(skill ORDER BY ord) AS routed FROM c GROUP BY ALL),
-x AS (SELECT user_id AS run_id, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 4 = 0 AND event_type <> 'error'), []) AS blocked, bool_or(event_id % 4 = 0 AND user_id % 3 = 0) AS anyb FROM events WHERE event_id % 20 < 9 GROUP BY ALL),
+_RT = """ed AS (SELECT *, user_id * 100 + extract('day' FROM ts) AS run_id FROM events), c AS (SELECT run_id, event_type AS skill, min(event_id) AS ord FROM ed WHERE event_id % 4 <> 0 AND event_type <> 'error' GROUP BY ALL), rt AS (SELECT run_id, list(skill ORDER BY ord) AS routed FROM c GROUP BY ALL),
+x AS (SELECT run_id, coalesce(list(DISTINCT event_type) FILTER (WHERE event_id % 4 = 0 AND event_type <> 'error'), []) AS blocked, bool_or(event_id % 4 = 0 AND run_id % 3 = 0) AS anyb FROM ed GROUP BY ALL),
 z AS (SELECT x.run_id, coalesce(routed, []) AS routed, CASE WHEN x.run_id % 3 = 0 THEN blocked ELSE [] END AS blocked, anyb, CASE x.run_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['click'] WHEN 2 THEN ['view', 'signup'] ELSE ['purchase'] END AS want, CASE WHEN x.run_id % 5 = 0 THEN ['view', 'signup', 'click', 'purchase'] ELSE ['view'] END AS allowed FROM x LEFT JOIN rt USING (run_id))"""
 
 
 def _routing(spark, sf):
-    e = table(spark, sf, "events").filter("event_id % 20 < 9")
-    u = F.col("user_id")
-    # calls of users divisible by three keep their blocks, others' blocked calls are plain errors
+    e = table(spark, sf, "events")
+    u = F.col("user_id") * 100 + F.dayofmonth("ts")
+    # calls of runs (a user's day) divisible by three keep their blocks, others' blocked calls are plain errors
     outcome = F.when((F.col("event_id") % 4 == 0) & (u % 3 == 0), "permission-artifact").when(F.col("event_id") % 4 == 0, "other").otherwise("success")
     calls = e.select(u.alias("run_id"), F.col("event_id").alias("ord"), F.when((F.col("event_type") != "error") & (outcome != "other"), "Skill").otherwise("Bash").alias("name"), F.col("event_type").alias("skill"), outcome.alias("outcome"))
     r, k = grading.routed(calls), F.col("run_id")

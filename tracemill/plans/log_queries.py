@@ -25,11 +25,11 @@ def session_logs(spark, sf) -> DataFrame:
     line = lambda head, body: F.concat(F.lit('{"type":"'), F.lit(head), F.lit('","timestamp":"'), stamp, F.lit('",'), body, F.lit("}"))
     quoted = lambda s: F.regexp_extract(F.to_json(F.struct(s.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     said = F.concat(
-        F.lit('"requestId":"q'), F.floor(t / 3).cast("string"), F.lit('","message":{"model":"m","content":[{"type":"text","text":'), quoted(F.left("text", F.lit(20))), F.lit('},{"type":"tool_use","id":"t'), t.cast("string"),
+        F.lit('"requestId":"q'), F.floor(t / 3).cast("string"), F.lit('","message":{"model":"m","content":[{"type":"text","text":'), quoted(F.col("text")), F.lit('},{"type":"tool_use","id":"t'), t.cast("string"),
         F.lit('","name":"'), name, F.lit('","input":'), arg, F.lit('}],"usage":{"input_tokens":'), F.length("text").cast("string"), F.lit(',"output_tokens":'), t.cast("string"), F.lit("}}"),
     )
-    back = F.concat(F.lit('"message":{"content":[{"type":"tool_result","tool_use_id":"t'), (t - 1).cast("string"), F.lit('","is_error":'), (t % 3 == 0).cast("string"), F.lit(',"content":'), quoted(F.left("text", F.lit(10))), F.lit("}]}"))
-    note = F.concat(F.lit('"attachment":{"a":'), quoted(F.left("text", F.lit(30))), F.lit("}"))
+    back = F.concat(F.lit('"message":{"content":[{"type":"tool_result","tool_use_id":"t'), (t - 1).cast("string"), F.lit('","is_error":'), (t % 3 == 0).cast("string"), F.lit(',"content":'), quoted(F.col("text")), F.lit("}]}"))
+    note = F.concat(F.lit('"attachment":{"a":'), quoted(F.col("text")), F.lit("}"))
     raw = F.when(F.col("role") == "assistant", line("assistant", said)).when(F.col("role") == "user", line("user", back)).otherwise(line("attachment", note))
     rows = c.select(F.col("conv_id").cast("string").alias("source"), t.alias("turn"), raw.alias("raw"))
     return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "raw"))), lambda x: x["raw"]), "\n").alias("value"))
@@ -39,9 +39,9 @@ def parsed(spark, sf) -> logs.Parsed:
     return logs.parse(logs.lines_of(session_logs(spark, sf)))
 
 
-_ROUNDS = """rd AS (SELECT conv_id, turn // 3 AS q, min(turn) AS t0, max(turn) AS t1, string_agg(left(text, 20), '' ORDER BY turn) AS text, max_by(length(text), turn) AS footprint, count(*) AS n_calls FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+_ROUNDS = """rd AS (SELECT conv_id, turn // 3 AS q, min(turn) AS t0, max(turn) AS t1, string_agg(text, '' ORDER BY turn) AS text, max_by(length(text), turn) AS footprint, count(*) AS n_calls FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 en AS (SELECT conv_id, max(turn) AS e FROM conversations GROUP BY ALL), rs AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t0) AS seq FROM rd),
-cl AS (SELECT c.conv_id, c.turn, CASE WHEN c.turn % 2 = 0 THEN 'Bash' ELSE 'Skill' END AS name, u.turn IS NOT NULL AND u.turn % 3 = 0 AS is_error, left(u.text, 10) AS result FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.turn + 1 AND u.role = 'user' WHERE c.role = 'assistant')"""
+cl AS (SELECT c.conv_id, c.turn, CASE WHEN c.turn % 2 = 0 THEN 'Bash' ELSE 'Skill' END AS name, u.turn IS NOT NULL AND u.turn % 3 = 0 AS is_error, u.text AS result FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.turn = c.turn + 1 AND u.role = 'user' WHERE c.role = 'assistant')"""
 
 
 @query(f"""WITH {_ROUNDS} SELECT CAST(rs.conv_id AS VARCHAR) AS run_id, seq, text, footprint, t1 AS out, coalesce(lead(t0) OVER (PARTITION BY rs.conv_id ORDER BY t0), e) * 1000 - t0 * 1000 AS duration_ms FROM rs JOIN en USING (conv_id)""")
@@ -54,7 +54,7 @@ def p5_tool_results(spark, sf):
     return parsed(spark, sf).tool_calls.select("run_id", "call_id", "name", "is_error", "result", "ordinal")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS run_id, left(text, 30) AS text, 'attachment' AS src_kind FROM conversations WHERE role = 'system' AND length(left(text, 30)) > 2")
+@query("SELECT CAST(conv_id AS VARCHAR) AS run_id, text, 'attachment' AS src_kind FROM conversations WHERE role = 'system' AND length(text) > 2")
 def p9_user_events(spark, sf):
     return parsed(spark, sf).user_events.select("run_id", "text", "src_kind")
 

@@ -76,19 +76,19 @@ def d7_co_trigger_graph(spark, sf):
     return edges.select("a", "b", js_round(F.col("rate"), 6).alias("rate"), F.lit("edge").alias("kind")).unionByName(nodes.select(F.col("skill").alias("a"), F.lit(None).cast("string").alias("b"), js_round(F.col("trigger_rate"), 6).alias("rate"), F.lit("node").alias("kind")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 7 + 3) % 25 AS b FROM supplier WHERE s_suppkey % 3 = 0), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 7 + 3) % 25 AS b FROM supplier), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(x, y) AS (SELECT x, x FROM n UNION SELECT c.x, u.b FROM c JOIN u ON c.y = u.a),
 m AS (SELECT x, min(lpad(CAST(y AS VARCHAR), 2, '0')) AS comp FROM c GROUP BY x)
 SELECT comp AS component, string_agg(lpad(CAST(x AS VARCHAR), 2, '0'), ',' ORDER BY lpad(CAST(x AS VARCHAR), 2, '0')) AS members FROM m GROUP BY comp HAVING count(*) >= 2""")
 def d8_merge_map(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select("s_nationkey").distinct()
+    s = table(spark, sf, "supplier").select("s_nationkey").distinct()
     name = lambda c: F.lpad(c.cast("string"), 2, "0")
     e = s.select(name(F.col("s_nationkey")).alias("a"), name((F.col("s_nationkey") * 7 + 3) % 25).alias("b"))
     nodes = e.select(F.col("a").alias("skill")).union(e.select("b"))
     return graph.merge_groups(nodes, e).withColumn("members", F.array_join("members", ","))
 
 
-_JACCARD = """s AS (SELECT CAST(s_nationkey AS VARCHAR) AS skill, l_orderkey AS session, o_orderpriority AS category, CAST(l_partkey % 50 AS VARCHAR) AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40)"""
+_JACCARD = """s AS (SELECT CAST(s_nationkey AS VARCHAR) AS skill, l_orderkey AS session, o_orderpriority AS category, CAST(l_partkey % 50 AS VARCHAR) AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query(f"""WITH {_JACCARD}, z AS (SELECT skill, category, count(DISTINCT session) AS n FROM s GROUP BY ALL), f AS (SELECT DISTINCT skill, category, ref FROM s), k AS (SELECT skill, category, count(*) AS size FROM f GROUP BY ALL),
@@ -101,7 +101,7 @@ SELECT g.skill, categories, g.n, CASE WHEN categories >= 2 AND least >= 5 THEN j
 def d9_jaccard_split(spark, sf):
     from tracemill.functions.num import js_round
 
-    li = table(spark, sf, "lineitem").filter("l_quantity > 40")
+    li = table(spark, sf, "lineitem")
     j = li.join(table(spark, sf, "supplier"), li.l_suppkey == F.col("s_suppkey")).join(table(spark, sf, "orders"), li.l_orderkey == F.col("o_orderkey"))
     s = j.select(F.col("s_nationkey").cast("string").alias("skill"), F.col("l_orderkey").alias("session"), F.col("o_orderpriority").alias("category"), (F.col("l_partkey") % 50).cast("string").alias("ref"))
     return graph.jaccard_split(s.select("skill", "session", "category").distinct(), s.select("skill", "session", "ref").distinct()).withColumn("mean_jaccard", js_round(F.col("mean_jaccard"), 4))

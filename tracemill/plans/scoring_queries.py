@@ -131,27 +131,27 @@ def deltas(spark, sf):
     return g.filter("nn > 0 and no > 0").select("task_id", "delta")
 
 
-@query(f"""WITH {_DELTAS}, o AS (SELECT delta, row_number() OVER (ORDER BY task_id) - 1 AS pos FROM dl WHERE task_id % 40 = 0), n AS (SELECT count(*) AS n FROM o),
-d AS (SELECT b.range AS b, i.range AS i, n FROM n, range(2000) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'b, n')}),
+@query(f"""WITH {_DELTAS}, o AS (SELECT delta, row_number() OVER (ORDER BY task_id) - 1 AS pos FROM dl), n AS (SELECT count(*) AS n FROM o),
+d AS (SELECT b.range AS b, i.range AS i, n FROM n, range(10000) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'b, n')}),
 m AS (SELECT b, sum(delta) / CAST(count(*) AS DOUBLE) AS mean FROM u JOIN o ON o.pos = CAST(floor(u * n) AS BIGINT) GROUP BY b), k AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS r FROM m)
-SELECT (SELECT {r('mean')} FROM k WHERE r = 50) AS lo, (SELECT {r('mean')} FROM k WHERE r = 1949) AS hi, (SELECT {r('sum(delta) / CAST(count(*) AS DOUBLE)')} FROM o) AS mean, (SELECT n FROM n) AS n""")
+SELECT (SELECT {r('mean')} FROM k WHERE r = 250) AS lo, (SELECT {r('mean')} FROM k WHERE r = 9749) AS hi, (SELECT {r('sum(delta) / CAST(count(*) AS DOUBLE)')} FROM o) AS mean, (SELECT n FROM n) AS n""")
 def u2_paired_bootstrap(spark, sf):
-    d = deltas(spark, sf).filter("task_id % 40 = 0").withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
-    return inference.bootstrap(d, ["g"], "task_id", "delta", "one", iters=2000).drop("g")
+    d = deltas(spark, sf).withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
+    return inference.bootstrap(d, ["g"], "task_id", "delta", "one").drop("g")
 
 
-_SEG = "sg AS (SELECT c_mktsegment AS skill, task_id AS case_id, delta FROM dl JOIN customer ON c_custkey = task_id WHERE task_id % 30 = 0)"
+_SEG = "sg AS (SELECT c_mktsegment AS skill, task_id AS case_id, delta FROM dl JOIN customer ON c_custkey = task_id)"
 
 
 @query(f"""WITH {_DELTAS}, {_SEG}, o AS (SELECT skill, delta, row_number() OVER (PARTITION BY skill ORDER BY case_id) - 1 AS pos, count(*) OVER (PARTITION BY skill) AS n FROM sg), n AS (SELECT DISTINCT skill, n FROM o),
-d AS (SELECT skill, b.range AS b, i.range AS i, n FROM n, range(500) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'skill, b, n')}),
+d AS (SELECT skill, b.range AS b, i.range AS i, n FROM n, range(10000) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'skill, b, n')}),
 m AS (SELECT u.skill, b, sum(delta) / CAST(count(*) AS DOUBLE) AS mean FROM u JOIN o ON o.skill = u.skill AND o.pos = CAST(floor(u * u.n) AS BIGINT) GROUP BY ALL), k AS (SELECT skill, mean, row_number() OVER (PARTITION BY skill ORDER BY mean) - 1 AS r FROM m),
-ci AS (SELECT skill, {r('max(mean) FILTER (WHERE r = 12)')} AS lo, {r('max(mean) FILTER (WHERE r = 487)')} AS hi FROM k GROUP BY ALL), pt AS (SELECT skill, {r('sum(delta) / CAST(count(*) AS DOUBLE)')} AS mean, count(*) AS n FROM o GROUP BY ALL)
+ci AS (SELECT skill, {r('max(mean) FILTER (WHERE r = 250)')} AS lo, {r('max(mean) FILTER (WHERE r = 9749)')} AS hi FROM k GROUP BY ALL), pt AS (SELECT skill, {r('sum(delta) / CAST(count(*) AS DOUBLE)')} AS mean, count(*) AS n FROM o GROUP BY ALL)
 SELECT skill, lo, hi, mean, n FROM ci JOIN pt USING (skill)""")
 def u3_cluster_bootstrap(spark, sf):
     seg = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_mktsegment").alias("skill"))
-    d = deltas(spark, sf).filter("task_id % 30 = 0").join(seg, "task_id").withColumn("one", F.lit(1))
-    return inference.bootstrap(d, ["skill"], "task_id", "delta", "one", iters=500)
+    d = deltas(spark, sf).join(seg, "task_id").withColumn("one", F.lit(1))
+    return inference.bootstrap(d, ["skill"], "task_id", "delta", "one")
 
 
 _P = "CASE WHEN c_custkey % 7 = 0 THEN (c_custkey % 400) / 100000e0 ELSE (c_custkey % 997) / 997e0 END"
@@ -195,15 +195,15 @@ def u7_verdict(spark, sf):
 
 
 @query(f"""WITH {_DELTAS}, {_SEG}, o AS (SELECT skill, delta, row_number() OVER (PARTITION BY skill ORDER BY case_id) - 1 AS pos, count(*) OVER (PARTITION BY skill) AS n FROM sg), n AS (SELECT DISTINCT skill, n FROM o WHERE n >= 5),
-d AS (SELECT skill, b.range AS b, i.range AS i, n FROM n, range(400) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'skill, b, n')}),
+d AS (SELECT skill, b.range AS b, i.range AS i, n FROM n, range(10000) b, range(n.n) i), u AS ({_uniform('d', '(b * n + i + 1)', 'skill, b, n')}),
 m AS (SELECT u.skill, b, sum(delta) / CAST(count(*) AS DOUBLE) AS mean FROM u JOIN o ON o.skill = u.skill AND o.pos = CAST(floor(u * u.n) AS BIGINT) GROUP BY ALL), k AS (SELECT skill, mean, row_number() OVER (PARTITION BY skill ORDER BY mean) - 1 AS r FROM m),
-ci AS (SELECT skill, {r('max(mean) FILTER (WHERE r = 10)')} AS lo, {r('max(mean) FILTER (WHERE r = 389)')} AS hi FROM k GROUP BY ALL), pv AS (SELECT *, CASE WHEN lo <= 0 AND hi >= 0 THEN 1e0 ELSE 1e-2 END AS p_value FROM ci),
+ci AS (SELECT skill, {r('max(mean) FILTER (WHERE r = 250)')} AS lo, {r('max(mean) FILTER (WHERE r = 9749)')} AS hi FROM k GROUP BY ALL), pv AS (SELECT *, CASE WHEN lo <= 0 AND hi >= 0 THEN 1e0 ELSE 1e-2 END AS p_value FROM ci),
 bh AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM pv), cut AS (SELECT max(k) AS c FROM bh WHERE p_value <= k / CAST(m AS DOUBLE) * 5e-2), pt AS (SELECT skill, {r('sum(delta) / CAST(count(*) AS DOUBLE)')} AS mean, count(*) AS n_cases FROM o GROUP BY ALL)
 SELECT pt.skill, n_cases, CASE WHEN n_cases < 5 THEN 'insufficient-data' WHEN n_cases <= 7 THEN 'reference-only' ELSE 'ok' END AS badge, pt.mean, lo, hi, p_value, coalesce(bh.k <= coalesce((SELECT c FROM cut), 0), false) AS significant FROM pt LEFT JOIN bh USING (skill)""")
 def u8_per_skill(spark, sf):
     seg = table(spark, sf, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_mktsegment").alias("skill"))
-    units = deltas(spark, sf).filter("task_id % 30 = 0").join(seg, "task_id").withColumnRenamed("task_id", "case_id")
-    return inference.per_skill(units, iters=400)
+    units = deltas(spark, sf).join(seg, "task_id").withColumnRenamed("task_id", "case_id")
+    return inference.per_skill(units)
 
 
 @query("SELECT c_mktsegment || '×' || CAST(c_nationkey AS VARCHAR) AS cluster, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS case_ids FROM customer WHERE c_acctbal < 0 GROUP BY ALL")
@@ -221,8 +221,8 @@ def m5_equiv_tokens(spark, sf):
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\\b429\\b|too many requests') THEN 'rate-limit-429' WHEN regexp_matches(t, '(?i)\\b529\\b|overloaded') THEN 'overloaded-529'
   WHEN regexp_matches(t, '(?i)\\b53017\\b|auth\\w*\\s*(token\\s*)?expir|token\\s*expir') THEN 'auth-expired' WHEN regexp_matches(t, 'ECONNREFUSED|ETIMEDOUT') THEN 'conn-refused' WHEN regexp_matches(t, '(?i)rate[\\s_-]?limit(?:ed|ing)?') THEN 'rate-limit' END AS label
-FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'HTTP 429 ' WHEN 1 THEN 'auth token expired ' WHEN 2 THEN 'ECONNREFUSED ' WHEN 3 THEN 'rate_limited ' WHEN 4 THEN '4290 ' WHEN 5 THEN 'timeout ' ELSE 'Overloaded ' END || left(text, 20) AS t FROM documents)""")
+FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'HTTP 429 ' WHEN 1 THEN 'auth token expired ' WHEN 2 THEN 'ECONNREFUSED ' WHEN 3 THEN 'rate_limited ' WHEN 4 THEN '4290 ' WHEN 5 THEN 'timeout ' ELSE 'Overloaded ' END || text AS t FROM documents)""")
 def g10_env_noise(spark, sf):
     k = F.col("doc_id") % 7
     t = F.when(k == 0, "HTTP 429 ").when(k == 1, "auth token expired ").when(k == 2, "ECONNREFUSED ").when(k == 3, "rate_limited ").when(k == 4, "4290 ").when(k == 5, "timeout ").otherwise("Overloaded ")
-    return table(spark, sf, "documents").select("doc_id", scoring.env_noise(F.concat(t, F.left("text", F.lit(20)))).alias("label"))
+    return table(spark, sf, "documents").select("doc_id", scoring.env_noise(F.concat(t, "text")).alias("label"))

@@ -91,9 +91,9 @@ def m14_skill_trend(spark, sf):
     return metrics.skill_trend(o).withColumn("series", F.array_join(F.transform("series", lambda x: x.cast("string")), ","))
 
 
-@query("SELECT event_id, event_type || '@' || user_id AS run, value AS v FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+@query("SELECT event_id, event_type || '@' || user_id AS run, value AS v FROM events ORDER BY ts DESC, event_id DESC")
 def m11_list_runs(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", F.concat_ws("@", "event_type", F.col("user_id").cast("string")).alias("run"), F.col("value").alias("v"))
+    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", F.concat_ws("@", "event_type", F.col("user_id").cast("string")).alias("run"), F.col("value").alias("v"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '***', 'g'), '\\beyJ[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{6,}\\b', '***', 'g'), '(?i)\\b(token|secret|password|apikey|api_key)\\s*[=:]\\s*\\S+', '\\1=***', 'g') AS redacted FROM documents")
@@ -202,9 +202,9 @@ def l13_drift(spark, sf):
     return lint.shared_drift(table(spark, sf, "documents").select(F.col("source").alias("name"), F.concat("lang", (F.col("doc_id") % 40).cast("string")).alias("path"), F.col("text").alias("content")))
 
 
-@query("SELECT doc_id AS name, length(text) AS desc_chars, len(string_split(left(text, 50), ' ')) AS trigger_count, 0 AS shared_refs, CAST(ceil(length(text) / 4e0) AS BIGINT) AS tax_tokens FROM documents")
+@query("SELECT doc_id AS name, length(text) AS desc_chars, len(string_split(text, ' ')) AS trigger_count, 0 AS shared_refs, CAST(ceil(length(text) / 4e0) AS BIGINT) AS tax_tokens FROM documents")
 def l14_tax(spark, sf):
-    return lint.tax_table(table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("description"), F.split(F.left("text", F.lit(50)), " ").alias("triggers"), F.array().alias("shared")))
+    return lint.tax_table(table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("description"), F.split("text", " ").alias("triggers"), F.array().alias("shared")))
 
 
 @query("SELECT count(DISTINCT o_orderstatus) AS versions, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS seen FROM orders HAVING count(DISTINCT o_orderstatus) > 1")
@@ -235,11 +235,11 @@ def t1_search(spark, sf):
     return trend.search(table(spark, sf, "documents"), "text", "doc_id", "Token").select("doc_id", "snippet")
 
 
-_REPORTS = "rp AS (SELECT c_mktsegment AS cohort, CAST((o_orderkey // 40) % 3 AS VARCHAR) AS lineage, o_orderdate AS created_at, o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 20 = 0), sg AS (SELECT *, sum(ch) OVER (PARTITION BY cohort ORDER BY created_at, id) AS segment FROM (SELECT *, CASE WHEN lag(lineage) OVER (PARTITION BY cohort ORDER BY created_at, id) = lineage THEN 0 ELSE 1 END AS ch FROM rp) z)"
+_REPORTS = "rp AS (SELECT c_mktsegment AS cohort, CAST((o_orderkey // 40) % 3 AS VARCHAR) AS lineage, o_orderdate AS created_at, o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey), sg AS (SELECT *, sum(ch) OVER (PARTITION BY cohort ORDER BY created_at, id) AS segment FROM (SELECT *, CASE WHEN lag(lineage) OVER (PARTITION BY cohort ORDER BY created_at, id) = lineage THEN 0 ELSE 1 END AS ch FROM rp) z)"
 
 
 def _reports(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return o.select(F.col("c_mktsegment").alias("cohort"), (F.floor(F.col("o_orderkey") / 40) % 3).cast("string").alias("lineage"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))
 
 

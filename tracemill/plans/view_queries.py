@@ -151,10 +151,10 @@ def o10_red_list(spark, sf):
     return views.red_list(table(spark, sf, "part").select(F.col("p_partkey").alias("skill"), (z % 2 == 0).alias("significant"), (z - 25).alias("mean"), F.when(z % 3 == 0, "ok").otherwise("reference-only").alias("badge"))).select("skill", "flag")
 
 
-@query(f"""WITH q AS (SELECT o_orderkey AS id, o_orderpriority AS suite, o_orderstatus AS verdict, (o_orderkey % 8) / 8e0 AS l1, lag(o_orderkey) OVER w AS p, lag(o_orderstatus) OVER w AS pv, lag((o_orderkey % 8) / 8e0) OVER w AS pl FROM orders WHERE o_custkey % 5 = 0 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey))
+@query(f"""WITH q AS (SELECT o_orderkey AS id, o_orderpriority AS suite, o_orderstatus AS verdict, (o_orderkey % 8) / 8e0 AS l1, lag(o_orderkey) OVER w AS p, lag(o_orderstatus) OVER w AS pv, lag((o_orderkey % 8) / 8e0) OVER w AS pl FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey))
 SELECT id, p AS prev_id, verdict, pv AS prev_verdict, {r('100 * (l1 - pl)')} AS l1_delta_pp FROM q""")
 def u17_report_diff(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey % 5 = 0")
+    o = table(spark, sf, "orders")
     rate = (F.col("o_orderkey") % 8) / 8.0
     x = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite"), F.lit("m").alias("model"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("verdict"), rate.alias("l1_rate"), rate.alias("l2_rate"), rate.alias("l3_rate"))
     return views.report_diff(x).select("id", "prev_id", "verdict", "prev_verdict", "l1_delta_pp")
@@ -175,9 +175,9 @@ def u16_report_json(spark, sf):
     return views.report_json(o, ["cost"])
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS suite FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
+@query("SELECT o_orderkey AS id, o_orderpriority AS suite FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC")
 def t2_list_reports(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite"))
+    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite"))
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT run_id, max(ordinal) + 1 AS rounds FROM ev GROUP BY ALL) SELECT {r('avg(rounds)', 2)} AS mean, min(rounds) AS min, max(rounds) AS max FROM n""")
