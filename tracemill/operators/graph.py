@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.config import DEPGRAPH
+from tracemill.storage import written
 
 
 def read_rates(triggers: DataFrame, reads: DataFrame) -> DataFrame:
     """P(ref read | a skill that owns it triggered): (ref, n, numer, rate, advice)."""
     owners = reads.select("ref", "skill").distinct()
-    exposed = owners.join(triggers, "skill").select("ref", "session").distinct()
-    hit = reads.select("ref", "session", F.lit(1).alias("hit")).distinct()
-    rated = exposed.join(hit, ["ref", "session"], "left").groupBy("ref").agg(F.count("*").alias("n"), F.count("hit").alias("numer"))
+    own = triggers.select("session", "skill").distinct()
+    # exposures are counted by skill before references come in; only references with several owners need their sessions
+    owned = owners.groupBy("ref").agg(F.count("*").alias("_o"), F.first("skill").alias("skill"))
+    alone = owned.filter("_o = 1").select("ref", "skill")
+    n_alone = alone.join(own.groupBy("skill").agg(F.count("*").alias("n")), "skill").select("ref", "n")
+    shared = owners.join(owned.filter("_o > 1").select("ref"), "ref", "left_semi")
+    n_shared = shared.join(own, "skill").select("ref", "session").distinct().groupBy("ref").agg(F.count("*").alias("n"))
+    # a read counts if some owner triggered in its session
+    hit = reads.select("ref", "session").distinct().join(owners, "ref").join(own, ["session", "skill"], "left_semi").groupBy("ref").agg(F.count_distinct("session").alias("numer"))
+    rated = n_alone.unionByName(n_shared).join(hit, "ref", "left").select("ref", "n", F.coalesce("numer", F.lit(0)).alias("numer"))
     all_refs = owners.select("ref").distinct().join(rated, "ref", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("numer", F.lit(0)).alias("numer"))
     rate = F.when(F.col("n") > 0, F.col("numer") / F.col("n"))
     advice = F.when(rate >= DEPGRAPH["inline"], "inline").when(rate <= DEPGRAPH["external"], "external").when(rate.isNotNull(), "gray-zone-section-split")
@@ -50,24 +58,23 @@ def co_trigger_graph(triggers: DataFrame, n_sessions: int, least: float = DEPGRA
 def merge_groups(nodes: DataFrame, edges: DataFrame, excluded: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
     """Connected components of two skills or more, without excluded ones: (component, members).
 
-    Smallest-label propagation with pointer jumping; labels are checkpointed each round, where the session names a
-    checkpoint folder, and rounds grow with the logarithm of a component's width.
+    Smallest-label propagation with pointer jumping; each round's labels are written to the shared folder, and rounds
+    grow with the logarithm of a component's width.  Labels that have not settled after `max_rounds` are an error.
     """
     keep = ~F.col("skill").isin(*excluded) if excluded else F.lit(True)
-    labels = nodes.select("skill").distinct().filter(keep).withColumn("label", F.col("skill"))
+    labels = written(nodes.select("skill").distinct().filter(keep).withColumn("label", F.col("skill")), "labels")
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     both = both.join(labels.select(F.col("skill").alias("a")), "a", "left_semi").join(labels.select(F.col("skill").alias("b")), "b", "left_semi").select("a", "b")
-    saved = labels.sparkSession.sparkContext.getCheckpointDir() is not None
+    both = written(both.distinct(), "edges")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("skill").alias("b"), "label"), "b").groupBy(F.col("a").alias("skill")).agg(F.min("label").alias("near"))
         step = labels.join(near, "skill", "left").select("skill", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("via"))
         up = labels.select(F.col("skill").alias("via"), F.col("label").alias("top"))
-        new = step.join(up, "via").select("skill", "old", F.least("via", "top").alias("label"))
-        new = new.checkpoint() if saved else new.persist()
+        new = written(step.join(up, "via").select("skill", "old", F.least("via", "top").alias("label")), "labels")
         labels = new.select("skill", "label")
         if new.filter("old <> label").isEmpty():
-            break
-    return labels.groupBy(F.col("label").alias("component")).agg(F.sort_array(F.collect_list("skill")).alias("members")).filter(F.size("members") >= 2)
+            return labels.groupBy(F.col("label").alias("component")).agg(F.sort_array(F.collect_list("skill")).alias("members")).filter(F.size("members") >= 2)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def jaccard_split(sessions: DataFrame, reads: DataFrame) -> DataFrame:

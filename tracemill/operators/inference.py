@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,11 +46,22 @@ def bootstrap(units: DataFrame, by: list[str], order: str, total: str, count: st
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    """Adds `rejected`: step-up control of the false discovery rate within a family (`by`)."""
-    family = W.partitionBy(*(by or [F.lit(0)]))
-    ranked = tests.withColumn("_k", F.row_number().over(family.orderBy(p))).withColumn("_m", F.count("*").over(family))
-    cut = F.max(F.when(F.col(p) <= F.col("_k") / F.col("_m") * q, F.col("_k"))).over(family)
-    return ranked.withColumn("rejected", F.col("_k") <= F.coalesce(cut, F.lit(0))).drop("_k", "_m")
+    """Adds `rejected`: step-up control of the false discovery rate within a family (`by`); null p-values are not rejected.
+
+    Equal p-values are one row with their count.  A running count over bins of values, and one within each bin, rank
+    them, so no task sorts a whole family.
+    """
+    by = by or []
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] or [F.lit(True)]
+    values = tests.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_c")).withColumn("_bin", F.floor(F.least(F.lit(1.0), F.col("_p")) * 1024))
+    bins = values.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c"))
+    before = bins.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy(*by, F.lit(0)).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("_m", F.sum("_c").over(W.partitionBy(*by, F.lit(0)))).drop("_c")
+    within = values.withColumn("_k", F.sum("_c").over(W.partitionBy(*by, "_bin").orderBy("_p")))
+    ranked = within.alias("a").join(before.alias("b"), reduce(lambda x, y: x & y, same("a", "b")) & (F.col("a._bin") == F.col("b._bin"))).select(*(F.col(f"a.{c}") for c in by), "_p", (F.col("_k") + F.col("_before")).alias("_k"), "_m")
+    cut = ranked.groupBy(*by).agg(F.max(F.when(F.col("_p") <= F.col("_k") / F.col("_m") * q, F.col("_p"))).alias("_cut"))
+    joined = tests.alias("a").join(F.broadcast(cut).alias("b"), reduce(lambda x, y: x & y, same("a", "b")), "left")
+    return joined.select("a.*", F.coalesce(F.col(f"a.{p}") <= F.col("_cut"), F.lit(False)).alias("rejected"))
 
 
 def non_inferior(low: Column, delta: float = VERDICT["delta_pp"]) -> Column:

@@ -58,9 +58,17 @@ def loops(calls: DataFrame, least: int = 4) -> DataFrame:
     """Runs of one tool with equal inputs, or inputs that extend the first: (run_id, type, tool, first_ord, count).
 
     `calls` has run_id, ord, tool, input, is_error.  Equality with the first input of the current island depends on
-    where the island began, so each run's calls are folded in order; repeated errors of one tool are islands by lag.
+    where the island began, so calls are folded in order, but only within a stretch of one tool that has `least` calls
+    and, of these, between calls whose inputs begin alike; repeated errors of one tool are islands by lag.
     """
     calls = calls.select("run_id", "ord", "tool", F.coalesce("input", F.lit("")).alias("input"), F.coalesce("is_error", F.lit(False)).alias("is_error"))
+    w = W.partitionBy("run_id").orderBy("ord")
+    # an island ends at the latest where the tool changes, or (unless some input is empty, which all extend) where first characters do
+    other = F.coalesce(F.lag("tool").over(w) != F.col("tool"), F.lit(True))
+    stretches = calls.withColumn("_t", F.sum(other.cast("int")).over(w)).withColumn("_e", F.bool_or(F.col("input") == "").over(W.partitionBy("run_id", "_t")))
+    turn = F.coalesce(F.lag("_t").over(w) != F.col("_t"), F.lit(True)) | (~F.col("_e") & (F.left(F.lag("input").over(w), F.lit(1)) != F.left("input", F.lit(1))))
+    stretches = stretches.withColumn("_s", F.sum(turn.cast("int")).over(w)).drop("_t", "_e")
+    stretches = stretches.join(stretches.groupBy("run_id", "_s").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("run_id", "_s"), ["run_id", "_s"], "left_semi")
     step = F.array_sort(F.collect_list(F.struct("ord", "tool", "input")))
     start = F.lit(None).cast("struct<open:struct<tool:string,input:string,first:bigint,n:int>,done:array<struct<tool:string,input:string,first:bigint,n:int>>>")
 
@@ -71,9 +79,8 @@ def loops(calls: DataFrame, least: int = 4) -> DataFrame:
         done = F.when(acc.isNull(), F.array().cast("array<struct<tool:string,input:string,first:bigint,n:int>>")).when(same | (acc["open"]["n"] < least), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
         return F.struct(F.when(same, grown).otherwise(fresh).alias("open"), done.alias("done"))
 
-    whole = calls.groupBy("run_id").agg(F.aggregate(step, start, push, lambda a: F.when(a["open"]["n"] >= least, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])).alias("found"))
+    whole = stretches.groupBy("run_id", "_s").agg(F.aggregate(step, start, push, lambda a: F.when(a["open"]["n"] >= least, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])).alias("found"))
     same_input = whole.select("run_id", F.explode("found").alias("f")).select("run_id", F.lit("identical-input").alias("type"), F.col("f.tool").alias("tool"), F.col("f.first").alias("first_ord"), F.col("f.n").cast("long").alias("count"))
-    w = W.partitionBy("run_id").orderBy("ord")
     change = F.coalesce((F.lag("tool").over(w) != F.col("tool")) | (F.lag("is_error").over(w) != F.col("is_error")), F.lit(True))
     islands = calls.withColumn("_c", change.cast("int")).withColumn("_i", F.sum("_c").over(w))
     errors = islands.filter("is_error").groupBy("run_id", "_i", "tool").agg(F.min("ord").cast("long").alias("first_ord"), F.count("*").alias("count")).filter(F.col("count") >= least)

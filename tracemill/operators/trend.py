@@ -45,10 +45,16 @@ def previous(reports: DataFrame, by: list[str]) -> DataFrame:
 
 def prune(items: DataFrame, by: list[str], now_ms: int, older_than_ms: int | None = None, most: int | None = None) -> DataFrame:
     """Items to delete: too old, or beyond the newest `most`.  items: id, ts_ms."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ts_ms"), "id"))
-    old = F.lit(False) if older_than_ms is None else (F.lit(now_ms) - F.col("ts_ms")) > older_than_ms
-    beyond = F.lit(False) if most is None else F.col("_rank") > most
-    return items.withColumn("_rank", rank).filter(old | beyond).drop("_rank")
+    old = F.lit(False) if older_than_ms is None else F.coalesce((F.lit(now_ms) - F.col("ts_ms")) > older_than_ms, F.lit(False))
+    if most is None:
+        return items.filter(old)
+    # the newest `most` of 64 slices, then of those; what is not among them goes, and no task ranks all items
+    newest = [F.desc("ts_ms"), F.asc("id")]
+    slice_ = items.select(*by, "id", "ts_ms", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_s"))
+    some = slice_.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_s").orderBy(*newest))).filter(F.col("_r") <= most)
+    kept = some.withColumn("_r", F.row_number().over(W.partitionBy(*by, F.lit(0)).orderBy(*newest))).filter(F.col("_r") <= most)
+    marked = items.join(kept.select("id", F.lit(True).alias("_kept")).distinct(), "id", "left")
+    return marked.filter(old | F.col("_kept").isNull()).drop("_kept")
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,15 +32,21 @@ def x14_ngrams(spark, sf):
     return proximity.ngrams(e).withColumn("seq", F.array_join("seq", ">"))
 
 
-@query(f"""WITH {EVENTS}, c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS ch FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM c)
-SELECT user_id AS run_id, 'identical-input' AS type, event_type AS tool, min(ord) AS first_ord, count(*) AS count FROM i GROUP BY user_id, isl, event_type HAVING count(*) >= 4
-UNION ALL SELECT user_id, 'repeated-error', event_type, min(ord), count(*) FROM i WHERE event_type = 'error' GROUP BY user_id, isl, event_type HAVING count(*) >= 4""")
+_TOOL = "CASE WHEN event_type IN ('click', 'view') THEN 'look' ELSE event_type END"
+_INPUT = "CASE event_id % 7 WHEN 0 THEN 'ab' WHEN 1 THEN 'abc' WHEN 2 THEN 'abcd' WHEN 3 THEN 'abx' WHEN 4 THEN 'ab' WHEN 5 THEN CASE WHEN user_id % 4 = 0 THEN '' ELSE 'b' END ELSE 'abce' END"
+
+
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, {_TOOL} AS tool, {_INPUT} AS inp, event_type = 'error' AS err FROM events),
+f(user_id, ord, tool, opened, start) AS (SELECT user_id, ord, tool, inp, ord FROM o WHERE ord = 1
+  UNION ALL SELECT o.user_id, o.ord, o.tool, CASE WHEN o.tool = f.tool AND starts_with(o.inp, f.opened) THEN f.opened ELSE o.inp END, CASE WHEN o.tool = f.tool AND starts_with(o.inp, f.opened) THEN f.start ELSE o.ord END FROM f JOIN o ON o.user_id = f.user_id AND o.ord = f.ord + 1),
+c AS (SELECT *, CASE WHEN lag(tool) OVER w = tool AND lag(err) OVER w = err THEN 0 ELSE 1 END AS ch FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ord)), i AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ord) AS isl FROM c)
+SELECT user_id AS run_id, 'identical-input' AS type, tool, min(ord) AS first_ord, count(*) AS count FROM f GROUP BY user_id, start, tool HAVING count(*) >= 4
+UNION ALL SELECT user_id, 'repeated-error', tool, min(ord), count(*) FROM i WHERE err GROUP BY user_id, isl, tool HAVING count(*) >= 4""")
 def o7_loops(spark, sf):
     from pyspark.sql import Window as W
 
     e = table(spark, sf, "events").withColumn("ord", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long"))
-    return proximity.loops(e.select(F.col("user_id").alias("run_id"), "ord", F.col("event_type").alias("tool"), F.lit("x").alias("input"), (F.col("event_type") == "error").alias("is_error")))
+    return proximity.loops(e.select(F.col("user_id").alias("run_id"), "ord", F.expr(_TOOL).alias("tool"), F.expr(_INPUT).alias("input"), (F.col("event_type") == "error").alias("is_error")))
 
 
 @query(f"""WITH {BASKETS}, o AS (SELECT DISTINCT ref, skill FROM reads), e AS (SELECT DISTINCT o.ref, t.session FROM o JOIN triggers t USING (skill)),
