@@ -127,3 +127,100 @@ def build_repeats(runs: DataFrame, results: DataFrame, routing: DataFrame, safet
     out = out.withColumn("C", F.coalesce("C", F.lit(0)))
     l1, l2, l3, passed = case_verdict(F.col("routing"), F.col("C") == 1, F.col("safety"))
     return out.select("rep_id", "C", "P", "H", "activated", "tool_err_rate", "hit_max_turns", "routing", "safety", l1.alias("l1_pass"), l2.alias("l2_pass"), l3.alias("l3_pass"), passed.alias("passed"))
+
+
+def probe_blocks(sessions: DataFrame, triggers: DataFrame, commands: DataFrame, events: DataFrame, declared: DataFrame, arms: tuple[str, ...] = ("old", "new")) -> dict[str, DataFrame]:
+    """What probes say of each arm: coverage, skill_commands, sequences, proximity, paired (one row), excluded_hits.
+
+    sessions: arm, case_id, session, excluded; triggers: session, skill; commands: session, tool, cmd, ordinal;
+    events: session, type, id, ordinal; declared: tool, cmd.  Excluded sessions count nowhere; a case is excluded if any
+    of its sessions is.  Arms are few: one plan branch each.
+    """
+    from functools import reduce
+
+    from tracemill.config import VERDICT
+    from tracemill.operators import coverage, proximity
+
+    excluded = F.coalesce("excluded", F.lit(False))
+    valid = sessions.filter(~excluded).select("arm", "case_id", "session")
+    tools = declared.select("tool").distinct()
+
+    def per_arm(of) -> DataFrame:
+        parts = []
+        for arm in arms:
+            own = valid.filter(F.col("arm") == arm).select("session", "case_id")
+            parts.append(of(own).select(F.lit(arm).alias("arm"), "*"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def sequences(own: DataFrame) -> DataFrame:
+        c = commands.join(own, "session").join(tools, "tool", "left_semi")
+        return proximity.ngrams(c.select(F.concat_ws("|", "session", "tool").alias("run_id"), "case_id", "cmd", F.col("ordinal").alias("ord")))
+
+    cases = sessions.groupBy("case_id").agg(F.bool_or(excluded).alias("_x"))
+    pct = js_round(100 * F.coalesce(ratio(F.count_if("_x"), F.count("*")), F.lit(0.0)), 4)
+    hits = sessions.filter(excluded).select("arm", "case_id", "session").join(commands, "session")
+    return {
+        "coverage": per_arm(lambda own: coverage.command_coverage(declared, commands.join(own, "session", "left_semi").join(tools, "tool", "left_semi"))),
+        "skill_commands": per_arm(lambda own: coverage.skill_commands(triggers.join(own, "session", "left_semi").withColumnRenamed("session", "run_id"), commands.join(own, "session", "left_semi").withColumnRenamed("session", "run_id"))),
+        "sequences": per_arm(sequences),
+        "proximity": per_arm(lambda own: proximity.matrix(events.join(own, "session").select(F.col("session").alias("run_id"), "case_id", "type", "id", "ordinal", F.col("ordinal").alias("pos")))),
+        "paired": cases.agg(F.count("*").alias("cases"), pct.alias("exclusion_pct")).withColumn("tripwired", F.col("exclusion_pct") > VERDICT["tripwire_pct"]),
+        "excluded_hits": hits.groupBy("arm", "case_id", "session", "tool").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "cmd"))), lambda x: x["cmd"]).alias("cmds")).select("arm", "case_id", "tool", "cmds"),
+    }
+
+
+def probe_deltas(coverage: DataFrame, tripwired: bool = False, old: str = "old", new: str = "new") -> DataFrame:
+    """Change of command coverage by tool, new minus old: (tool, comparable, reason, ratio_delta, status).
+
+    coverage: arm, tool, declared, ratio.  Tools whose declared commands differ in number are not compared.
+    """
+    side = lambda arm, x: coverage.filter(F.col("arm") == arm).select("tool", F.col("declared").alias(f"d{x}"), F.col("ratio").alias(f"r{x}"))
+    both = side(old, "o").join(side(new, "n"), "tool", "full_outer")
+    missing, same = F.col("do").isNull() | F.col("dn").isNull(), F.col("do") == F.col("dn")
+    reason = F.when(missing, "one-arm-only").when(~same, "command-surface-differs")
+    return both.select("tool", reason.isNull().alias("comparable"), reason.alias("reason"), F.when(reason.isNull(), js_round(F.col("rn") - F.col("ro"), 4)).alias("ratio_delta"), F.lit("inconclusive" if tripwired else "ok").alias("status"))
+
+
+def budget(reps: DataFrame) -> DataFrame:
+    """One row: what both arms took, beside an estimate that nobody made and that is therefore null."""
+    spent = budget_spent(reps.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
+    return spent.select(*(F.lit(None).cast("double").alias(f"est_{c}") for c in ("sessions", "hours", "usd")), *(F.col(c).alias(f"actual_{c}") for c in ("sessions", "hours", "usd")))
+
+
+def assert_frozen() -> None:
+    """The constants of comparison can't be changed by whoever aggregates."""
+    from types import MappingProxyType
+
+    from tracemill import config
+
+    loose = [n for n in ("VERDICT", "TOKEN_WEIGHTS", "WEIGHTS", "DEPGRAPH", "PROBES", "PROXIMITY") if not isinstance(getattr(config, n), MappingProxyType)]
+    if loose:
+        raise RuntimeError(f"{loose[0]} is not frozen; nothing is aggregated")
+
+
+def verdict_footer(reports: DataFrame) -> DataFrame:
+    """Adds `footer` to reports (id, tests): the constants that were in force, and which corrections were made, as JSON."""
+    from tracemill.config import TOKEN_WEIGHTS, VERDICT
+
+    assert_frozen()
+    v = F.struct(*(F.lit(x).alias(k) for k, x in VERDICT.items()), F.struct(*(F.lit(x).alias(k) for k, x in TOKEN_WEIGHTS.items())).alias("token_weights"))
+    tests = F.struct(F.col("tests").alias("count"), F.lit("none").alias("global_correction"), F.lit("benjamini-hochberg").alias("per_skill_correction"))
+    return reports.withColumn("footer", F.to_json(F.struct(v.alias("config"), tests.alias("tests"))))
+
+
+def check_arms(a: dict, b: dict) -> None:
+    """Two arms that resumed one journal, or are one build, are not compared.  a, b: resume_key, identity; unknown ones pass."""
+    for field, what in (("resume_key", "resume the same journal"), ("identity", "are the same build")):
+        if a.get(field) is not None and a.get(field) == b.get(field):
+            raise ValueError(f"the arms {what}: {a[field]}")
+
+
+def arm_identity(arms: DataFrame) -> DataFrame:
+    """(arm, identity): digest over an arm's label, tool version and its skills' digests, in order of name; null without any of them.
+
+    arms: arm, label, cli_version and one row for each skill (name, sha256).
+    """
+    skills = F.array_join(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.concat_ws("=", "name", "sha256")))), ",")
+    g = arms.groupBy("arm", "label", "cli_version").agg(skills.alias("_s"))
+    known = F.col("label").isNotNull() | F.col("cli_version").isNotNull() | (F.col("_s") != "")
+    return g.select("arm", F.when(known, F.sha2(F.concat_ws("|", F.coalesce("label", F.lit("")), F.coalesce("cli_version", F.lit("")), "_s"), 256)).alias("identity"))

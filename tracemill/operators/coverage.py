@@ -148,3 +148,25 @@ def inventory_status(experiments: DataFrame) -> DataFrame:
     status = F.when(F.col("snapshot"), "snapshot").when(F.col("declared"), "adapter-declared").when(F.col("runtime") != "claude-code", "external-runtime").when(F.col("backfill"), "none-backfill").otherwise("unknown")
     out = experiments.withColumn("status", status)
     return out.withColumn("reason", F.when(F.col("status") == "external-runtime", "external-runtime-self-managed").when(F.col("status") == "none-backfill", "no-inventory-snapshot").when(F.col("status") == "unknown", "unknown-inventory-status"))
+
+
+def declared_inventory(experiments: DataFrame) -> DataFrame:
+    """References that adapters declared: (id, skill, version_sha, refs sorted).  experiments: id, inventory (JSON text or null).
+
+    What isn't an object declares nothing; digests and references that aren't text are dropped.
+    """
+    entries = F.from_json("inventory", "map<string,variant>")
+    rows = experiments.select("id", F.explode(entries).alias("skill", "entry"))
+    text = lambda v, path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    refs = F.filter(F.transform(F.coalesce(F.try_variant_get("entry", "$.refs", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.when(F.schema_of_variant(r) == "STRING", F.try_variant_get(r, "$", "string"))), lambda r: r.isNotNull())
+    return rows.select("id", "skill", text(F.col("entry"), "$.versionSha").alias("version_sha"), F.array_sort(refs).alias("refs"))
+
+
+def backfill_inventory(experiments: DataFrame) -> DataFrame:
+    """What statistics that are made afterwards can rest on: (id, status, skills).  experiments: id, runtime, inventory.
+
+    A declared inventory first; other runtimes manage their own skills, so nothing is known; else references are inferred from reads.
+    """
+    declared = declared_inventory(experiments).groupBy("id").agg(F.count("*").alias("skills"))
+    status = F.when(F.col("skills").isNotNull(), "adapter-declared").when(~F.col("runtime").eqNullSafe(F.lit("claude-code")), "external-runtime").otherwise("none-backfill")
+    return experiments.select("id", "runtime").join(declared, "id", "left").select("id", status.alias("status"), F.coalesce("skills", F.lit(0)).alias("skills"))

@@ -167,3 +167,19 @@ def policy_decide(approve_write_if: Column, max_usd: Column, amount: Column, def
 def halted(status: Column, ask_is_write: Column, decision: Column) -> Column:
     """What becomes of a repeat that stopped to ask: resumed, denied or incomplete."""
     return F.when(status != "halted", status).when(~F.coalesce(ask_is_write, F.lit(True)), "resumed").when(decision == "approve", "resumed").when(decision == "deny", "denied").otherwise("incomplete")
+
+
+# The types of verifiers and who has authority over them.
+GRADERS = {"regex": "deterministic", "numeric_range": "deterministic", "json_field": "deterministic", "file_exists": "deterministic", "command_ran": "deterministic", "no_write_op": "deterministic", "judge": "judged"}
+
+
+def grader_class(kind: Column) -> Column:
+    """The class of a verifier's type; types that nobody knows are deterministic."""
+    return F.when(kind == "judge", "judged").otherwise("deterministic")
+
+
+def checked_types(results: DataFrame) -> DataFrame:
+    """Adds `cls` to verifier results (type, passed, detail); a type that nobody knows fails and says so."""
+    known = F.coalesce(F.col("type").isin(*GRADERS), F.lit(False))
+    out = results.withColumn("cls", grader_class(F.coalesce("type", F.lit(""))))
+    return out.withColumn("passed", known & F.coalesce("passed", F.lit(False))).withColumn("detail", F.when(known, F.col("detail")).otherwise(F.concat(F.lit("unknown verifier type "), F.coalesce("type", F.lit("null")))))

@@ -95,3 +95,28 @@ def report_json(summary: DataFrame, sections: list[str]) -> DataFrame:
     """A report as one JSON document a row, the verdict first, then the named sections in order."""
     head = [c for c in ("id", "verdict", "established", "pairs", "exclusion_pct") if c in summary.columns]
     return summary.select("id", F.to_json(F.struct(*head, *(s for s in sections if s in summary.columns))).alias("report"))
+
+
+def failure_causes(reports: DataFrame) -> DataFrame:
+    """Adds `causes`: why a decidable report is not recommended, worst first; null if it is, or can't be decided.
+
+    reports: verdict, established, l1_low, l2_low, l3_low (lower ends of the differences, in points), any_cost_up,
+    flow_regressed, any_quality_up.  A cause is what got worse, by how much, and how much would have been tolerated.
+    """
+    margin = float(VERDICT["delta_pp"])
+    cause = lambda what, by, limit: F.struct(F.lit(what).alias("what"), by.alias("by"), F.lit(limit).cast("double").alias("margin"))
+    nothing = F.lit(None).cast("double")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    found = [F.when(flag(F.col(f"{a}_low") <= -margin), cause(f"{a}-quality", F.col(f"{a}_low").cast("double"), margin)) for a in ("l1", "l2", "l3")]
+    found += [F.when(flag(F.col("flow_regressed")), cause("incomplete-flows", nothing, None)), F.when(flag(F.col("any_cost_up")), cause("cost-up", nothing, None))]
+    found += [F.when((F.col("verdict") == "quality-fix") & ~flag(F.col("any_quality_up")), cause("no-quality-gain", nothing, None))]
+    order = lambda a, b: F.when(F.coalesce(a["by"], F.lit(0.0)) < F.coalesce(b["by"], F.lit(0.0)), -1).when(F.coalesce(a["by"], F.lit(0.0)) > F.coalesce(b["by"], F.lit(0.0)), 1).when(a["what"] < b["what"], -1).when(a["what"] > b["what"], 1).otherwise(0)
+    open_ = F.col("verdict").isin("insufficient-data", "inconclusive")
+    return reports.withColumn("causes", F.when(~open_ & ~flag(F.col("established")), F.array_sort(F.array_compact(F.array(*found)), order)))
+
+
+def verdict_line(reports: DataFrame) -> DataFrame:
+    """Adds `line`: glyph, recommendation, intent, pairs and exclusion rate in one line.  reports: those of `verdict_view`, with intent and exclusion_pct."""
+    sign = F.when(~F.col("decidable"), "∅").when(F.col("adoptable"), "✓").otherwise("✗")
+    advice = F.when(~F.col("decidable"), F.concat(F.lit("undecided: "), "verdict")).otherwise(F.concat(F.lit("recommended: "), F.col("adoptable").cast("string")))
+    return reports.withColumn("line", F.concat(sign, F.lit(" "), advice, F.lit(" · intent: "), "intent", F.lit(" · n="), F.col("pairs").cast("string"), F.lit(" pairs · excluded "), F.format_string("%.1f%%", F.col("exclusion_pct").cast("double"))))

@@ -205,3 +205,41 @@ def find_journal(headers: DataFrame, name: str, model: str, repeats: int, sha256
 def write_once(df: DataFrame, path: str) -> None:
     """JSON documents that are never overwritten."""
     df.write.mode("errorifexists").json(path)
+
+
+def parse_settings(text: str | None) -> dict:
+    """Settings as an object; a missing, broken or other document has none."""
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def load_settings(spark: SparkSession, path: str) -> dict:
+    """The settings file at `path`, by the file system that the path names; empty if it isn't there."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return {}
+    return parse_settings(spark.read.text(path, wholetext=True).first().value)
+
+
+def load_runs(spark: SparkSession, store: str, run_ids: list[str]) -> DataFrame:
+    """Stored runs by id, from a store that is partitioned by run_id: only their folders are read."""
+    return spark.read.option("basePath", store).parquet(store).filter(F.col("run_id").isin(*run_ids))
+
+
+def resolve_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs that repeats name (run_id), found or not: (run_id, found and the columns of `runs`)."""
+    own = runs.withColumn("_found", F.lit(True))
+    return wanted.select("run_id").distinct().join(own, "run_id", "left").withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
+
+
+def write_sidecar(df: DataFrame, path: str) -> None:
+    """Statistics beside an experiment: made again, they replace what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Reports as one JSON text a line, below `path`, never overwritten.  report: id, report."""
+    report.select(F.col("report").alias("value")).write.mode("errorifexists").text(path)
