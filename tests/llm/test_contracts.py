@@ -486,6 +486,30 @@ def test_op6_cut_tiles_lose_no_link(monkeypatch):
     assert halves == set(zip(*(x.tolist() for x in neardup.tile_links(fps[::2], ids[::2], fps[1::2], ids[1::2], 4)), strict=True))
 
 
+def test_op6_nearest_in_tiles():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fps = np.concatenate([base ^ sum((np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(k % 7)) for k in range(70)] + [rng.integers(0, 2**63, 500, dtype=np.uint64)])
+    ids = rng.permutation(len(fps)).astype(np.int64)
+    for x, y in ((slice(None), slice(None)), (slice(0, 2500), slice(2500, None)), (slice(0, 5), slice(5, None))):
+        same = x == y
+        fa, ra = fps[x], ids[x]
+        fb, rb = (fa, ra) if same else (fps[y], ids[y])
+        a, b, d = neardup.tile_nearest(fa, ra, fb, rb, 12)
+        found = dict(zip(a.tolist(), zip(b.tolist(), d.tolist(), strict=True), strict=True))
+        at = dict(zip(ids.tolist(), fps.tolist(), strict=True))
+        for own, other in ((ra, rb), (rb, ra)):
+            for i in own.tolist():
+                dist = np.bitwise_count(np.array([at[j] for j in other.tolist()], np.uint64) ^ np.uint64(at[i])).astype(int)
+                dist[other == i] = 99
+                if dist.min() > 12:
+                    assert i not in found
+                else:
+                    assert found[i][1] == dist.min() == (at[i] ^ at[found[i][0]]).bit_count() and found[i][0] != i
+
+
 def test_op6_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 90)], "a long, b long")
     got = {r.node: r.component for r in neardup.components(edges).collect()}

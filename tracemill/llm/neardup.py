@@ -9,7 +9,9 @@ returns a spanning forest of its links, at most one row per fingerprint, never a
 Defined results: null or empty text has fingerprint zero, which links like any other.  Repeated rows share their
 component.  A row without an id gets the component of its fingerprint's group, or null if nobody there has an id.
 
-`similar_groups` is exact instead: it links texts whose sets of word shingles have a given Jaccard similarity.
+`similar_groups` is exact instead: it links texts whose sets of word shingles have a given Jaccard similarity.  The same
+tiles, with a wider radius, give each text its nearest other one; the links that hold make the first groups.  What is
+left are pairs in different groups, which an equi-join on prefixes of the sets finds without loss.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from itertools import starmap
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Shared, materialize
@@ -27,22 +30,23 @@ from .common import Shared, materialize
 TILE, SUB_TILED = 32_768, 16_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, in order; of the whole sequence if it has fewer words, none if it has no word."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # on bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, seed)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    hashes = np.fromiter(starmap(digest, ((joined[a:b], seed) for a, b in zip(starts, ends, strict=True))), np.uint64, len(starts))
+    starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return np.fromiter(starmap(xxhash.xxh64_intdigest, ((joined[a:b], seed) for a, b in zip(starts, ends, strict=True))), np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -50,6 +54,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
     """(id, fp long) for every row, without a shuffle."""
 
@@ -131,8 +140,8 @@ def tile_links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, r
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
-def links(reps: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (a > b, both representatives) between the distinct fingerprints of `reps` (fp, rep)."""
+def paired_tiles(reps: DataFrame, radius: int) -> DataFrame | None:
+    """(pair, fps, own): the two tiles, or the one, of each pair of tiles within the radius, from `reps` (fp, rep); None without rows."""
     cells = reps.select(
         "fp", "rep",
         F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("hi"),
@@ -140,7 +149,7 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     )
     counts = {(r.hi, r.lo): r.n for r in cells.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 rows at most
     if not counts:
-        return reps.sparkSession.createDataFrame([], "a long, b long")
+        return None
     spark = reps.sparkSession
     sizes = F.broadcast(spark.createDataFrame([(h, w, -(-n // TILE)) for (h, w), n in counts.items()], "hi int, lo int, parts int"))
     tiled = cells.join(sizes, ["hi", "lo"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -157,15 +166,68 @@ def links(reps: DataFrame, radius: int) -> DataFrame:
     around = packed.withColumn("step", F.explode(steps)).withColumn("hi2", F.col("hi") + F.col("step.dh")).withColumn("lo2", F.col("lo") + F.col("step.dl"))
     around = around.join(sizes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("parts").alias("parts2")), ["hi2", "lo2"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
     own, other = F.format_string("%02d.%02d.%d", "hi", "lo", "part"), F.format_string("%02d.%02d.%d", "hi2", "lo2", "part2")
-    dealt = around.select(F.concat_ws("-", F.least(own, other), F.greatest(own, other)).alias("pair"), "fps", "own")
+    return around.select(F.concat_ws("-", F.least(own, other), F.greatest(own, other)).alias("pair"), "fps", "own")
+
+
+def _tiles(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints and representatives of a pair's tiles; one tile stands for both."""
+    fps = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("fps")]
+    own = [np.frombuffer(x.as_py(), np.int64) for x in group.column("own")]
+    return fps[0], own[0], fps[-1], own[-1]
+
+
+def links(reps: DataFrame, radius: int) -> DataFrame:
+    """Spanning links (a > b, both representatives) between the distinct fingerprints of `reps` (fp, rep)."""
 
     def compare(group: pa.Table) -> pa.Table:
-        fps = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("fps")]
-        own = [np.frombuffer(x.as_py(), np.int64) for x in group.column("own")]
-        a, b = tile_links(fps[0], own[0], fps[-1], own[-1], radius)
+        a, b = tile_links(*_tiles(group), radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long")
+    dealt = paired_tiles(reps, radius)
+    return reps.sparkSession.createDataFrame([], "a long, b long") if dealt is None else dealt.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
+def tile_nearest(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(representative, its nearest in the other tile, distance) for both tiles' members that have one within the radius."""
+    same = fa is fb
+    far = radius + 1
+    best_a, best_b = np.full(len(fa), far), np.full(len(fb), far)
+    to_a, to_b = np.zeros(len(fa), np.int64), np.zeros(len(fb), np.int64)
+    for i in range(0, len(fa), 128):
+        left = fa[i : i + 128, None]
+        for j in range(i - i % 2048 if same else 0, len(fb), 2048):
+            d = np.bitwise_count(left ^ fb[None, j : j + 2048])
+            if same and i < j + 2048 and j < i + 128:
+                k = np.arange(max(i, j), min(i + 128, j + 2048, len(fa)))
+                d[k - i, k - j] = 65  # itself
+            if not (d <= radius).any():
+                continue
+            for axis, best, to, own, at in ((1, best_a, to_a, rb[j : j + 2048], slice(i, i + 128)), (0, best_b, to_b, ra[i : i + 128], slice(j, j + 2048))):
+                k = d.argmin(axis)
+                low = np.take_along_axis(d, np.expand_dims(k, axis), axis).squeeze(axis)
+                better = low < best[at]
+                best[at] = np.where(better, low, best[at])
+                to[at] = np.where(better, own[k], to[at])
+    own, to, best = (ra, to_a, best_a) if same else (np.concatenate([ra, rb]), np.concatenate([to_a, to_b]), np.concatenate([best_a, best_b]))
+    if same:  # blocks on the diagonal's other side were seen as columns only
+        closer = best_b < best_a
+        to, best = np.where(closer, to_b, to_a), np.minimum(best_a, best_b)
+    keep = best < far
+    return own[keep], to[keep], best[keep]
+
+
+def nearest(reps: DataFrame, radius: int) -> DataFrame:
+    """(a, b): for each of `reps` (fp, rep) with another within the radius, the nearest."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b, d = tile_nearest(*_tiles(group), radius)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
+
+    dealt = paired_tiles(reps, radius)
+    if dealt is None:
+        return reps.sparkSession.createDataFrame([], "a long, b long")
+    found = dealt.groupBy("pair").applyInArrow(compare, "a long, b long, d long")
+    return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -200,22 +262,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Documents whose shingles are counted to put frequent ones last, and frequent shingles that are kept.
 ORDER_DOCS, ORDER_SHINGLES = 4_096, 65_536
+#: Bits between a text and the nearest one that it is checked against first; texts to check whose ids may be broadcast.
+NEAREST, NAMED = 12, 1_000_000
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; a text of fewer words is one shingle."""
+    return np.unique(shingle_hashes(text, shingle, 0).view(np.int64))
+
+
+def set_key(grams: np.ndarray) -> int:
+    """One number for a whole set, as a signed long."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    hashes = np.fromiter(starmap(xxhash.xxh64_intdigest, ((joined[a:b],) for a, b in zip(starts, ends, strict=True))), np.uint64, len(starts))
-    return np.unique(hashes.view(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64))
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,64 +298,85 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(id, component_id) for every row: components of all pairs of texts with a Jaccard similarity of `least` or more.
 
-    Shingles are put in one order, rare ones first.  Of two sets this similar, the first n - ceil(least * n) + 1
-    shingles have one in common, so an equi-join on these prefixes loses no pair, whatever the order; sizes and places
-    rule out most others and the whole sets decide.  Each text is first checked against the first of its candidates;
-    of the other pairs only those between different components remain.
+    First each text is checked against its nearest by SimHash, which joins large groups of copies without their pairs.
+    Then pairs in different groups: shingles are put in one order, rare ones first; of two sets this similar, the first
+    n - ceil(least * n) + 1 shingles have one in common, so an equi-join on these prefixes loses no pair, whatever the
+    order; sizes and places rule out most others and the whole sets decide.  A shingle that only one group has forms no
+    pair.
     """
     frequent = Shared(docs.sparkSession, frequent_shingles(docs, text_col, shingle), "neardup")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        import xxhash
-
         known, counts = frequent.value
         for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-            keys, sets = [], []
+            keys, fps, sizes, prefixes = [], [], [], []
             for text in batch.column(1):
-                grams = shingle_set(text.as_py(), shingle)
-                keys.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                hashes = shingle_hashes(text.as_py(), shingle, 0)
+                grams = np.unique(hashes.view(np.int64))
+                keys.append(set_key(grams))
+                fps.append(simhash(hashes))
+                sizes.append(len(grams))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                     grams = grams[np.argsort(np.where(known[at] == grams, counts[at], 0), kind="stable")]
-                sets.append(grams)
-            ends = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "key", "grams"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, grams array<long>")
-    rows = materialize(rows, "shingles")
-    n = F.size("grams")
-    prefix = F.slice("grams", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    reps = rows.filter("id is not null").select("id", "key", n.alias("n"), prefix.alias("prefix")).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = materialize(reps, "representatives")
-
-    placed = reps.select("key", "n", F.posexplode("prefix").alias("pos", "gram"))
-    a, b = placed.alias("a"), placed.alias("b")
-    shared = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # at most, if this is their first in common
-    close = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (shared >= (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9)
-    pairs = a.join(b, F.col("a.gram") == F.col("b.gram")).filter((F.col("a.key") < F.col("b.key")) & close)
-    pairs = materialize(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "candidates")
-
-    named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", "rep"), "key")
-    sets = rows.join(named.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets, "candidate-shingles")
-
-    def similar(part: DataFrame) -> DataFrame:
-        both = part.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
+                prefixes.append(grams[: len(grams) - int(np.ceil(len(grams) * least - 1e-9)) + 1])
+            ends = np.cumsum([0, *map(len, prefixes)])
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
+            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "prefix"])
+
+    rows = materialize(texts.mapInArrow(run, "id long, key long, fp long, n long, prefix array<long>"), "prefixes")
+    ids = rows.select("id", "key")
+    first = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "fp", "n", "prefix")).alias("x"))
+    reps = materialize(first.select("key", F.col("x.id").alias("rep"), "x.fp", "x.n", "x.prefix"), "representatives")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b: keys) whose whole sets are similar; only texts in question are read again."""
+        pairs = materialize(pairs, "pairs")
+        named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", F.col("rep").alias("id")), "key")
+        named = materialize(named, "named")
+        own = texts.join(F.broadcast(named) if named.count() <= NAMED else named, "id")
+
+        def grams(batches):
+            for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+                keys, sets = [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    found = shingle_set(text.as_py(), shingle)
+                    if set_key(found) == key:  # another text of a repeated id is not in question
+                        keys.append(key)
+                        sets.append(found)
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["key", "grams"])
+
+        sets = own.select("key", "text").mapInArrow(grams, "key long, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
+        sets = materialize(sets, "sets")
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb"))
-        return both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b")
+        return materialize(both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b"), "similar")
 
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = materialize(similar(first), "similar-first")
+    close = nearest(reps.select("fp", F.col("key").alias("rep")), NEAREST)
+    edges = similar(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     merged = components(edges)
-    for end in ("a", "b"):
-        pairs = pairs.join(merged.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    rest = pairs.filter(~F.col("ca").eqNullSafe(F.col("cb")) | F.col("ca").isNull()).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = materialize(similar(rest), "similar-rest")
+
+    # shingles that several groups have in their prefixes, with who has them where
+    grouped = reps.join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("c"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    of_gram = W.partitionBy("gram")
+    shared = grouped.withColumn("low", F.min("c").over(of_gram)).withColumn("high", F.max("c").over(of_gram)).filter("low < high").drop("low", "high")
+    shared = materialize(shared, "shared-shingles")
+    heads = shared.groupBy("gram", "c").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    x, y = heads.alias("x"), heads.alias("y")
+    sizes = (F.col("x.most_n") >= F.col("y.least_n") * least - 1e-9) & (F.col("y.most_n") >= F.col("x.least_n") * least - 1e-9)
+    met = x.join(y, F.col("x.gram") == F.col("y.gram")).filter((F.col("x.c") < F.col("y.c")) & sizes).select(F.col("x.gram").alias("gram"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+    a = shared.select("gram", F.col("c").alias("ca"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = shared.select("gram", F.col("c").alias("cb"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    possible = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # in common at most, if this is their first
+    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (possible >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    rest = met.join(a, ["gram", "ca"]).join(b, ["gram", "cb"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = similar(rest)
     if not more.isEmpty():
         merged = components(edges.union(more))
 
-    grouped = reps.select("key", "rep").join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = grouped.join(lowest, "component").select("key", "component_id")
-    return rows.select("id", "key").join(ids, "key", "left").select(F.col("id").alias(id_col), "component_id")
+    named = reps.select("key", "rep").join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return ids.join(named.join(lowest, "component").select("key", "component_id"), "key", "left").select(F.col("id").alias(id_col), "component_id")
