@@ -8,7 +8,8 @@ from tracemill.functions.num import js_round
 from tracemill.operators import attribution, cards, compare, coverage, grading, sections, views
 from tracemill.plans.bindings import EVENTS, REPS, events, r, reps, table
 from tracemill.plans.coverage_queries import _CALLS, _CONV, _PARTS, _calls, _rounds
-from tracemill.plans.registry import query
+from tracemill.plans import mining_queries
+from tracemill.plans.registry import ORACLE_SQL, query
 from tracemill.sources import files
 
 
@@ -254,6 +255,6 @@ def d12_graph_charts(spark, sf):
     return rows.unionByName(charts["signals"].select("kind", F.col("subject").alias("a"), none.alias("b"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("merge")))
 
 
-@query()
+@query(f"SELECT * FROM ({ORACLE_SQL['x16_proximity']}) z ORDER BY confidence DESC, closeness DESC, from_type, from_id, to_type, to_id LIMIT 8")
 def o11_top_edges(spark, sf):
-    return cards.top_edges(_probes(spark, sf)["proximity"].filter("arm = 'old'").drop("arm"))
+    return cards.top_edges(mining_queries.x16_proximity(spark, sf))

@@ -116,7 +116,7 @@ def x24_tool_kind(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), tool_kind(n).alias("kind"), mcp_server(n).alias("server"))
 
 
-@query()
+@query("SELECT c_name, 'run-' || format('{:x}', list_reduce(list_concat([0::BIGINT], list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, u: (a * 31 + u) & 4294967295)) AS run_id FROM customer")
 def p14_hash_lite(spark, sf):
     return table(spark, sf, "customer").select("c_name", logs.hash_lite(F.col("c_name")).alias("run_id"))
 
@@ -126,9 +126,11 @@ def l1_content_digest(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.md5("props").alias("sha"), F.count("*").over(W.partitionBy("props")).alias("same"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN sha256('{"a":[1,{"y":"é","z":null}],"b":' || CAST(event_id AS VARCHAR) || ',"p":{"k":' || json_extract_string(props, '$.k') || '}}') END AS sha FROM events""")
 def l1_canonical_sha(spark, sf):
-    return lint.canonical_sha(table(spark, sf, "events").select("event_id", "props"), "props").select("event_id", "sha")
+    e = table(spark, sf, "events")
+    text = F.concat(F.lit('{"p": '), "props", F.lit(', "b": '), F.col("event_id").cast("string"), F.lit(', "a": [1.0, {"z": null, "y": "\\u00e9"}]}'))
+    return lint.canonical_sha(e.select("event_id", F.when(F.col("event_id") % 9 != 0, text).otherwise("{broken").alias("doc")), "doc").select("event_id", "sha")
 
 
 _CASES = "cs AS (SELECT o_orderkey % 1300 AS id, o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey + 1250 END AS superseded_by FROM orders)"
@@ -212,7 +214,8 @@ def l15_declared_versions(spark, sf):
     return lint.declared_versions(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("version"))).withColumn("seen", F.array_join("seen", ","))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS m, props FROM events) SELECT event_id, CASE m WHEN 0 THEN 'not json' WHEN 1 THEN '{"result": 3}' WHEN 2 THEN '{"result": "x", "trace": [{"usage": {"in": 1}, "triggers": []}]}' WHEN 3 THEN '{"result": "x", "skills_inventory": {"a": {}}, "observability": []}' ELSE props END AS raw,
+  m <> 0 AS parses, m <> 0 AS is_object, m IN (2, 3) AS has_result, m IN (2, 3) AS ok, m = 2 AS trace, m = 2 AS usage, m = 2 AS triggers, false AS "refReads", m = 3 AS skills_inventory, false AS runtime_info, m = 3 AS observability FROM e""")
 def l16_adapter_channels(spark, sf):
     k = F.col("event_id")
     raw = F.when(k % 5 == 0, "not json").when(k % 5 == 1, '{"result": 3}').when(k % 5 == 2, '{"result": "x", "trace": [{"usage": {"in": 1}, "triggers": []}]}').when(k % 5 == 3, '{"result": "x", "skills_inventory": {"a": {}}, "observability": []}').otherwise(F.col("props"))

@@ -169,7 +169,7 @@ def u21_top_pairs(spark, sf):
     return j.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_id", "to_id").limit(8)
 
 
-@query()
+@query("""SELECT o_orderkey AS id, '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"verdict":"' || o_orderstatus || '","cost":' || CAST(o_totalprice AS VARCHAR) || '}' AS report FROM orders""")
 def u16_report_json(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("verdict"), F.col("o_totalprice").alias("cost"))
     return views.report_json(o, ["cost"])

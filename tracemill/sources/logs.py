@@ -132,7 +132,7 @@ def parse(lines: DataFrame) -> Parsed:
     prompt = events.filter("chain = 'main' and kind = 'user'").groupBy("run_id").agg(F.min_by("text", "line_no").alias("prompt"))
     model = rounds.groupBy("run_id").agg(F.min(F.when(truthy(F.col("model")).isNotNull(), F.struct((F.col("chain") != "main").alias("side"), "round_id", "model")))["model"].alias("model"))
     runs = (
-        warned.join(heads, "source", "left").join(promoted, "source").withColumnRenamed("source", "run_id").join(prompt, "run_id", "left").join(model, "run_id", "left")
+        warned.join(heads, "source", "left").join(promoted, "source", "left").withColumnRenamed("source", "run_id").join(prompt, "run_id", "left").join(model, "run_id", "left")
         .select("run_id", "session_id", "model", "cwd", "version", "started_raw", "ended_raw", F.try_to_timestamp("started_raw").alias("started_at"), F.try_to_timestamp("ended_raw").alias("ended_at"), "prompt", F.when(F.col("promoted"), F.col("_agent")).alias("agent_id"), "parse_warnings", F.lit(1).alias("tag_version"))
     )
     compactions = rows.filter("type = 'compact-boundary'").select(F.col("source").alias("run_id"), F.when(F.col("is_side"), "side").otherwise("main").alias("chain"), "ts", "line_no")
