@@ -27,7 +27,7 @@ def edge(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank string").repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "same words here again and again")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0), (7, 1, 0), (None, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
-    vectors = [(0, [1.0, 2.0]), (50, [1.0, -2.0]), (51, None), (52, [1.0, None]), (53, [float("nan"), 1.0]), (54, [float("inf"), 1.0]), (55, [1.0, 2.0]), (56, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    vectors = [(0, [1.0, 2.0]), (50, [1.0, -2.0]), (51, None), (52, [1.0, None]), (53, [float("nan"), 1.0]), (54, [float("inf"), 1.0]), (55, [1.0, 2.0]), (56, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [0.5, 9.0]), (57, [3.0, 1.0]), (57, [3.0, 1.0]), (57, [-3.0, 1.0]), (58, [1e20, 1.0, 1.0]), (100, [2.0, 1e30, -1e30])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     return at
 
@@ -203,12 +203,13 @@ def test_op1_head_and_tail_agree(spark, sf_dir, monkeypatch):
 
 
 def brute_top(rows, k=5):
-    vs = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    vs = [(i, [clip(math.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()
-    for q, a in vs.items():
-        if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vs.items() if i != q and len(a) == len(b))[:k]
-            out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    for q, d in {(i, len(v)) for i, v in vs if i % 50 == 0}:
+        a = min(v for i, v in vs if i == q and len(v) == d)
+        best = sorted((-clip(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in vs if i != q and len(b) == d)[:k]
+        out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     return out
 
 

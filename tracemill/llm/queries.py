@@ -95,10 +95,51 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def _crc32(number: str) -> str:
+    """SQL of crc32 over the digits of a number."""
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    byte = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda a, b: {byte}), 4294967295)"
+
+
+def _langid_sql() -> str:
+    """Ranked n-grams of languages and documents, and the sum of their distances."""
+    size = langid.PROFILE
+    code = lambda c: f"CASE WHEN {c} = ' ' THEN 1 ELSE CAST(unicode({c}) AS BIGINT) END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, lang, text, coalesce({_crc32('doc_id')} % 4 = 2, false) AS held_out, regexp_replace(lower(text), '[^\\p{{L}}]', ' ', 'g') AS low FROM documents),
+c AS (SELECT id, string_split(' ' || low || '  ', '') AS s FROM d WHERE regexp_matches(low, '\\p{{L}}')),
+t AS (SELECT id, unnest(list_zip(s[1:len(s) - 2], s[2:len(s) - 1], s[3:])) AS z FROM c), p AS (SELECT id, z[1] AS x, z[2] AS y, z[3] AS w FROM t), k AS (SELECT id, x, y, w, {code('x')} AS a, {code('y')} AS b, {code('w')} AS e FROM p WHERE y <> ' ' OR x <> ' '),
+g AS (SELECT id, b AS gram FROM k WHERE y <> ' ' UNION ALL SELECT id, a * 2097152 + b FROM k UNION ALL SELECT id, (a * 2097152 + b) * 2097152 + e FROM k WHERE y <> ' '),
+n AS MATERIALIZED (SELECT id, gram, count(*) AS n FROM g GROUP BY ALL), own AS (SELECT id, gram, r - 1 AS place FROM (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY n DESC, gram) AS r FROM n) z WHERE r <= {size}),
+f AS (SELECT lang, gram, r - 1 AS rank FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS r FROM n JOIN d USING (id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram) z WHERE r <= {size}),
+names AS (SELECT DISTINCT lang AS name FROM f), known AS (SELECT DISTINCT gram FROM f),
+m AS (SELECT id, name, sum(CASE WHEN known.gram IS NULL THEN {size} ELSE abs(coalesce(rank, {size}) - place) END) AS distance, count(*) AS size FROM own CROSS JOIN names LEFT JOIN known ON known.gram = own.gram LEFT JOIN f ON f.gram = own.gram AND f.lang = name GROUP BY id, name),
+best AS (SELECT id, min_by(name, lpad(CAST(distance AS VARCHAR), 12, '0') || name) AS name, min(distance) AS distance, any_value(size) AS size FROM m GROUP BY id)
+SELECT doc_id, held_out, coalesce(name, '{langid.UND}') AS lang_pred, CASE WHEN distance < {size} * size THEN 1 - CAST(distance AS DOUBLE) / ({size} * size) ELSE 0e0 END AS score FROM d LEFT JOIN best USING (id)
+"""
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _decontam_sql() -> str:
+    """The weighted similarity of every window of an item's length that shares a shingle with the item."""
+    cut = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, {cut} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {cut} AS ws FROM benchmark WHERE text IS NOT NULL),
+it AS (SELECT item_id, ws, len(ws) AS size, least({decontam.SHINGLE}, len(ws)) AS g FROM i WHERE len(ws) > 0), gs AS (SELECT DISTINCT g FROM it),
+ds AS (SELECT doc_id, ws AS dw, g, len(ws) - g + 1 AS total, unnest(range(0, len(ws) - g + 1)) AS pos FROM d, gs WHERE len(ws) >= g), dx AS (SELECT doc_id, dw, g, total, pos, array_to_string(dw[pos + 1:pos + g], ' ') AS sh FROM ds),
+ns AS (SELECT item_id, ws AS iw, size, g, size - g + 1 AS n, array_to_string(ws[p + 1:p + g], ' ') AS sh FROM (SELECT *, unnest(range(0, size - g + 1)) AS p FROM it) z), nx AS (SELECT item_id, iw, size, g, n, sh, count(*) AS c FROM ns GROUP BY ALL),
+hit AS MATERIALIZED (SELECT doc_id, md5(array_to_string(dw, ' ')) AS own, item_id, md5(array_to_string(iw, ' ')) AS item, size, n, least(n, total) AS length, total, pos, sh, c FROM dx JOIN nx USING (g, sh)),
+st AS (SELECT DISTINCT doc_id, own, item_id, item, size, n, length, unnest(range(greatest(0, pos - length + 1), least(pos, total - length) + 1)) AS s FROM hit),
+w AS (SELECT st.doc_id, st.own, st.item_id, st.item, st.size, st.n, st.length, s, sh, least(count(*), any_value(c)) AS m FROM st JOIN hit ON hit.doc_id IS NOT DISTINCT FROM st.doc_id AND hit.own = st.own AND hit.item_id IS NOT DISTINCT FROM st.item_id AND hit.item = st.item AND pos >= s AND pos < s + st.length GROUP BY ALL),
+v AS (SELECT doc_id, own, item_id, item, size, s, sum(m) / CAST(any_value(length) + any_value(n) - sum(m) AS DOUBLE) AS sim FROM w GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s, size DESC) AS r FROM v WHERE sim >= {decontam.SIMILARITY})
+SELECT doc_id, item_id, s AS window_start, size AS window_words, sim AS similarity FROM b WHERE r = 1
+"""
+
+
 def op9_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted as one batch, and the batch replayed, which must change nothing."""
     import public_tokenizers
@@ -121,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_lattice, op2_topk, op3_pii, op4_pieces, op5_secrets, op6_neardup, op7_langid, op8_decontam, op9_rollups, op10_resample)
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_secrets": _secrets_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_secrets": _secrets_sql(), "op7_langid": _langid_sql(), "op8_decontam": _decontam_sql()}

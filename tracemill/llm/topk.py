@@ -7,9 +7,14 @@ contributions to accumulators.  What is still unprocessed bounds each row's fina
 that could reach the k-th best lower bound are few, the bound proves all others out; the possible members are then
 rescored exactly.  Without such a proof all segments are processed.
 
+A block's index is built once for each batch of queries, which is large; blocks hold rows dealt by id, vector and place,
+so neither a repeated id nor a repeated vector gathers in one of them.
+
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; only
 vectors of a query's own dimension are its candidates; rows with the query's own id are not; ties go to the smaller
-id; fewer candidates than k give fewer rows; a repeated query row is answered once.
+id; fewer candidates than k give fewer rows.  Rows of a repeated id are candidates each; as a query the id is answered
+once, for the smallest of its vectors of a dimension.  Components and scores beyond a long's range are clipped to it;
+sums are exact.
 """
 
 from __future__ import annotations
@@ -20,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block, queries of a batch, segments of a dimension.
-BLOCK, BATCH, SEGMENTS = 16_384, 256, 8
+#: Rows of a block, queries of a batch, segments of a dimension; parts of a query's segments after which a proof is tried.
+BLOCK, BATCH, SEGMENTS, PROOFS = 8_192, 4_096, 8, (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16)
+_LONG = 2**63 - 1
 
 
 class ImpactIndex:
@@ -31,7 +37,8 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors
         n, d = vectors.shape
         self.rows, self.values, self.cuts = [], [], []
-        for k in range(d):
+        self.most = max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
+        for k in range(d if self.most < 2**31 else 0):  # larger ones are compared plainly
             order = np.argsort(vectors[:, k], kind="stable")
             value = vectors[order, k]
             # a segment ends where the quantised value changes; equal values never part
@@ -45,6 +52,8 @@ class ImpactIndex:
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows whose id isn't `own`, by score, then id."""
         n, d = self.vectors.shape
+        if self.most >= 2**31 or 2 * self.most * max(1, d) * int(np.abs(query.astype(object)).max(initial=0)) >= _LONG:
+            return self._plain(query, k, own)
         plan, rest = [], []
         for dim in range(d):
             q = int(query[dim])
@@ -61,7 +70,7 @@ class ImpactIndex:
         # acc: a row's contributions so far, each beyond its dimension's least, so it is a lower bound of that sum;
         # bound: the most that the unprocessed segments can still add to any row
         acc, bound = np.zeros(n, np.int64), sum(rest)
-        ask = {len(plan) // 2, len(plan) * 3 // 4, len(plan) * 7 // 8, len(plan) * 15 // 16}
+        ask = {int(len(plan) * part) for part in PROOFS}
         members = None
         for step, (gain, dim, s, q, low, after) in enumerate(plan):
             if step in ask and n > 4 * k:
@@ -78,6 +87,12 @@ class ImpactIndex:
         order = np.lexsort((ids, -scores))[:k]
         return ids[order], scores[order]
 
+    def _plain(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Whole numbers of any size, for components that 64 bits cannot multiply and add."""
+        scores = [max(-_LONG - 1, min(_LONG, s)) for s in (self.vectors.astype(object) @ query.astype(object)).tolist()]
+        best = sorted((-s, i) for s, i in zip(scores, self.ids.tolist(), strict=True) if i != own)[:k]
+        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
     def _possible(self, acc: np.ndarray, bound: int, k: int, own: int | None) -> np.ndarray:
         """Rows that can still be among the k best: the others' upper bound is below the k-th best lower bound."""
         free = np.arange(len(acc)) if own is None else np.nonzero(self.ids != own)[0]
@@ -118,11 +133,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             return pa.table({"dim": one["dim"], "part": one["part"], "other": one["other"], "ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())})
 
         other = "batches" if parts == "blocks" else "blocks"
-        own = own.select("dim", F.pmod(F.xxhash64("id"), F.col(parts)).cast("int").alias("part"), F.col(other).alias("other"), "id", "v")
+        own = own.select("dim", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col(parts)).cast("int").alias("part"), F.col(other).alias("other"), "id", "v")
         return own.groupBy("dim", "part", "other").applyInArrow(pack, "dim int, part int, other int, ids binary, vs binary")
 
     blocks = packed(rows, "blocks").filter("other > 0").select("dim", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("batch"), F.lit(0).alias("side"), "ids", "vs")
-    batches = packed(rows.filter("q").dropDuplicates(["id", "dim"]), "batches").select("dim", F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("block"), F.col("part").alias("batch"), F.lit(1).alias("side"), "ids", "vs")
+    batches = packed(rows.filter("q").groupBy("id", "dim", "blocks", "batches").agg(F.min("v").alias("v")), "batches").select("dim", F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("block"), F.col("part").alias("batch"), F.lit(1).alias("side"), "ids", "vs")
 
     def search(group: pa.Table) -> pa.Table:
         sides = {s: (np.frombuffer(i, np.int64), np.frombuffer(v, np.int64)) for s, i, v in zip(*(group.column(c).to_pylist() for c in ("side", "ids", "vs")), strict=True)}
