@@ -1,4 +1,8 @@
-"""Commands over log folders: `python -m tracemill.cli ingest|skill|search|export|prune|watch ...`."""
+"""Commands: `python -m tracemill.cli ingest|skill|search|export|prune|watch|stats|compare|report|lint ...`.
+
+Most take a folder of logs.  `compare` and `report` take two files or folders of repeats as JSON lines, the old arm and
+the new one; `lint` takes a suite file.
+"""
 
 from __future__ import annotations
 
@@ -59,14 +63,54 @@ def prune(spark: SparkSession, path: str, now_ms: int, older_than: str | None, m
     return trend.prune(runs, [], now_ms, ms, most)
 
 
+def stats(spark: SparkSession, path: str, out: str | None = None) -> dict[str, DataFrame]:
+    """Sections of statistics of all runs below a folder; written as JSON below `out`, replacing what was there."""
+    from tracemill.operators import report
+    from tracemill.sources import files, logs
+
+    p = tables(spark, path)
+    found = report.stats(logs.run_rounds(p), p.tool_calls, p.self_reports)
+    for name, df in found.items() if out else ():
+        files.write_sidecar(df, f"{out}/{name}")
+    return found
+
+
+ARM = "case_id string, held_out boolean, excluded boolean, C int, l1_pass boolean, l3_pass boolean, flow_status string, u_in long, u_out long, u_cache_r long, u_cache_w long"
+
+
+def comparison(spark: SparkSession, old: str, new: str, intent: str) -> DataFrame:
+    """One row that compares two arms' repeats (JSON lines with the columns of `ARM`)."""
+    from tracemill.operators import compare, report
+
+    arms = [compare.experiment_arm(spark.read.schema(ARM).json(p)) for p in (old, new)]
+    return report.comparison(*arms, intent)
+
+
+def lint(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a suite file (commented JSON with `cases`)."""
+    from tracemill.operators import report
+    from tracemill.sources import files
+
+    suite = files.parse_jsonc(spark.read.text(path, wholetext=True).first().value)
+    cases = [c for c in suite.get("cases", []) if isinstance(c, dict)]
+    many = lambda v: [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str) and x]
+    rows = [(str(c.get("id")), c.get("superseded_by"), many(c.get("expected_skill")), many(c.get("allowed_auxiliary")), many(c.get("multi_intent")), c.get("tier")) for c in cases]
+    df = spark.createDataFrame(rows, "id string, superseded_by string, expected array<string>, allowed array<string>, multi_intent array<string>, tier string")
+    broken = [("case", str(c.get("id")), p) for c in cases for p in files.case_problems(c)]
+    return report.findings(df).unionByName(spark.createDataFrame(broken, "check string, subject string, detail string"))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(prog="tracemill", description=__doc__)
     sub = a.add_subparsers(dest="verb", required=True)
-    for verb in ("ingest", "skill", "search", "export", "prune", "watch"):
+    for verb in ("ingest", "skill", "search", "export", "prune", "watch", "stats", "compare", "report", "lint"):
         p = sub.add_parser(verb)
         p.add_argument("path")
-        if verb in ("ingest", "export", "watch"):
-            p.add_argument("--out", required=verb != "ingest")
+        if verb in ("ingest", "export", "watch", "stats", "report"):
+            p.add_argument("--out", required=verb not in ("ingest", "stats"))
+        if verb in ("compare", "report"):
+            p.add_argument("new")
+            p.add_argument("--intent", choices=("cost-opt", "quality-fix", "neutral-refactor"), required=True)
         if verb == "search":
             p.add_argument("text")
         if verb == "prune":
@@ -85,6 +129,19 @@ def main(argv: list[str] | None = None) -> None:
         export(spark, o.path, o.out)
     elif o.verb == "prune":
         prune(spark, o.path, o.now_ms, o.older_than, o.max).show(1000, truncate=False)
+    elif o.verb == "stats":
+        for name, df in stats(spark, o.path, o.out).items():
+            print(name)
+            df.show(50, truncate=False)
+    elif o.verb == "compare":
+        comparison(spark, o.path, o.new, o.intent).select("line", "causes").show(truncate=False)
+    elif o.verb == "report":
+        from tracemill.operators import report
+        from tracemill.sources import files
+
+        files.write_report(report.document(comparison(spark, o.path, o.new, o.intent)), o.out)
+    elif o.verb == "lint":
+        lint(spark, o.path).orderBy("check", "subject").show(1000, truncate=False)
     else:
         from tracemill.sources import logs
         from tracemill.streaming import tail
