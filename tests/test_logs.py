@@ -127,3 +127,22 @@ def test_files_and_export(spark, tmp_path, parsed):
     assert sorted(names) == ["chat"] * 4 + ["execute_tool"] * 3 + ["invoke_agent"]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         otel.write_otlp(spans, f"file://{tmp_path}/out")
+
+
+def test_long_logs_are_read_in_splits_and_in_order(spark, tmp_path):
+    lines = [json.dumps({"type": "user", "n": k, "timestamp": T % 0, "message": {"content": "x" * 200}}) for k in range(6000)]
+    (tmp_path / "long.jsonl").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "deep").mkdir()
+    for k in range(3):
+        (tmp_path / "deep" / f"s{k}.jsonl").write_text("\n\n".join(lines[: k + 1]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "131072")
+    try:
+        rows = logs.read_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.orderBy("source", "line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.raw for r in got if r.source == "long"] == lines
+    assert [[r.raw for r in got if r.source == f"s{k}"] for k in range(3)] == [lines[: k + 1] for k in range(3)]
+    assert len({(r.source, r.line_no) for r in got}) == len(got)

@@ -1,7 +1,7 @@
 """Session logs (JSON lines) as relational tables.
 
-A file is read whole and exploded by line, so line numbers are known; files are independent and are the unit of
-parallelism.  Every stateful step of log reading is a window or a join over (source, line_no).  Nothing throws on bad
+Files are read by line and in splits, so a long log is read by many tasks and has no size limit; `line_no` grows along
+a file.  Every stateful step of log reading is a window or a join over (source, line_no).  Nothing throws on bad
 input: lines that don't parse, aren't objects or have an unknown type count as warnings of their file.
 """
 
@@ -24,10 +24,15 @@ SKIP_TYPES = ("system", "progress", "summary", "mode", "permission-mode", "last-
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line_no, raw) of all `.jsonl` files below a folder."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata.file_path").alias("path"))
+    """(source, line_no, raw) of all `.jsonl` files below a folder.
+
+    line_no orders the lines of a file: 64 KB blocks of the split's beginning, then the row's place in its task.
+    """
+    rows = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
-    return lines_of(files.select(stem.alias("source"), "value"))
+    line_no = F.shiftleft(F.shiftright("begin", 16), 33).bitwiseOR(F.col("place"))
+    return rows.select(stem.alias("source"), line_no.alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("raw")).filter(F.trim("raw") != "")
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
