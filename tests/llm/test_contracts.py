@@ -674,11 +674,18 @@ def test_op9_deltas(spark, tmp_path):
     assert roll.apply("2", rows(("a", "en", "v", -1, 5), ("a", "en", "v", 1, 7), (None, None, "v", -1, 2)))
     assert rows_of(roll.totals()) == Counter([("a", "en", "v", 2, 17)])
     # a batch written but not committed, as after a lost driver, doesn't count; writing it again does
-    rows(("b", "fr", "v", 1, 4)).selectExpr("source", "lang", "tokenizer_version", "1L as docs", "tokens").write.parquet(f"file://{tmp_path}/a/deltas/3")
+    rows(("b", "fr", "v", 1, 4)).selectExpr("source", "lang", "tokenizer_version", "1L as docs", "tokens").write.parquet(f"file://{tmp_path}/a/deltas/3-lost")
+    (tmp_path / "a/commits/3").touch()
     assert roll.totals().count() == 1
     assert roll.apply("3", rows(("b", "fr", "v", 1, 4)))
     small = roll.compact(f"file://{tmp_path}/b")
     assert rows_of(small.totals()) == rows_of(roll.totals()) and not small.apply("1", rows(("a", "en", "v", 1, 1)))
+    assert small.apply("4", rows(("a", "en", "v", -1, 12)))
+    last = small.compact(f"file://{tmp_path}/c")
+    assert not last.apply("1", rows(("a", "en", "v", 1, 1))) and not last.apply("4", rows(("a", "en", "v", 1, 1)))
+    assert rows_of(last.totals()) == Counter([("a", "en", "v", 1, 5), ("b", "fr", "v", 1, 4)])
+    # of two writers of one batch, one counts
+    assert last._commit("5", "compacted") and not last._commit("5", "other") and last._records()["5"] == "compacted"
 
 
 def test_op10(spark, place):

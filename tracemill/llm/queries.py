@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, lattice, neardup, pieces, pii, resample, rollups, secrets, topk
-from .common import fold, shared_path, table
+from .common import fold, materialize, shared_path, table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -141,14 +141,15 @@ SELECT doc_id, item_id, s AS window_start, size AS window_words, sim AS similari
 
 
 def op9_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted as one batch, and the batch replayed, which must change nothing."""
+    """All documents inserted as one batch; then revised, deleted and inserted again, and replayed, which must change nothing."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     counted = rollups.count_tokens(docs, tokenizer_path(spark, RANKS), public_tokenizers.PATTERN, "byte_bpe_50k")
+    counted = materialize(counted.select(*rollups.GROUP, "tokens"), "counted")
     roll = rollups.Rollup(spark, shared_path(spark, "rollup"))
-    roll.apply("load", rollups.inserts(counted))
-    roll.apply("load", rollups.inserts(counted))  # a replay changes nothing
+    for batch, rows in (("load", rollups.inserts(counted)), ("revise", rollups.revisions(counted, counted)), ("drop", rollups.deletes(counted)), ("load again", rollups.inserts(counted)), ("load", rollups.inserts(counted))):
+        roll.apply(batch.replace(" ", "-"), rows)
     return roll.totals()
 
 

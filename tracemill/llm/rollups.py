@@ -1,18 +1,20 @@
 """Token counts kept as additive totals by source, language and tokenizer version.
 
 Changes come as batches of signed rows: an insert adds a document's counts, a delete takes them back, a revision is
-both at once.  A batch is reduced to one signed row per group and written under its id; writing the same id again
-replaces the same folder, and the commit record, written last, makes it count.  A batch that has been committed is
-never applied again, so replays and retries after lost executors change nothing.  Totals are the sum over committed
-batches; `compact` folds them into one.
+both at once.  A batch is reduced to one signed row per group and written to a folder of its own; the commit record,
+written last, names that folder and makes it count.  A record is created once, so of several writers of one batch one
+counts, and a batch that has been committed is never applied again: replays and retries after lost executors change
+nothing.  Totals are the sum over committed batches; `compact` folds them into one, and their ids into one table.
 
 Defined results: null source and language are groups of their own; null text has zero tokens; a delete that cancels
-an insert leaves no group behind; an empty batch commits and changes nothing; repeated rows count each.
+an insert leaves no group behind; an empty batch commits and changes nothing; repeated rows count each; a record that
+its writer left empty does not count, and the batch can be applied again.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,41 +38,69 @@ class Rollup:
     def _at(self, *names: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
 
+    def _records(self) -> dict[str, str]:
+        """Folder of each batch by its id; records without one don't count."""
+        where, out = self._at("commits"), {}
+        for s in self._fs.listStatus(where) if self._fs.exists(where) else ():
+            if s.getLen():
+                stream = self._fs.open(s.getPath())
+                out[s.getPath().getName()] = stream.readUTF()
+                stream.close()
+        return out
+
+    def _folded(self) -> DataFrame:
+        """Ids of batches that totals of an earlier time hold."""
+        schema = "id string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/folded") if self._fs.exists(self._at("folded")) else self.spark.createDataFrame([], schema)
+
     def committed(self) -> list[str]:
-        where = self._at("commits")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        return sorted(self._records())
+
+    def _done(self, batch_id: str) -> bool:
+        where = self._at("commits", batch_id)
+        there = self._fs.exists(where) and self._fs.getFileStatus(where).getLen() > 0
+        return there or not self._folded().filter(F.col("id") == batch_id).isEmpty()
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of (source, lang, tokenizer_version, sign, tokens); False if it was committed before."""
-        if self._fs.exists(self._at("commits", batch_id)):
+        if self._done(batch_id):
             return False
         # salted, then summed: a source that holds a third of all rows is no single task
         part = changes.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
         part = part.groupBy(*GROUP, "salt").agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         total = part.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        total.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch_id}")
-        return self._commit(batch_id)
-
-    def _commit(self, batch_id: str) -> bool:
-        self._fs.mkdirs(self._at("commits"))
-        return bool(self._fs.createNewFile(self._at("commits", batch_id)))
+        folder = f"{batch_id}-{uuid.uuid4().hex}"
+        total.coalesce(1).write.parquet(f"{self.path}/deltas/{folder}")
+        return self._commit(batch_id, folder)
+
+    def _commit(self, batch_id: str, folder: str) -> bool:
+        where = self._at("commits", batch_id)
+        empty = self._fs.exists(where) and not self._fs.getFileStatus(where).getLen()
+        self._fs.mkdirs(where.getParent())
+        try:
+            stream = self._fs.create(where, empty)  # fails if another writer was first
+        except Exception:  # noqa: BLE001  the JVM's error for a file that exists
+            if self._done(batch_id):
+                return False
+            raise
+        stream.writeUTF(folder)
+        stream.close()
+        return True
 
     def totals(self) -> DataFrame:
-        names = self.committed()
-        if not names:
+        folders = sorted(self._records().values())
+        if not folders:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.path}/deltas/{n}" for n in names))
+        rows = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.path}/deltas/{n}" for n in folders))
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
     def compact(self, path: str) -> Rollup:
         """The totals as one batch in a new folder, with the ids of the batches that it holds still known there."""
         new = Rollup(self.spark, path)
-        names = self.committed()
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{new.path}/deltas/compacted")
-        for n in names:
-            self.spark.createDataFrame([], _SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{new.path}/deltas/{n}")
-            new._commit(n)
-        new._commit("compacted")
+        ids = self.spark.createDataFrame([(n,) for n in self.committed()], "id string")
+        self._folded().union(ids).distinct().coalesce(1).write.parquet(f"{new.path}/folded")
+        self.totals().coalesce(1).write.parquet(f"{new.path}/deltas/compacted")
+        new._commit("compacted", "compacted")
         return new
 
 
