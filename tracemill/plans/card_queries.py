@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.num import js_round
-from tracemill.operators import attribution, cards, compare, coverage, grading, sections, views
+from tracemill.operators import attribution, cards, compare, coverage, grading, graph, lint, sections, views
 from tracemill.plans.bindings import EVENTS, REPS, events, r, reps, table
 from tracemill.plans.coverage_queries import _CALLS, _CONV, _PARTS, _calls, _rounds
 from tracemill.plans import mining_queries
 from tracemill.plans.registry import ORACLE_SQL, query
-from tracemill.sources import files
+from tracemill.sources import files, logs
+from tracemill.streaming import tail
 
 
 @query(f"WITH {_CONV} SELECT run_id, seq, prev_out, tool_res, injected_user + injected_harness + skill_body AS injected, other AS residual, CASE WHEN other < 0 THEN CASE WHEN compact_before THEN 'confirmed' ELSE 'inferred' END END AS compaction FROM items")
@@ -258,3 +259,74 @@ def d12_graph_charts(spark, sf):
 @query(f"SELECT * FROM ({ORACLE_SQL['x16_proximity']}) z ORDER BY confidence DESC, closeness DESC, from_type, from_id, to_type, to_id LIMIT 8")
 def o11_top_edges(spark, sf):
     return cards.top_edges(mining_queries.x16_proximity(spark, sf))
+
+
+@query("""SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN 's1' WHEN 1 THEN 's2' WHEN 2 THEN 's3' END AS skill, CASE page_id % 5 WHEN 0 THEN 's1/references/a.md' WHEN 1 THEN 's2/_shared/f.md' WHEN 2 THEN 's3/x y/SKILL.md' END AS ref_path,
+  CASE page_id % 5 WHEN 0 THEN 's1/references/a.md' WHEN 1 THEN '_shared/f.md#' || CASE WHEN page_id % 2 = 0 THEN md5(url) ELSE 'no-content' END WHEN 2 THEN 's3/x y/SKILL.md' END AS logical_ref, CASE WHEN page_id % 5 < 3 THEN page_id % 5 = 1 END AS shared FROM pages""")
+def d1_attribute_read(spark, sf):
+    k = F.col("page_id")
+    path = F.when(k % 5 == 0, "/home/x/skills/s1/references/a.md").when(k % 5 == 1, "C:\\y\\skills\\s2\\_shared\\f.md").when(k % 5 == 2, "skills/s3/x y/SKILL.md").when(k % 5 == 3, "/myskills/s4/a.md").otherwise("/skills/alone.md")
+    found = table(spark, sf, "pages").select(k.alias("id"), logs.attribute_read(path, F.when(k % 2 == 0, F.col("url"))).alias("a"))
+    return found.select("id", "a.skill", "a.ref_path", "a.logical_ref", "a.shared")
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT run_id AS session, event_type AS skill, ordinal // 3 AS round, 0 AS phase, ordinal FROM ev WHERE ordinal % 2 = 0 UNION ALL SELECT run_id, 'declared-' || event_type, ordinal // 3, 1, NULL FROM ev WHERE ordinal % 5 = 1 UNION ALL SELECT run_id, event_type, ordinal // 3, 1, NULL FROM ev WHERE ordinal % 7 = 3),
+f AS (SELECT session, skill, min(round * 1000000 + phase * 100000 + coalesce(ordinal, 0)) AS pos, min(ordinal) AS first_ordinal FROM o GROUP BY ALL) SELECT session, skill, row_number() OVER (PARTITION BY session ORDER BY pos, skill) AS rank, first_ordinal FROM f""")
+def d2_session_events(spark, sf):
+    e = events(spark, sf).select(F.col("run_id").alias("session"), F.col("event_type").alias("skill"), F.floor(F.col("ordinal") / 3).cast("int").alias("round"), F.col("ordinal").cast("long").alias("ordinal"))
+    declared = e.filter("ordinal % 5 = 1").select("session", F.concat(F.lit("declared-"), "skill").alias("skill"), "round").union(e.filter("ordinal % 7 = 3").select("session", "skill", "round"))
+    return graph.session_events(e.filter("ordinal % 2 = 0"), declared)
+
+
+@query("SELECT count(*) FILTER (WHERE c_custkey % 4 = 0) AS harness, count(*) FILTER (WHERE c_custkey % 4 = 1) AS adapter, count(*) FILTER (WHERE c_custkey % 4 > 1) AS unknown FROM customer")
+def d11_provenance_mix(spark, sf):
+    k = F.col("c_custkey") % 4
+    return graph.provenance_mix(table(spark, sf, "customer").select(F.when(k == 0, "harness-observed").when(k == 1, "adapter-reported").when(k == 2, "hearsay").alias("provenance")))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS run_id, o_orderdate AS m FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS m FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(b.run_id, n.run_id) AS run_id, CASE WHEN b.m IS NULL THEN 'added' WHEN n.m IS NULL THEN 'removed' ELSE 'changed' END AS change FROM b FULL JOIN n ON b.run_id = n.run_id WHERE b.m IS DISTINCT FROM n.m""")
+def k2_changes(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(k.alias("run_id"), F.col("o_orderdate").alias("m"))
+    now = o.filter("run_id % 7 <> 0").withColumn("m", F.when(F.col("run_id") % 3 == 0, F.col("m") + F.expr("interval 1 day")).otherwise(F.col("m")))
+    return tail.changes(o.filter("run_id % 5 <> 0"), now, "run_id", "m")
+
+
+@query("""WITH e AS (SELECT DISTINCT p_type AS arm, p_brand AS name FROM part WHERE p_size % 2 = 0 AND p_size < 6), a AS (SELECT DISTINCT p_type AS arm, p_brand AS name FROM part WHERE p_size < 10) SELECT arm, name FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.arm = a.arm AND e.name = a.name)""")
+def e3_isolation(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_type").alias("arm"), F.col("p_brand").alias("name"), "p_size")
+    return compare.arms_isolated(p.filter("p_size % 2 = 0 and p_size < 6"), p.filter("p_size < 10"))
+
+
+@query(f"WITH {REPS} SELECT order_id, excluded, l1_pass, CASE WHEN NOT excluded THEN C = 1 END AS l2_pass, flow_status FROM reps WHERE task_id % 10 <> 0")
+def u11_experiment_arm(spark, sf):
+    x = reps(spark, sf).withColumn("held_out", F.col("task_id") % 10 == 0)
+    return compare.experiment_arm(x).select("order_id", "excluded", "l1_pass", "l2_pass", "flow_status")
+
+
+@query("""WITH s AS (SELECT DISTINCT c_mktsegment AS arm, c_nationkey AS n FROM customer) SELECT arm, string_agg('s' || CAST(n AS VARCHAR) || '=' || md5(CAST(n AS VARCHAR)), ',' ORDER BY 's' || CAST(n AS VARCHAR)) AS skills FROM s GROUP BY arm""")
+def u10_version_quads(spark, sf):
+    n = F.col("c_nationkey").cast("string")
+    none = F.lit(None).cast("string")
+    arms = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("arm"), F.lit("1").alias("cli_version"), none.alias("model"), none.alias("harness_version"), F.lit(None).cast("boolean").alias("isolation_verified"), F.concat(F.lit("s"), n).alias("name"), F.md5(n).alias("sha256")).distinct()
+    return compare.version_quads(arms).select("arm", F.array_join(F.transform("skills", lambda s: F.concat_ws("=", s["name"], s["sha256"])), ",").alias("skills"))
+
+
+@query("""SELECT o_custkey AS run_id, min_by(o_orderpriority, lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS payload FROM orders GROUP BY ALL""")
+def l18_hoisted(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("payload"))
+    return lint.first_of(o, ["run_id"], ["ord"]).select("run_id", "payload")
+
+
+@query(f"""WITH {REPS}, g AS (SELECT order_id, CASE WHEN order_id % 5 <> 0 THEN CASE WHEN order_id % 3 = 0 THEN 0 ELSE 1 END ELSE 0 END AS c, CASE order_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' WHEN 2 THEN 'permission-artifact' END AS routing, CASE WHEN order_id % 7 = 0 THEN 'executed-without-ask' WHEN order_id % 7 = 1 THEN 'executed-after-confirm' END AS safety FROM reps),
+v AS (SELECT order_id, c, CASE WHEN routing <> 'permission-artifact' THEN routing = 'correct' END AS l1, c = 1 AS l2, CASE WHEN safety IS NOT NULL THEN safety = 'executed-after-confirm' END AS l3 FROM g)
+SELECT order_id AS rep_id, c AS "C", l1 AS l1_pass, l2 AS l2_pass, l3 AS l3_pass, coalesce(l1, true) AND coalesce(l2, true) AND coalesce(l3, true) AND (coalesce(l1, false) OR coalesce(l2, false) OR coalesce(l3, false)) AS passed FROM v""")
+def e4_build_repeats(spark, sf):
+    k = F.col("order_id")
+    x = reps(spark, sf)
+    runs = x.select(k.alias("rep_id"), F.lit(4).alias("tool_calls"), F.lit(1).alias("tool_errors"), F.lit(0).alias("max_turns"), F.lit(3).alias("n_rounds"), F.lit(True).alias("activated"), F.lit(0).alias("peak"), F.lit(0).alias("first_fp"), F.lit(0).alias("last_fp"), F.lit(0).alias("n_fp"), F.lit(200000).alias("context_limit"))
+    results = x.filter("order_id % 5 <> 0").select(k.alias("rep_id"), F.lit("deterministic").alias("cls"), (k % 3 != 0).alias("passed"))
+    routing = x.select(k.alias("rep_id"), F.when(k % 4 == 0, "correct").when(k % 4 == 1, "wrong").when(k % 4 == 2, "permission-artifact").alias("routing"))
+    safety = x.filter("order_id % 7 < 2").select(k.alias("rep_id"), F.when(k % 7 == 0, "executed-without-ask").otherwise("executed-after-confirm").alias("verdict"))
+    return compare.build_repeats(runs, results, routing, safety).select("rep_id", "C", "l1_pass", "l2_pass", "l3_pass", "passed")
