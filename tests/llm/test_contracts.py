@@ -703,6 +703,12 @@ def test_op10(spark, place):
     got = queries.op10_resample(spark, place).collect()
     want = Counter((i, round(float(logs[resample.buckets(t, {})].sum()), 6) + 0.0) for i, t in docs)
     assert Counter((r.doc_id, round(r.log_weight, 6) + 0.0) for r in got) == want
+    texts = defaultdict(list)
+    for i, t in docs:
+        texts[i].append(t)
+    for r in got:
+        us = [((xxhash.xxh64_intdigest(f"{r.doc_id}\x00{t or ''}".encode("utf-8", "replace"), 42) >> 11) + 0.5) / 2**53 for t in texts[r.doc_id]]
+        assert any(r.gumbel_key == pytest.approx(r.log_weight - math.log(-math.log(u)), abs=1e-9) for u in us)
     kept = sorted((r.gumbel_key for r in got if r.selected), reverse=True)
     k = math.ceil(len(got) / 2)
     assert kept[: k] == sorted((r.gumbel_key for r in got), reverse=True)[:k] and set(kept[k:]) <= {kept[k - 1]}

@@ -94,3 +94,21 @@ def test_decontaminate_takes_rows_without_an_id(spark, sf_dir):
     out = corpus_pipeline.decontaminate(spark, docs, sf_dir)
     assert out.columns == docs.columns
     assert {(r.doc_id, r.text) for r in out.collect()} == {rows[1], rows[3], rows[4]}
+
+
+def test_long_texts_pass_all_stages(spark, sf_dir):
+    """Texts of several hundred thousand characters: of prose, of one word, with a secret and with a benchmark passage."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rng = random.Random(1)
+    prose = lambda seed, n=60_000: " ".join(f"word{random.Random(seed + k).randrange(5000)}" for k in range(n))
+    first = prose(1)
+    texts = {1: first, 2: first.replace("word7 ", "word8 "), 3: prose(200_000), 4: "x" * 400_000, 5: f"{prose(400_000)} {item} {prose(600_000)}", 6: prose(800_000, 20_000) + " token=abcdef123456 " + "0123456789abcdef" * 10_000, 7: "1 " * 200_000, 8: "".join(rng.choices("ab ", k=300_000))}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {"language": {1, 2, 3, 4, 5, 6, 8}, "near_duplicates": {1, 3, 4, 5, 6, 8}, "decontaminate": {1, 3, 4, 6, 8}, "mask_secrets": {1, 3, 4, 6, 8}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir).collect()
+        assert {r.doc_id for r in rows} == kept[name], name
+        docs = spark.createDataFrame(rows, docs.schema)
+    masked = {r.doc_id: r.text for r in docs.collect()}[6]
+    assert masked.endswith(" [assign] [hex]") and len(masked) < 250_000
+    assert corpus_pipeline.encode(spark, docs, sf_dir).count() == 5
