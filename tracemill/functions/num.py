@@ -93,6 +93,7 @@ def tokens_est_cjk(s: Column) -> Column:
     return (wide + F.ceil((F.length(s) - wide) / 4)).cast("long")
 
 
+# Fixed value: what counts as a number in a text.
 NUMBER = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
 
 
