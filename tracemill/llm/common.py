@@ -48,7 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracemill_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete intermediates of `materialize` that no plan needs any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tracemill_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Shared:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shared, materialize
+from .common import Shared, discard, materialize
 
 #: Fingerprints in a tile at most (16 bytes each), and comparisons above which a pair of tiles is cut more finely.
 TILE, SUB_TILED = 32_768, 16_000_000
@@ -337,10 +337,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "middle", "prefix"])
 
     rows = materialize(texts.mapInArrow(run, "id long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
-    ids = rows.select("id", "key")
+    ids = materialize(rows.select("id", "key"), "ids")
     repeated = not ids.groupBy("id", "key").count().filter("count > 1 and id is not null").isEmpty()
     first = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "fp", "n", "middle", "prefix")).alias("x"))
     reps = materialize(first.select("key", F.col("x.id").alias("rep"), "x.fp", "x.n", "x.middle", "x.prefix"), "representatives")
+    discard(rows)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b: keys) whose whole sets are similar; only texts in question are read again."""
@@ -366,7 +367,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets = materialize(sets, "sets")
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb"))
-        return materialize(both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b"), "similar")
+        found = materialize(both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b"), "similar")
+        discard(pairs, named, sets)
+        return found
 
     fps = reps.select("key", "fp", (F.col("n") >= LARGE).alias("large"))
     ends = [fps.select(F.col("key").alias(x), F.col("fp").alias(f"f{x}"), F.col("large").alias(f"l{x}")) for x in ("a", "b")]
