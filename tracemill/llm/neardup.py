@@ -404,9 +404,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # then all pairs in different groups
     shared = between(shared.drop("c", "middle"), merged)
-    heads = shared.groupBy("gram", "c").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    heads = shared.groupBy("gram", "c").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = (F.col("x.most_n") >= F.col("y.least_n") * least - 1e-9) & (F.col("y.most_n") >= F.col("x.least_n") * least - 1e-9)
+    # what no two members can have in common, by the best place that a group's members have the shingle at
+    sizes &= F.least("x.rest", "y.rest") >= (F.col("x.least_n") + F.col("y.least_n")) * (least / (1 + least)) - 1e-9
     met = x.join(y, F.col("x.gram") == F.col("y.gram")).filter((F.col("x.c") < F.col("y.c")) & sizes).select(F.col("x.gram").alias("gram"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
     more = checked(met.join(shared.select("gram", *side("a")), ["gram", "ca"]).join(shared.select("gram", *side("b")), ["gram", "cb"]))
     if not more.isEmpty():
