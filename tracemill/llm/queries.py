@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, neardup, pieces, pii, resample, rollups, secrets, topk
+from . import decontam, langid, lattice, lexical, neardup, pieces, pii, resample, rollups, runs, secrets, topk
 from .common import fold, materialize, shared_path, table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -159,8 +159,29 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, good)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark WHERE text IS NOT NULL GROUP BY item_id),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(ts) AS t FROM i) z GROUP BY ALL),
+p AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) z WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY t),
+x AS (SELECT item_id, row, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN p USING (t), s GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), change=runs.planted, full=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lattice, op2_topk, op3_pii, op4_pieces, op5_secrets, op6_neardup, op7_langid, op8_decontam, op9_rollups, op10_resample)
+    for f in (op1_lattice, op2_topk, op3_pii, op4_pieces, op5_secrets, op6_neardup, op7_langid, op8_decontam, op9_rollups, op10_resample, op12_lexical, op13_periodic)
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_secrets": _secrets_sql(), "op7_langid": _langid_sql(), "op8_decontam": _decontam_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_secrets": _secrets_sql(), "op7_langid": _langid_sql(), "op8_decontam": _decontam_sql(), "op12_lexical": OP12_SQL}
