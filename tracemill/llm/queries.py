@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, lexical, neardup, pieces, pii, resample, rollups, runs, secrets, topk
+from . import bytepairs, decontam, langid, lattice, lexical, neardup, pieces, pii, resample, rollups, runs, secrets, topk
 from .common import fold, materialize, shared_path, table
 
-PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
+PIECES, RANKS, MULTI_RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(spark: SparkSession, name: str) -> str:
@@ -159,6 +159,13 @@ def op10_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, good)
 
 
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytepairs.encode_documents(docs, bytepairs.Vocabulary.load(tokenizer_path(spark, MULTI_RANKS)), public_tokenizers.PATTERN, with_ids=False)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -182,6 +189,6 @@ def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lattice, op2_topk, op3_pii, op4_pieces, op5_secrets, op6_neardup, op7_langid, op8_decontam, op9_rollups, op10_resample, op12_lexical, op13_periodic)
+    for f in (op1_lattice, op2_topk, op3_pii, op4_pieces, op5_secrets, op6_neardup, op7_langid, op8_decontam, op9_rollups, op10_resample, op11_bytepairs, op12_lexical, op13_periodic)
 }
 ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_secrets": _secrets_sql(), "op7_langid": _langid_sql(), "op8_decontam": _decontam_sql(), "op12_lexical": OP12_SQL}
