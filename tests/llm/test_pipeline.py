@@ -112,3 +112,26 @@ def test_long_texts_pass_all_stages(spark, sf_dir):
     masked = {r.doc_id: r.text for r in docs.collect()}[6]
     assert masked.endswith(" [assign] [hex]") and len(masked) < 250_000
     assert corpus_pipeline.encode(spark, docs, sf_dir).count() == 5
+
+
+def test_near_duplicates_judges_every_text_of_an_id(spark, sf_dir):
+    """One id on several texts, in any order of the rows, and repeated rows that differ in another column."""
+    copy, other = "the words of a copy that is there twice", "words that nobody else has at all"
+    rows = [(0, copy, "a"), (1, copy, "a"), (1, other, "a"), (2, other + " but for these many more words here", "b"), (2, copy, "c"), (5, "again and again", "y"), (5, "again and again", "x")]
+    wanted = {(0, copy, "a"), (1, other, "a"), (2, other + " but for these many more words here", "b"), (5, "again and again", "x")}
+    for k in range(4):
+        random.Random(k).shuffle(rows)
+        docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(1 + k)
+        got = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in got) == sorted(wanted)
+
+
+def test_a_shingle_in_a_third_of_many_texts(spark, sf_dir):
+    """A line that a third of 20,000 texts share makes no group of them, and their planted copies are found."""
+    rng = random.Random(4)
+    line = "every right is reserved by the owner of this page"
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(12)) + (f" {line}" if k % 3 == 0 else "") for k in range(20_000)]
+    copies = {k: texts[k] for k in range(0, 3000, 100)}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in [*enumerate(texts), *((20_000 + k, t) for k, t in copies.items())]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).select("doc_id").collect()}
+    assert got == set(range(20_000))

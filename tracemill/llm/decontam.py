@@ -12,9 +12,9 @@ window it stands:
   n - ceil(similarity * n) + 1 rarest (the seeds, shingles in the fewest items first);
 * the number of a window's shingles that the item has bounds the sum of the smaller multiplicities from above.
 
-Each remaining window gets a 64-bit SimHash of its shingles.  A multi-index finds all items of the window's length
-within `radius` bits: the 64 bits are cut into radius + 1 blocks, and two fingerprints within the radius agree in at
-least one.  The exact similarity verifies the candidates.  A pair that is similar but farther apart than the radius is
+Each remaining window gets a 64-bit SimHash of its shingles.  A multi-index tells whether the item that the window was laid
+for is within `radius` bits: the 64 bits are cut into radius + 1 blocks, and two fingerprints within the radius agree in
+at least one.  A window that is similar to several items holds a seed of each and is laid for each.  The exact similarity verifies the candidates.  A pair that is similar but farther apart than the radius is
 lost by the method; `RADIUS` leaves about 3 in 10,000 of the pairs that are just similar enough, fewer of the others.
 
 Texts are never shuffled: each occurrence of a seed cuts out the words around it, two item lengths at most.  Seeds,
@@ -106,7 +106,7 @@ def cut_out(found: DataFrame) -> DataFrame:
 
 
 def laid(around: DataFrame, similarity: float) -> DataFrame:
-    """(id, size, gram, base, rw, cand): of the windows around a seed's occurrence those that may be similar, with fingerprints.
+    """(id, number, size, gram, base, rw, cand): of the windows around a seed's occurrence those that may be similar, with fingerprints.
 
     A window belongs to the first occurrence of a seed of its item that it holds, so it is laid once.
     """
@@ -122,7 +122,7 @@ def laid(around: DataFrame, similarity: float) -> DataFrame:
         return F.when(n_held(held) >= need, F.transform(starts, lambda s: F.struct(s.alias("start"), simhash(part(F.col("rh"), s)).alias("fp"))))
 
     cand = bound(F.transform("rh", lambda h: F.array_contains("ih", h)), windows)
-    return once(around, "cand", cand).filter(F.size("cand") > 0).select("id", "size", "gram", "base", "rw", "cand")
+    return once(around, "cand", cand).filter(F.size("cand") > 0).select("id", "number", "size", "gram", "base", "rw", "cand")
 
 
 def overlap(a: Column, b: Column, gram: Column) -> Column:
@@ -170,16 +170,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return docs.select(F.col(id_col), F.lit(None).cast(items.schema[item_id].dataType).alias(item_id), F.lit(0).alias("window_start"), F.lit(0).alias("window_words"), F.lit(0.0).alias("similarity")).limit(0)
     windows = materialize(windows, "windows")
 
-    # the multi-index: each distinct fingerprint of a window meets the items of its length through equal blocks
-    probes = windows.select("size", F.explode("cand.fp").alias("fp")).distinct().withColumn("b", F.explode(blocks(F.col("fp"), radius)))
-    index = own.select("number", "size", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("b")).select("number", "size", "ifp", "b.block", "b.bits")
+    # the multi-index: a window was laid for an item, whose seed it holds, and meets that item through equal blocks
+    probes = windows.select("number", F.explode("cand.fp").alias("fp")).distinct().withColumn("b", F.explode(blocks(F.col("fp"), radius)))
+    index = own.select("number", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("b")).select("number", "ifp", "b.block", "b.bits")
     index = F.broadcast(index) if n_items * (radius + 1) <= BROADCAST else index
-    hits = probes.select("size", "fp", "b.block", "b.bits").join(index, ["size", "block", "bits"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    hits = materialize(hits.select("size", "fp", "number").distinct(), "hits")
+    hits = probes.select("number", "fp", "b.block", "b.bits").join(index, ["number", "block", "bits"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    hits = materialize(hits.select("number", "fp").distinct(), "hits")
     close = F.broadcast if hits.count() <= BROADCAST else (lambda df: df)
 
-    each = windows.select("id", "size", "gram", "base", "rw", F.explode("cand").alias("c")).select("id", "size", "gram", "base", "rw", "c.start", "c.fp")
-    pairs = each.join(close(hits), ["size", "fp"]).join(near(own.select("number", "item", "iw")), "number")
+    each = windows.select("id", "number", "size", "gram", "base", "rw", F.explode("cand").alias("c")).select("id", "number", "size", "gram", "base", "rw", "c.start", "c.fp")
+    pairs = each.join(close(hits), ["number", "fp"]).join(near(own.select("number", "item", "iw")), "number")
     window = F.slice("rw", F.col("start") - F.col("base") + 1, F.col("size"))
     scored = once(pairs, "similarity", overlap(window, F.col("iw"), F.col("gram"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("id", "item").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), "size")).alias("b"))

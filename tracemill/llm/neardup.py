@@ -9,9 +9,11 @@ returns a spanning forest of its links, at most one row per fingerprint, never a
 Defined results: null or empty text has fingerprint zero, which links like any other.  Repeated rows share their
 component.  A row without an id gets the component of its fingerprint's group, or null if nobody there has an id.
 
-`similar_groups` is exact instead: it links texts whose sets of word shingles have a given Jaccard similarity.  The same
-tiles, with a wider radius, give each text its nearest other one; the links that hold make the first groups.  What is
-left are pairs in different groups, which an equi-join on prefixes of the sets finds without loss.
+`similar_groups` links texts whose sets of word shingles have a given Jaccard similarity.  The same tiles, with a wider
+radius, give each text its nearest other one; the links that hold make the first groups.  What is left are pairs in
+different groups, which an equi-join on prefixes of the sets finds without loss.  Before whole sets are compared one
+filter is not exact: pairs of large sets whose fingerprints differ by more than `FAR` bits are left out, which a pair of
+similarity 0.8 does by 6 standard deviations.
 """
 
 from __future__ import annotations
@@ -303,7 +305,10 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, component_id) for every row: components of all pairs of texts with a Jaccard similarity of `least` or more.
+    """(id, text_key, group_key, component_id) for every row: components of all pairs of texts with a Jaccard similarity of `least` or more.
+
+    A row is known by its id and `text_key`, xxhash64 of its text: an id may stand on several texts.  `group_key` names a
+    component, `component_id` is the smallest id in it.
 
     First each text is checked against its nearest by SimHash.  Shingles are put in one order, rare ones first; of two
     sets this similar, the first n - ceil(least * n) + 1 shingles have one in common, so an equi-join on these prefixes
@@ -313,6 +318,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     frequent = Shared(docs.sparkSession, frequent_shingles(docs, text_col, shingle), "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = texts.select("*", F.xxhash64("text").alias("text_key"))
 
     def run(batches):
         known, counts = frequent.value
@@ -333,11 +339,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 prefixes.append(grams[: len(grams) - int(np.ceil(len(grams) * least - 1e-9)) + 1])
             ends = np.cumsum([0, *map(len, prefixes)])
             values = pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(middles, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "middle", "prefix"])
+            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(middles, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "key", "fp", "n", "middle", "prefix"])
 
-    rows = materialize(texts.mapInArrow(run, "id long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
-    ids = materialize(rows.select("id", "key"), "ids")
+    rows = materialize(keyed.mapInArrow(run, "id long, text_key long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
+    ids = materialize(rows.select("id", "text_key", "key"), "ids")
     repeated = not ids.groupBy("id", "key").count().filter("count > 1 and id is not null").isEmpty()
     first = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "fp", "n", "middle", "prefix")).alias("x"))
     reps = materialize(first.select("key", F.col("x.id").alias("rep"), "x.fp", "x.n", "x.middle", "x.prefix"), "representatives")
@@ -416,4 +422,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = reps.select("key", "rep").join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return ids.join(named.join(lowest, "component").select("key", "component_id"), "key", "left").select(F.col("id").alias(id_col), "component_id")
+    named = named.join(lowest, "component").select("key", F.col("component").alias("group_key"), "component_id")
+    return ids.join(named, "key", "left").select(F.col("id").alias(id_col), "text_key", "group_key", "component_id")

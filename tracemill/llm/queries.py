@@ -141,15 +141,20 @@ SELECT doc_id, item_id, s AS window_start, size AS window_words, sim AS similari
 
 
 def op9_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted as one batch; then revised, deleted and inserted again, and replayed, which must change nothing."""
+    """All documents inserted; a fifth revised, their texts turned round and longer by their source; a seventh of all deleted as they then are; the first batch replayed, which must change nothing."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counted = rollups.count_tokens(docs, tokenizer_path(spark, RANKS), public_tokenizers.PATTERN, "byte_bpe_50k")
-    counted = materialize(counted.select(*rollups.GROUP, "tokens"), "counted")
+    turned = F.concat_ws(" ", F.reverse(F.split("text", " ")), F.col("source"))
+    both = docs.select("*", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("state")).withColumn("revised", fold(F.col("doc_id"), 5, 1)).withColumn("dropped", fold(F.col("doc_id"), 7, 3))
+    both = both.filter("state = 'before' or revised").withColumn("text", F.when(F.col("state") == "after", turned).otherwise(F.col("text")))
+    counted = rollups.count_tokens(both, tokenizer_path(spark, RANKS), public_tokenizers.PATTERN, "byte_bpe_50k")
+    counted = materialize(counted.select(*rollups.GROUP, "tokens", "state", "revised", "dropped"), "counted")
+    before, after = counted.filter("state = 'before'"), counted.filter("state = 'after'")
+    now = before.filter("not revised").unionByName(after)
     roll = rollups.Rollup(spark, shared_path(spark, "rollup"))
-    for batch, rows in (("load", rollups.inserts(counted)), ("revise", rollups.revisions(counted, counted)), ("drop", rollups.deletes(counted)), ("load again", rollups.inserts(counted)), ("load", rollups.inserts(counted))):
-        roll.apply(batch.replace(" ", "-"), rows)
+    for batch, rows in (("load", rollups.inserts(before)), ("revise", rollups.revisions(before.filter("revised"), after)), ("drop", rollups.deletes(now.filter("dropped"))), ("load", rollups.inserts(before))):
+        roll.apply(batch, rows)
     return roll.totals()
 
 

@@ -8,7 +8,11 @@ nothing.  Totals are the sum over committed batches; `compact` folds them into o
 
 Defined results: null source and language are groups of their own; null text has zero tokens; a delete that cancels
 an insert leaves no group behind; an empty batch commits and changes nothing; repeated rows count each; a record that
-its writer left empty does not count, and the batch can be applied again.
+its writer left empty does not count, and the batch can be applied again.  `count_tokens` refuses rows that have a column
+named like one that it adds.
+
+A record is created without overwriting, which file systems like HDFS do in one step.  Object stores may let two writers
+of one batch both create it; there a batch must have one writer at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .common import worker_cache
 GROUP = ("source", "lang", "tokenizer_version")
 _SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 SALTS = 32
+#: The batch that `compact` makes; a caller's batch can't have this name.
+COMPACTED = "compacted"
 
 
 class Rollup:
@@ -63,10 +69,12 @@ class Rollup:
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of (source, lang, tokenizer_version, sign, tokens); False if it was committed before."""
+        if batch_id == COMPACTED or "/" in batch_id:
+            raise ValueError(f"{batch_id!r} can't name a batch")
         if self._done(batch_id):
             return False
         # salted, then summed: a source that holds a third of all rows is no single task
-        part = changes.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        part = changes.withColumn("salt", F.pmod(F.xxhash64("sign", "tokens"), F.lit(SALTS)))
         part = part.groupBy(*GROUP, "salt").agg(F.sum(F.col("sign").cast("long")).alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         total = part.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         folder = f"{batch_id}-{uuid.uuid4().hex}"
@@ -99,13 +107,15 @@ class Rollup:
         new = Rollup(self.spark, path)
         ids = self.spark.createDataFrame([(n,) for n in self.committed()], "id string")
         self._folded().union(ids).distinct().coalesce(1).write.parquet(f"{new.path}/folded")
-        self.totals().coalesce(1).write.parquet(f"{new.path}/deltas/compacted")
-        new._commit("compacted", "compacted")
+        self.totals().coalesce(1).write.parquet(f"{new.path}/deltas/{COMPACTED}")
+        new._commit(COMPACTED, COMPACTED)
         return new
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, version: str, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, plus tokenizer_version and tokens, by a byte-level BPE vocabulary file."""
+    if taken := {"tokenizer_version", "tokens"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} would be there twice")
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # the size of a vocabulary

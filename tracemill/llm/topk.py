@@ -7,8 +7,10 @@ contributions to accumulators.  What is still unprocessed bounds each row's fina
 that could reach the k-th best lower bound are few, the bound proves all others out; the possible members are then
 rescored exactly.  Without such a proof all segments are processed.
 
-A block's index is built once for each batch of queries, which is large; blocks hold rows dealt by id, vector and place,
-so neither a repeated id nor a repeated vector gathers in one of them.
+A block's index is built once for each batch of queries, which is large; blocks hold rows dealt by id, vector and a number
+among equal rows, so neither a repeated id nor a repeated vector gathers in one of them.  Of equal rows k are kept, for no
+query can have more of them among its k best.  What deals rows is their content alone: a task that is done again after a
+lost executor deals them alike.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; only
 vectors of a query's own dimension are its candidates; rows with the query's own id are not; ties go to the smaller
@@ -120,6 +122,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     out = "query_id long, vec_id long, score long"
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # equal rows, of which a query can have k among its best, are told apart by a number
+    rows = rows.groupBy("id", "v", "dim").agg(F.bool_or("q").alias("q"), F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k))))).drop("n")
     counts = F.broadcast(spark.createDataFrame([(r.dim, -(-r.n // BLOCK), -(-r.nq // BATCH)) for r in sizes], "dim int, blocks int, batches int"))
     rows = rows.join(counts, "dim")
 
@@ -133,11 +137,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             return pa.table({"dim": one["dim"], "part": one["part"], "other": one["other"], "ids": pa.array([ids.tobytes()], pa.binary()), "vs": pa.array([v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())})
 
         other = "batches" if parts == "blocks" else "blocks"
-        own = own.select("dim", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.col(parts)).cast("int").alias("part"), F.col(other).alias("other"), "id", "v")
+        own = own.select("dim", F.pmod(F.xxhash64("id", "v", "copy"), F.col(parts)).cast("int").alias("part"), F.col(other).alias("other"), "id", "v")
         return own.groupBy("dim", "part", "other").applyInArrow(pack, "dim int, part int, other int, ids binary, vs binary")
 
     blocks = packed(rows, "blocks").filter("other > 0").select("dim", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("batch"), F.lit(0).alias("side"), "ids", "vs")
-    batches = packed(rows.filter("q").groupBy("id", "dim", "blocks", "batches").agg(F.min("v").alias("v")), "batches").select("dim", F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("block"), F.col("part").alias("batch"), F.lit(1).alias("side"), "ids", "vs")
+    batches = packed(rows.filter("q").groupBy("id", "dim", "blocks", "batches").agg(F.min("v").alias("v")).withColumn("copy", F.lit(1)), "batches").select("dim", F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias("block"), F.col("part").alias("batch"), F.lit(1).alias("side"), "ids", "vs")
 
     def search(group: pa.Table) -> pa.Table:
         sides = {s: (np.frombuffer(i, np.int64), np.frombuffer(v, np.int64)) for s, i, v in zip(*(group.column(c).to_pylist() for c in ("side", "ids", "vs")), strict=True)}
