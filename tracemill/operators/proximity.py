@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.config import PROBES, PROXIMITY
 from tracemill.functions.num import js_round
+from tracemill.functions.scan import ordered, segment_of
 
 
 def matrix(events: DataFrame, window: int = PROXIMITY["window"], min_cases: int = PROXIMITY["min_pair_cases"]) -> DataFrame:
@@ -57,31 +61,44 @@ def ngrams(commands: DataFrame, lengths: tuple[int, ...] = (2, 3), min_cases: in
 def loops(calls: DataFrame, least: int = 4) -> DataFrame:
     """Runs of one tool with equal inputs, or inputs that extend the first: (run_id, type, tool, first_ord, count).
 
-    `calls` has run_id, ord, tool, input, is_error.  Equality with the first input of the current island depends on
-    where the island began, so calls are folded in order, but only within a stretch of one tool that has `least` calls
-    and, of these, between calls whose inputs begin alike; repeated errors of one tool are islands by lag.
+    `calls` has run_id, ord (a whole number), tool, input, is_error.  Equality with the first input of the current island
+    depends on where the island began, so calls are folded in order, but only within a stretch of one tool that has `least`
+    calls.  Stretches come from a scan in segments; each is sorted within its task and streams by in batches, of which only
+    the open island is kept.  Repeated errors of one tool are islands of equal tool and outcome.
     """
     calls = calls.select("run_id", "ord", "tool", F.coalesce("input", F.lit("")).alias("input"), F.coalesce("is_error", F.lit(False)).alias("is_error"))
-    w = W.partitionBy("run_id").orderBy("ord")
-    # an island ends at the latest where the tool changes, or (unless some input is empty, which all extend) where first characters do
-    other = F.coalesce(F.lag("tool").over(w) != F.col("tool"), F.lit(True))
-    stretches = calls.withColumn("_t", F.sum(other.cast("int")).over(w)).withColumn("_e", F.bool_or(F.col("input") == "").over(W.partitionBy("run_id", "_t")))
-    turn = F.coalesce(F.lag("_t").over(w) != F.col("_t"), F.lit(True)) | (~F.col("_e") & (F.left(F.lag("input").over(w), F.lit(1)) != F.left("input", F.lit(1))))
-    stretches = stretches.withColumn("_s", F.sum(turn.cast("int")).over(w)).drop("_t", "_e")
-    stretches = stretches.join(stretches.groupBy("run_id", "_s").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("run_id", "_s"), ["run_id", "_s"], "left_semi")
-    step = F.array_sort(F.collect_list(F.struct("ord", "tool", "input")))
-    start = F.lit(None).cast("struct<open:struct<tool:string,input:string,first:bigint,n:int>,done:array<struct<tool:string,input:string,first:bigint,n:int>>>")
-
-    def push(acc: Column, x: Column) -> Column:
-        same = acc.isNotNull() & (acc["open"]["tool"] == x["tool"]) & x["input"].startswith(acc["open"]["input"])
-        fresh = F.struct(x["tool"].alias("tool"), x["input"].alias("input"), x["ord"].cast("bigint").alias("first"), F.lit(1).alias("n"))
-        grown = F.struct(acc["open"]["tool"].alias("tool"), acc["open"]["input"].alias("input"), acc["open"]["first"].alias("first"), (acc["open"]["n"] + 1).alias("n"))
-        done = F.when(acc.isNull(), F.array().cast("array<struct<tool:string,input:string,first:bigint,n:int>>")).when(same | (acc["open"]["n"] < least), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        return F.struct(F.when(same, grown).otherwise(fresh).alias("open"), done.alias("done"))
-
-    whole = stretches.groupBy("run_id", "_s").agg(F.aggregate(step, start, push, lambda a: F.when(a["open"]["n"] >= least, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])).alias("found"))
-    same_input = whole.select("run_id", F.explode("found").alias("f")).select("run_id", F.lit("identical-input").alias("type"), F.col("f.tool").alias("tool"), F.col("f.first").alias("first_ord"), F.col("f.n").cast("long").alias("count"))
-    change = F.coalesce((F.lag("tool").over(w) != F.col("tool")) | (F.lag("is_error").over(w) != F.col("is_error")), F.lit(True))
-    islands = calls.withColumn("_c", change.cast("int")).withColumn("_i", F.sum("_c").over(w))
-    errors = islands.filter("is_error").groupBy("run_id", "_i", "tool").agg(F.min("ord").cast("long").alias("first_ord"), F.count("*").alias("count")).filter(F.col("count") >= least)
+    segment, order = segment_of(F.col("ord")), ["ord"]
+    marks = ordered(calls.select("run_id", "ord", "tool", "is_error"), ["run_id"], order, segment, before={"_tool": "tool", "_error": "is_error"})
+    turn = F.coalesce(F.col("_tool") != F.col("tool"), F.lit(True))
+    marks = marks.withColumn("_t", turn.cast("int")).withColumn("_c", (turn | F.coalesce(F.col("_error") != F.col("is_error"), F.lit(True))).cast("int"))
+    marks = ordered(marks, ["run_id"], order, segment, sums={"_s": "_t", "_i": "_c"})
+    long = marks.groupBy("run_id", "_s").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    placed = marks.join(long.select("run_id", "_s"), ["run_id", "_s"], "left_semi").select("run_id", "ord", "_s")
+    stretches = calls.select("run_id", "ord", "tool", "input").join(placed, ["run_id", "ord"])
+    kind = calls.schema["run_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = tool = first = ids = None
+        begun = n = 0
+        for batch in batches:
+            out: list[tuple] = []
+            ids = batch.schema.field(0).type
+            for run, stretch, at, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (run, stretch) == where and text.startswith(first):
+                    n += 1
+                    continue
+                if n >= least:
+                    out.append((where[0], tool, begun, n))
+                where, tool, first, begun, n = (run, stretch), name, text, at, 1
+            yield from found(out, ids)
+        yield from found([(where[0], tool, begun, n)] if n >= least else [], ids)
+
+    def found(rows: list[tuple], ids: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+        if rows:
+            kinds = (ids, pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["run_id", "tool", "first_ord", "count"])
+
+    in_order = stretches.select("run_id", "_s", F.col("ord").cast("long").alias("ord"), "tool", "input").repartition("run_id", "_s").sortWithinPartitions("run_id", "_s", "ord")
+    same_input = in_order.mapInArrow(fold, f"run_id {kind}, tool string, first_ord long, count long").select("run_id", F.lit("identical-input").alias("type"), "tool", "first_ord", "count")
+    errors = marks.filter("is_error").groupBy("run_id", "_i", "tool").agg(F.min("ord").cast("long").alias("first_ord"), F.count("*").alias("count")).filter(F.col("count") >= least)
     return same_input.unionByName(errors.select("run_id", F.lit("repeated-error").alias("type"), "tool", "first_ord", "count"))

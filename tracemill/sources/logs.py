@@ -1,8 +1,10 @@
 """Session logs (JSON lines) as relational tables.
 
 Files are read by line and in splits, so a long log is read by many tasks and has no size limit; `line_no` grows along
-a file.  Every stateful step of log reading is a window or a join over (source, line_no).  Nothing throws on bad
-input: lines that don't parse, aren't objects or have an unknown type count as warnings of their file.
+a file.  Stateful steps of log reading are windows or joins over what belongs together (a request, a call) and scans in
+segments of `line_no` over what spans a file (numbers of rounds and calls, the next round's time, boundaries), so no
+window holds a file.  Nothing throws on bad input: lines that don't parse, aren't objects or have an unknown type count as
+warnings of their file.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.num import utf16_len
+from tracemill.functions.scan import ordered, segment_of
 
 # Line types that carry data, and types that are known and skipped.
 DATA_TYPES = ("assistant", "user", "attachment", "compact-boundary", "result")
@@ -117,17 +120,17 @@ def parse(lines: DataFrame) -> Parsed:
     # a boundary marks the next round that begins in its own chain
     marks = rows.filter("type = 'compact-boundary'").select("source", "is_side", F.col("line_no").alias("at"), F.lit(0).alias("round_id"))
     begun = agg.select("source", (F.col("agent") != "").alias("is_side"), F.col("round_id").alias("at"), F.col("round_id"))
-    wm = W.partitionBy("source", "is_side").orderBy("at")
-    both = marks.withColumn("b", F.lit(1)).unionByName(begun.withColumn("b", F.lit(0))).withColumn("after", F.lag("b").over(wm) == 1)
-    armed = both.filter("b = 0 and after").select("source", "round_id", F.lit(True).alias("compact_before"))
+    both = marks.withColumn("b", F.lit(1)).unionByName(begun.withColumn("b", F.lit(0)))
+    both = ordered(both, ["source", "is_side"], ["at"], segment_of(F.col("at")), before={"last_b": "b"})
+    armed = both.filter("b = 0 and last_b = 1").select("source", "round_id", F.lit(True).alias("compact_before"))
 
     r = agg.join(promoted, "source").join(heads.select("source", "ended_raw"), "source").join(armed, ["source", "round_id"], "left")
     r = r.withColumn("chain", F.when((F.col("agent") == "") | F.col("promoted"), "main").otherwise("side"))
-    wr = W.partitionBy("source", "agent").orderBy("round_id")
-    until = F.coalesce(F.lead("ts").over(wr), F.col("ended_raw"))
+    r = ordered(r, ["source", "agent"], ["round_id"], segment_of(F.col("round_id")), number="seq", after={"next_ts": "ts"})
+    until = F.coalesce("next_ts", F.col("ended_raw"))
     gap = F.unix_millis(F.try_to_timestamp(until)) - F.unix_millis(F.try_to_timestamp("ts"))
     rounds = r.select(
-        F.col("source").alias("run_id"), "chain", F.when(F.col("agent") != "", F.col("agent")).alias("agent_id"), "round_id", F.row_number().over(wr).alias("seq"), "ts", "model", "attribution_skill", "stop_reason",
+        F.col("source").alias("run_id"), "chain", F.when(F.col("agent") != "", F.col("agent")).alias("agent_id"), "round_id", F.col("seq").cast("int").alias("seq"), "ts", "model", "attribution_skill", "stop_reason",
         F.coalesce(F.greatest(F.lit(0), gap), F.lit(0)).alias("duration_ms"), "usage", (F.col("usage.in") + F.col("usage.cache_r") + F.col("usage.cache_w")).alias("footprint"),
         F.coalesce("compact_before", F.lit(False)).alias("compact_before"), "text", "thinking", utf16_len(F.col("text")).alias("text_chars"), utf16_len(F.col("thinking")).alias("thinking_chars"),
     )
@@ -178,10 +181,10 @@ def tool_calls(seg: DataFrame, rows: DataFrame, rounds: DataFrame) -> DataFrame:
     got = nearest(back, ["rl", "rp"]).groupBy(*at).agg(F.bool_or("e").alias("is_error"), F.max(F.when(F.col("d").isNotNull(), F.struct("rl", "rp", "d")))["d"].alias("denial_kind"), F.max(F.struct("rl", "rp", "res"))["res"].alias("result"))
     body = nearest(bodies, ["rl"]).groupBy(*at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rl", "body"))), lambda x: x["body"]), "\n").alias("skill_body"))
     out = c.join(got, at, "left").join(body, at, "left").join(rounds.select(F.col("run_id").alias("source"), "round_id", "chain", "agent_id", "seq"), ["source", "round_id"])
-    # 0-based position of a call among all calls of main rounds
-    w = W.partitionBy("source", "chain").orderBy("seq", "line_no", "pos")
+    # 0-based position of a call among all calls of main rounds; numbers of rounds grow with the line that they begin at
+    out = ordered(out, ["source", "chain"], ["seq", "line_no", "pos"], segment_of(F.col("round_id")), number="place")
     return out.select(
-        F.col("source").alias("run_id"), "chain", "agent_id", "round_id", F.col("seq").alias("round_seq"), "line_no", "pos", F.when(F.col("chain") == "main", F.row_number().over(w) - 1).alias("ordinal"),
+        F.col("source").alias("run_id"), "chain", "agent_id", "round_id", F.col("seq").alias("round_seq"), "line_no", "pos", F.when(F.col("chain") == "main", (F.col("place") - 1).cast("int")).alias("ordinal"),
         "call_id", "name", "skill", "input", F.coalesce("is_error", F.lit(False)).alias("is_error"), "denial_kind", "result", "skill_body",
     )
 
