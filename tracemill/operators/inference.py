@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.config import VERDICT
-from tracemill.functions.num import equiv_tokens, js_round, ratio, splitmix32, two_proportion
+from tracemill.functions.num import equiv_tokens, js_round, ratio, two_proportion
+from tracemill.functions.scan import ordered
+from tracemill.storage import written
 
-#: Units of a bootstrap that may be broadcast.
-UNITS = 1_000_000
+#: Units whose values may be broadcast (16 bytes each), units of a packed bin, draws of a task.
+UNITS, BIN, DRAWS = 8_000_000, 1_000_000, 20_000_000
+
+
+def placed_units(units: DataFrame, by: list[str], order: str, total: str, count: str) -> DataFrame:
+    """(_g, _pos, _t, _c): units with their group's name and their place in its order, from 0.
+
+    Units are dealt by ranges of their order and written once with the number of their range; places within a range and
+    the sizes of the ranges before it give places in the group, so no task ranks a whole group.
+    """
+    name = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    own = units.select(name.alias("_g"), F.col(order).alias("_o"), F.col(total).cast("double").alias("_t"), F.col(count).cast("long").alias("_c"))
+    ranged = written(own.repartitionByRange("_g", "_o").withColumn("_part", F.spark_partition_id()), "units")
+    return ordered(ranged, ["_g"], ["_o"], F.col("_part"), number="_n").select("_g", (F.col("_n") - 1).alias("_pos"), "_t", "_c")
 
 
 def bootstrap(units: DataFrame, by: list[str], order: str, total: str, count: str, iters: int = VERDICT["iters"], seed: int = VERDICT["seed"], level: float = VERDICT["level"]) -> DataFrame:
@@ -20,29 +37,85 @@ def bootstrap(units: DataFrame, by: list[str], order: str, total: str, count: st
 
     A unit carries its sum and count, so single differences (count 1) and clusters are alike.  `order` pins which unit
     a draw means; draw b * n + i + 1 of the generator picks the i-th unit of resample b, and each group restarts it.
-    Draws are made from the counter, without state, in the tasks of their resample, where they are summed: while units
-    number `UNITS` at most they are broadcast and no draw is shuffled; beyond, draws meet their unit by an equi-join.
+    Draws are made from the counter, without state, in the tasks of their resamples, where they are summed; a draw is never
+    a row.  Values travel as packed bins of consecutive units: while units number `UNITS` at most they are broadcast; beyond,
+    each bin meets each stretch of resamples, whose draws are made once for each bin and counted where they fall into it.
     """
-    w = W.partitionBy(*by)
-    ranked = units.withColumn("_pos", F.row_number().over(w.orderBy(order)) - 1)
-    sizes = ranked.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(total).alias("_sum"), F.sum(count).alias("_cnt"))
-    resamples = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("_b"))
-    # a fixed number: resamples are few bytes but many draws, and would be coalesced
-    resamples = resamples.repartition(4 * units.sparkSession.sparkContext.defaultParallelism, *by, "_b")
-    draws = resamples.select(*by, "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_i"))
-    draw = splitmix32(F.col("_b").cast("long") * F.col("_n") + F.col("_i") + 1, seed)
-    draws = draws.select(*by, "_b", F.floor(draw * F.col("_n")).cast("int").alias("_pos"))
-    on = [*by, "_pos"]
-    own = ranked.select(*on, total, count)
-    own = F.broadcast(own) if units.count() <= UNITS else own
-    means = draws.join(own, on).groupBy(*by, "_b").agg((F.sum(total) / F.sum(count)).alias("_mean"))
-    placed = means.withColumn("_r", F.row_number().over(w.orderBy("_mean")) - 1)
+    spark = units.sparkSession
+    named = units.select(*by, F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_g") if by else F.lit("").alias("_g"), F.col(total).cast("double").alias("_t"), F.col(count).cast("long").alias("_c"))
+    sizes = written(named.groupBy("_g", *by).agg(F.count("*").alias("_n"), F.sum("_t").alias("_sum"), F.sum("_c").alias("_cnt")), "sizes")
+    placed = placed_units(units, by, order, total, count).withColumn("_bin", F.floor(F.col("_pos") / BIN))
+
+    def pack(group: pa.Table) -> pa.Table:
+        at = np.argsort(group.column("_pos").to_numpy())
+        t, c = (group.column(k).to_numpy()[at] for k in ("_t", "_c"))
+        one = group.slice(0, 1)
+        return pa.table({"_g": one["_g"], "_bin": one["_bin"], "_ts": pa.array([t.astype(np.float64).tobytes()], pa.binary()), "_cs": pa.array([c.astype(np.int64).tobytes()], pa.binary())})
+
+    packs = placed.groupBy("_g", "_bin").applyInArrow(pack, "_g string, _bin long, _ts binary, _cs binary")
+    few = (sizes.agg(F.sum("_n").alias("n")).first().n or 0) <= UNITS
+    # resamples of a task: enough tasks for all cores, but not too many draws for one
+    step = F.greatest(F.lit(1), F.least(F.lit(-(-iters // (4 * spark.sparkContext.defaultParallelism))), (F.lit(DRAWS) / F.col("_n")).cast("int")))
+    chunks = sizes.select("_g", "_n", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(iters - 1), step)).alias("_from"))
+    chunks = chunks.repartition(4 * spark.sparkContext.defaultParallelism, "_g", "_from")
+    width = BIN
+
+    def summed(n: int, first: int, last: int, base: int, ts: np.ndarray, cs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and counts of resamples first .. last - 1 over the units from `base` on."""
+        sums, counts = np.zeros(last - first), np.zeros(last - first, np.int64)
+        rows = max(1, 1_000_000 // n)
+        for b in range(first, last, rows):
+            top = min(last, b + rows)
+            for k in range(b * n, top * n, 4_000_000):
+                end = min(top * n, k + 4_000_000)
+                x = (np.arange(k + 1, end + 1, dtype=np.uint64) * np.uint64(0x9E3779B9) + np.uint64(seed & 0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)
+                x ^= x >> np.uint64(16)
+                x = (x * np.uint64(0x21F0AAAD)) & np.uint64(0xFFFFFFFF)
+                x ^= x >> np.uint64(15)
+                x = (x * np.uint64(0x735A2D97)) & np.uint64(0xFFFFFFFF)
+                x ^= x >> np.uint64(15)
+                pos = np.floor(x / 4294967296.0 * n).astype(np.int64) - base
+                own = np.arange(k, end) // n - first
+                if base or len(ts) < n:
+                    inside = (pos >= 0) & (pos < len(ts))
+                    pos, own = pos[inside], own[inside]
+                sums += np.bincount(own, ts[pos], last - first)
+                counts += np.bincount(own, cs[pos], last - first).astype(np.int64)
+        return sums, counts
+
+    out = "_g string, _b int, _s double, _k long"
+
+    def rows(g: str, first: int, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g] * len(sums)), pa.array(np.arange(first, first + len(sums), dtype=np.int32)), pa.array(sums), pa.array(counts)], ["_g", "_b", "_s", "_k"])
+
+    if few:
+        held: dict[str, list[tuple[int, bytes, bytes]]] = {}
+        for r in packs.collect():  # 16 bytes a unit
+            held.setdefault(r["_g"], []).append((r["_bin"], bytes(r["_ts"]), bytes(r["_cs"])))
+        shared = spark.sparkContext.broadcast({g: tuple(b"".join(x[k] for x in sorted(v)) for k in (1, 2)) for g, v in held.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g, n, each, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ts, cs = shared.value[g]
+                    yield rows(g, first, *summed(n, first, min(iters, first + each), 0, np.frombuffer(ts), np.frombuffer(cs, np.int64)))
+
+        parts = chunks.mapInArrow(run, out)
+    else:
+
+        def run_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (whole.slice(k, 1) for whole in batches for k in range(whole.num_rows)):
+                g, n, each, first, place, ts, cs = (c[0].as_py() for c in batch.columns)
+                yield rows(g, first, *summed(n, first, min(iters, first + each), place * width, np.frombuffer(ts), np.frombuffer(cs, np.int64)))
+
+        parts = chunks.join(written(packs, "packs"), "_g").select("_g", "_n", "_step", "_from", "_bin", "_ts", "_cs").mapInArrow(run_bins, out)
+    means = parts.groupBy("_g", "_b").agg((F.sum("_s") / F.sum("_k")).alias("_mean"))
+    ranked = means.withColumn("_r", F.row_number().over(W.partitionBy("_g").orderBy("_mean")) - 1)  # `iters` rows a group
     alpha = (1 - level) / 2
     low, high = int(alpha * iters + 1e-9), min(iters - 1, int(-(-(1 - alpha) * iters // 1)) - 1)
     pick = lambda at: F.max(F.when(F.col("_r") == at, F.col("_mean")))
-    ends = placed.groupBy(*by).agg(js_round(pick(low)).alias("lo"), js_round(pick(high)).alias("hi"))
-    point = sizes.select(*by, js_round(F.col("_sum") / F.col("_cnt")).alias("mean"), F.col("_n").alias("n"))
-    return ends.join(point, by) if by else ends.crossJoin(point)  # one row each
+    ends = ranked.groupBy("_g").agg(js_round(pick(low)).alias("lo"), js_round(pick(high)).alias("hi"))
+    return ends.join(sizes, "_g").select(*by, "lo", "hi", js_round(F.col("_sum") / F.col("_cnt")).alias("mean"), F.col("_n").alias("n"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, q: float = 0.05, by: list[str] | None = None) -> DataFrame:
