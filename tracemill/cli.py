@@ -63,6 +63,13 @@ def prune(spark: SparkSession, path: str, now_ms: int, older_than: str | None, m
     return trend.prune(runs, [], now_ms, ms, most)
 
 
+def watch(spark: SparkSession, path: str, out: str, once: bool = False):
+    """Follow growing logs: all tables of their runs, with rounds, calls and metrics, below `out`, one state a run."""
+    from tracemill.streaming import tail
+
+    return tail.watch(spark, path, tail.RunTables(spark, f"{out}/tables").keep, f"{out}/checkpoint", once=once)
+
+
 def stats(spark: SparkSession, path: str, out: str | None = None) -> dict[str, DataFrame]:
     """Sections of statistics of all runs below a folder; written as JSON below `out`, replacing what was there."""
     from tracemill.operators import report
@@ -113,6 +120,8 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--intent", choices=("cost-opt", "quality-fix", "neutral-refactor"), required=True)
         if verb == "search":
             p.add_argument("text")
+        if verb == "watch":
+            p.add_argument("--once", action="store_true")
         if verb == "prune":
             p.add_argument("--older-than")
             p.add_argument("--max", type=int)
@@ -143,11 +152,7 @@ def main(argv: list[str] | None = None) -> None:
     elif o.verb == "lint":
         lint(spark, o.path).orderBy("check", "subject").show(1000, truncate=False)
     else:
-        from tracemill.sources import logs
-        from tracemill.streaming import tail
-
-        keep = lambda df, _: logs.parse(logs.lines_of(df)).runs.write.mode("append").parquet(f"{o.out}/runs")
-        tail.watch(spark, o.path, keep, f"{o.out}/checkpoint").awaitTermination()
+        watch(spark, o.path, o.out, o.once).awaitTermination()
 
 
 if __name__ == "__main__":
