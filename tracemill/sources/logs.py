@@ -73,14 +73,27 @@ def classify(lines: DataFrame) -> DataFrame:
     )
 
 
+def segments(rows: DataFrame) -> DataFrame:
+    """Assistant lines as segments of rounds: `key` of the request, chain and what a segment carries."""
+    obj = F.col("obj")
+    usage = get(obj, "$.message.usage", "variant")
+    token = lambda name: F.coalesce(F.try_variant_get(usage, f"$.{name}", "long"), F.lit(0))
+    usage_struct = F.when(usage.isNotNull() & ~F.is_variant_null(usage), F.struct(token("input_tokens").alias("in"), token("output_tokens").alias("out"), token("cache_creation_input_tokens").alias("cache_w"), token("cache_read_input_tokens").alias("cache_r")))
+    blocks = F.coalesce(get(obj, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    said = lambda kind, field: F.array_join(F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == kind), lambda b: F.coalesce(F.try_variant_get(b, f"$.{field}", "string"), F.lit(""))), "")
+    agent = F.coalesce(get(obj, "$.agentId"), get(obj, "$.subagentType"), F.lit("sidechain"))
+    return rows.filter("type = 'assistant' and is_object").select(
+        "*", F.coalesce(get(obj, "$.requestId"), get(obj, "$.uuid")).alias("key"), F.when(F.col("is_side"), agent).otherwise(F.lit("")).alias("agent"), get(obj, "$.message.model").alias("model"),
+        truthy(get(obj, "$.attributionSkill")).alias("skill"), truthy(get(obj, "$.message.stop_reason")).alias("stop"), usage_struct.alias("usage"), said("text", "text").alias("text"), said("thinking", "thinking").alias("thinking"),
+    )
+
+
 def round_keys(lines: DataFrame) -> DataFrame:
-    """Assistant lines with `round_id`: lines of one request merge until the other chain uses the same key."""
-    a = lines.filter("type = 'assistant' and is_object").withColumn("key", F.coalesce(get(F.col("obj"), "$.requestId"), get(F.col("obj"), "$.uuid")))
+    """Segments with `round_id`: lines of one request merge until the other chain uses the same key."""
     w = W.partitionBy("source", "key").orderBy("line_no")
+    a = segments(lines)
     fresh = F.when(F.lag("is_side").over(w) == F.col("is_side"), F.lit(None)).otherwise(F.col("line_no"))
-    a = a.withColumn("round_id", F.last(fresh, ignorenulls=True).over(w))
-    agent = F.coalesce(get(F.col("obj"), "$.agentId"), get(F.col("obj"), "$.subagentType"), F.lit("sidechain"))
-    return a.withColumn("agent", F.when(F.col("is_side"), agent).otherwise(F.lit("")))
+    return a.withColumn("round_id", F.last(fresh, ignorenulls=True).over(w))
 
 
 def parse(lines: DataFrame) -> Parsed:
@@ -88,21 +101,15 @@ def parse(lines: DataFrame) -> Parsed:
     rows = classify(lines)
     obj = F.col("obj")
     seg = round_keys(rows)
-    usage = get(obj, "$.message.usage", "variant")
-    token = lambda name: F.coalesce(F.try_variant_get(usage, f"$.{name}", "long"), F.lit(0))
-    usage_struct = F.when(usage.isNotNull() & ~F.is_variant_null(usage), F.struct(token("input_tokens").alias("in"), token("output_tokens").alias("out"), token("cache_creation_input_tokens").alias("cache_w"), token("cache_read_input_tokens").alias("cache_r")))
     by_line = lambda c: F.struct("line_no", c.alias("x"))
     latest = lambda c: F.max(F.when(c.isNotNull(), by_line(c)))["x"]
     earliest = lambda c: F.min(F.when(c.isNotNull(), by_line(c)))["x"]
-    blocks = F.coalesce(get(obj, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
-    said = lambda kind, field: F.array_join(F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == kind), lambda b: F.coalesce(F.try_variant_get(b, f"$.{field}", "string"), F.lit(""))), "")
-    seg = seg.withColumn("_u", usage_struct).withColumn("_text", said("text", "text")).withColumn("_think", said("thinking", "thinking"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col(c).alias("x")))), lambda s: s["x"]), "")
     agg = seg.groupBy("source", "round_id", "agent").agg(
-        F.min_by("ts", "line_no").alias("ts"), F.min_by(get(obj, "$.message.model"), F.col("line_no")).alias("model"),
-        earliest(truthy(get(obj, "$.attributionSkill"))).alias("attribution_skill"), latest(truthy(get(obj, "$.message.stop_reason"))).alias("stop_reason"),
-        F.coalesce(latest(F.col("_u")), F.struct(*(F.lit(0).cast("long").alias(k) for k in ("in", "out", "cache_w", "cache_r")))).alias("usage"),
-        joined("_text").alias("text"), joined("_think").alias("thinking"),
+        F.min_by("ts", "line_no").alias("ts"), F.min_by("model", "line_no").alias("model"),
+        earliest(F.col("skill")).alias("attribution_skill"), latest(F.col("stop")).alias("stop_reason"),
+        F.coalesce(latest(F.col("usage")), F.struct(*(F.lit(0).cast("long").alias(k) for k in ("in", "out", "cache_w", "cache_r")))).alias("usage"),
+        joined("text").alias("text"), joined("thinking").alias("thinking"),
     )
 
     # a file whose only rounds are those of one side chain is that agent's own transcript
