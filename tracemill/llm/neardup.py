@@ -388,9 +388,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR) | ~(F.col("la") & F.col("lb"))
         return similar(pairs.join(ends[0], "a").join(ends[1], "b").filter(near).select("a", "b"))
 
-    def between(places: DataFrame, groups: DataFrame) -> DataFrame:
-        """(gram, key, n, pos, c): places of shingles that several groups have, with the group c."""
-        own = places.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows (key, ...) with the group c of their text."""
+        small = F.broadcast if groups.count() <= NAMED else (lambda df: df)
+        return rows.join(small(groups.withColumnRenamed("node", "key")), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+
+    def between(own: DataFrame) -> DataFrame:
+        """(gram, key, n, pos, c): of places of shingles those of shingles that several groups have."""
         of_gram = W.partitionBy("gram")
         several = own.withColumn("low", F.min("c").over(of_gram)).withColumn("high", F.max("c").over(of_gram)).filter("low < high")
         return materialize(several.select("gram", "key", "n", "pos", "c"), "shared-shingles")
@@ -400,8 +404,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     close = nearest(reps.select("fp", F.col("key").alias("rep")), NEAREST)
     edges = similar(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     merged = components(edges)
-    places = reps.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-    shared = between(places, merged).join(reps.select("key", "middle"), "key")
+    labelled = grouped(reps.select("key", F.col("n").cast("int").alias("n"), "prefix"), merged)  # whole prefixes, not their places, meet the groups
+    shared = between(labelled.select("key", "n", "c", F.posexplode("prefix").alias("pos", "gram"))).join(reps.select("key", "middle"), "key")
     side = lambda x: [F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}")]
     hubs = shared.groupBy("gram").agg(F.min(F.struct((-F.col("middle")).alias("m"), "key", "n", "pos", "c")).alias("x")).select("gram", "x.*").select("gram", *side("b"))
     more = checked(shared.select("gram", *side("a")).join(hubs, "gram").filter("ca <> cb"))
@@ -409,7 +413,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = components(edges)
 
     # then all pairs in different groups
-    shared = between(shared.drop("c", "middle"), merged)
+    shared = between(grouped(shared.drop("c", "middle"), merged))
     heads = shared.groupBy("gram", "c").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     x, y = heads.alias("x"), heads.alias("y")
     sizes = (F.col("x.most_n") >= F.col("y.least_n") * least - 1e-9) & (F.col("y.most_n") >= F.col("x.least_n") * least - 1e-9)
