@@ -18,15 +18,21 @@ def tables(spark: SparkSession, path: str):
     return logs.parse(logs.read_lines(spark, path))
 
 
-def ingest(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
-    """Runs with their metrics; written by run below `out`, replacing what was stored of the same runs."""
+def ingest(spark: SparkSession, path: str, out: str | None = None, store: str | None = None) -> DataFrame:
+    """Runs with their metrics; written by run below `out`, or kept in a keyed store, replacing what was there of the same runs.
+
+    A folder for each run suits few runs; a store keeps them in hash buckets.
+    """
     from tracemill.operators import metrics
     from tracemill.sources import logs
+    from tracemill.store import KeyedStore
 
     p = tables(spark, path)
     m = p.runs.drop("agent_id").join(metrics.run_metrics(logs.run_rounds(p), p.runs), "run_id")
     if out:
         m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(out)
+    if store:
+        KeyedStore(spark, store, m.schema, ["run_id"]).replace(m)
     return m
 
 
@@ -120,6 +126,8 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--intent", choices=("cost-opt", "quality-fix", "neutral-refactor"), required=True)
         if verb == "search":
             p.add_argument("text")
+        if verb == "ingest":
+            p.add_argument("--store")
         if verb == "watch":
             p.add_argument("--once", action="store_true")
         if verb == "prune":
@@ -129,7 +137,7 @@ def main(argv: list[str] | None = None) -> None:
     o = a.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if o.verb == "ingest":
-        ingest(spark, o.path, o.out).show(truncate=False)
+        ingest(spark, o.path, o.out, o.store).show(truncate=False)
     elif o.verb == "skill":
         skill(spark, o.path).show(1000, truncate=False)
     elif o.verb == "search":

@@ -45,6 +45,18 @@ def matrix(events: DataFrame, window: int = PROXIMITY["window"], min_cases: int
     return out.select(*ends, js_round(F.col("weight") / F.col("occ"), 4).alias("closeness"), js_round(F.when(F.col("cases_a") > 0, F.col("pair_cases") / F.col("cases_a")), 4).alias("confidence"), lift.alias("lift"), "pair_cases", "runs")
 
 
+def top_pairs(events: DataFrame, window: int = PROXIMITY["window"], limit: int = 8) -> DataFrame:
+    """The ordered pairs of nodes that follow each other within `window` ordinals of a run most often: (from_id, to_id, n).
+
+    `events` has run_id, id and ordinal.  Pairs meet through bins of `window + 1` ordinals, as in `matrix`.
+    """
+    bin_ = F.floor(F.col("ordinal") / (window + 1))
+    left = events.select("run_id", F.col("id").alias("from_id"), F.col("ordinal").alias("_a"), F.explode(F.array(bin_, bin_ + 1)).alias("_bin"))
+    right = events.select("run_id", F.col("id").alias("to_id"), F.col("ordinal").alias("_b"), bin_.alias("_bin"))
+    near = left.join(right, ["run_id", "_bin"]).filter((F.col("_b") - F.col("_a")).between(1, window) & (F.col("from_id") != F.col("to_id")))
+    return near.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_id", "to_id").limit(limit)
+
+
 def ngrams(commands: DataFrame, lengths: tuple[int, ...] = (2, 3), min_cases: int = PROBES["min_cases"]) -> DataFrame:
     """Adjacent command sequences seen in at least `min_cases` distinct cases: (n, seq, distinct_cases, runs).
 

@@ -120,3 +120,8 @@ def verdict_line(reports: DataFrame) -> DataFrame:
     sign = F.when(~F.col("decidable"), "∅").when(F.col("adoptable"), "✓").otherwise("✗")
     advice = F.when(~F.col("decidable"), F.concat(F.lit("undecided: "), "verdict")).otherwise(F.concat(F.lit("recommended: "), F.col("adoptable").cast("string")))
     return reports.withColumn("line", F.concat(sign, F.lit(" "), advice, F.lit(" · intent: "), "intent", F.lit(" · n="), F.col("pairs").cast("string"), F.lit(" pairs · excluded "), F.format_string("%.1f%%", F.col("exclusion_pct").cast("double"))))
+
+
+def newest_first(rows: DataFrame, time: str, id_col: str) -> DataFrame:
+    """A listing: all rows, the newest first, equal times by descending id."""
+    return rows.orderBy(F.desc(time), F.desc(id_col))

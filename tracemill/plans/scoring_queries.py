@@ -115,9 +115,9 @@ def _uniform(source: str, k: str, keep: str) -> str:
     )
 
 
-@query(f"SELECT k, u FROM ({_uniform('(SELECT CAST(range AS BIGINT) AS k FROM range(1, 5001)) d', 'k', 'k')}) z")
+@query(f"SELECT k, u FROM ({_uniform('(SELECT o_orderkey AS k FROM orders) d', 'k', 'k')}) z")
 def u1_prng(spark, sf):
-    return spark.range(1, 5001).select(F.col("id").alias("k"), splitmix32(F.col("id"), 0x9E3779B9).alias("u"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), splitmix32(F.col("o_orderkey"), 0x9E3779B9).alias("u"))
 
 
 _DELTAS = f"""{REPS}, dl AS (SELECT task_id, CAST(round(100e0 * count(*) FILTER (WHERE arm = 'new' AND C = 1) / count(*) FILTER (WHERE arm = 'new')) - round(100e0 * count(*) FILTER (WHERE arm = 'old' AND C = 1) / count(*) FILTER (WHERE arm = 'old')) AS BIGINT) AS delta

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.num import format_bytes, js_round, mcp_server, parse_duration, redact_secrets, tokens_est_cjk, tool_kind
-from tracemill.operators import lint, metrics, trend
+from tracemill.operators import lint, metrics, trend, views
 from tracemill.plans.bindings import EVENTS, events, r, table
 from tracemill.plans.registry import query
 from tracemill.sources import logs, otel
@@ -93,7 +93,7 @@ def m14_skill_trend(spark, sf):
 
 @query("SELECT event_id, event_type || '@' || user_id AS run, value AS v FROM events ORDER BY ts DESC, event_id DESC")
 def m11_list_runs(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", F.concat_ws("@", "event_type", F.col("user_id").cast("string")).alias("run"), F.col("value").alias("v"))
+    return views.newest_first(table(spark, sf, "events"), "ts", "event_id").select("event_id", F.concat_ws("@", "event_type", F.col("user_id").cast("string")).alias("run"), F.col("value").alias("v"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '***', 'g'), '\\beyJ[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{6,}\\.[A-Za-z0-9_-]{6,}\\b', '***', 'g'), '(?i)\\b(token|secret|password|apikey|api_key)\\s*[=:]\\s*\\S+', '\\1=***', 'g') AS redacted FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.num import js_round
-from tracemill.operators import attribution, coverage, metrics, scoring, views
+from tracemill.operators import attribution, coverage, metrics, proximity, scoring, views
 from tracemill.plans.bindings import EVENTS, REPS, events, r, reps, table
 from tracemill.plans.coverage_queries import _CONV, _PARTS, _rounds
 from tracemill.plans.registry import query
@@ -162,11 +162,7 @@ def u17_report_diff(spark, sf):
 
 @query(f"""WITH {EVENTS}, p AS (SELECT a.event_type AS f, b.event_type AS t, count(*) AS n FROM ev a JOIN ev b ON a.run_id = b.run_id AND b.ordinal - a.ordinal BETWEEN 1 AND 6 AND a.event_type <> b.event_type GROUP BY ALL) SELECT f AS from_id, t AS to_id, n FROM p ORDER BY n DESC, f, t LIMIT 8""")
 def u21_top_pairs(spark, sf):
-    e = events(spark, sf)
-    left = e.select("run_id", F.col("event_type").alias("from_id"), F.col("ordinal").alias("oa"), F.explode(F.array(F.floor(F.col("ordinal") / 7), F.floor(F.col("ordinal") / 7) + 1)).alias("bin"))
-    right = e.select("run_id", F.col("event_type").alias("to_id"), F.col("ordinal").alias("ob"), F.floor(F.col("ordinal") / 7).alias("bin"))
-    j = left.join(right, ["run_id", "bin"]).filter((F.col("ob") - F.col("oa")).between(1, 6) & (F.col("from_id") != F.col("to_id")))
-    return j.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "from_id", "to_id").limit(8)
+    return proximity.top_pairs(events(spark, sf).withColumnRenamed("event_type", "id"))
 
 
 @query("""SELECT o_orderkey AS id, '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"verdict":"' || o_orderstatus || '","cost":' || CAST(o_totalprice AS VARCHAR) || '}' AS report FROM orders""")
@@ -177,7 +173,7 @@ def u16_report_json(spark, sf):
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS suite FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC")
 def t2_list_reports(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite"))
+    return views.newest_first(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("suite"), F.col("o_orderdate").alias("created_at")), "created_at", "id").drop("created_at")
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT run_id, max(ordinal) + 1 AS rounds FROM ev GROUP BY ALL) SELECT {r('avg(rounds)', 2)} AS mean, min(rounds) AS min, max(rounds) AS max FROM n""")
