@@ -165,6 +165,21 @@ def model_mismatch(asked: Column, ran: Column) -> Column:
     return F.coalesce(~(F.contains(r, a) | F.contains(a, r)), F.lit(False))
 
 
+def merge_adapter_meta(metas: DataFrame, by: list[str], order: str) -> DataFrame:
+    """One row for all steps of a run: sorted unions of the keys seen, declarations one after the other in the order of the steps.
+
+    metas: top_keys, round_keys, tool_call_keys, observability (sets of strings; a null `observability` was not declared)
+    and declared_triggers, declared_ref_reads (lists of strings).  Unions of nothing are empty; `observability` stays null
+    where no step declares it.
+    """
+    sets, lists = ("top_keys", "round_keys", "tool_call_keys", "observability"), ("declared_triggers", "declared_ref_reads")
+    # keys are few distinct words: united as they are, whatever the number of steps
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.col(c)))))
+    steps = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("x")))), lambda s: s["x"]))
+    found = metas.groupBy(*by).agg(*(union(c).alias(c) for c in sets), *(steps(c).alias(c) for c in lists), F.count("observability").alias("_declared"))
+    return found.withColumn("observability", F.when(F.col("_declared") > 0, F.col("observability"))).drop("_declared")
+
+
 def first_of(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
 

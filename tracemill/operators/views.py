@@ -69,6 +69,23 @@ def verdict_view(reports: DataFrame) -> DataFrame:
     return reports.withColumn("glyph", glyph).withColumn("adoptable", ~open_ & est).withColumn("decidable", ~open_).withColumn("recommended", F.when(~open_, est)).withColumn("need_pairs", need)
 
 
+def upgrade_view(reports: DataFrame, axes: DataFrame) -> DataFrame:
+    """What a reader of an upgrade report sees: the verdict view, the axes that have figures, and what to do next.
+
+    reports: id, verdict, established, pairs, min_pairs (of the report's own configuration, or null); axes: id, kind (quality
+    or cost), key, delta, lo, hi, n, heuristic, routing_old, routing_new (whether an arm has skills to route to; null in old
+    reports, which counts as having them).  An axis with no figures but an arm without skills stays, marked `na_routing`.
+    """
+    own = verdict_view(reports).withColumn("need_pairs", F.when(F.col("verdict") == "insufficient-data", F.greatest(F.lit(0), F.coalesce("min_pairs", F.lit(VERDICT["min_pairs"])) - F.col("pairs"))))
+    unrouted = (F.col("key") == "l1") & ~(F.coalesce("routing_old", F.lit(True)) & F.coalesce("routing_new", F.lit(True)))
+    shown = axes.withColumn("na_routing", unrouted).filter((F.col("n") > 0) | F.col("na_routing"))
+    axis = F.struct("key", "delta", "lo", "hi", "n", F.coalesce("heuristic", F.lit(False)).alias("heuristic"), "na_routing")
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, axis)))
+    grouped = shown.groupBy("id").agg(of("quality").alias("quality_axes"), of("cost").alias("cost_axes"))
+    step = F.when(F.col("verdict").isin("insufficient-data", "inconclusive"), F.col("verdict")).when(F.col("adoptable"), "adopt").otherwise("inspect-regressions")
+    return own.join(grouped, "id", "left").withColumn("next_step", step)
+
+
 def exclusion_actions(cases: DataFrame) -> DataFrame:
     """What to do about excluded cases, by reason."""
     return cases.withColumn("action", F.when(F.col("reason") == "harness-halt", "add-scripted-reply").when(F.col("reason") == "env-noise", "inspect-env-noise").otherwise("inspect"))

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.num import js_round
 from tracemill.operators import attribution, cards, compare, coverage, grading, graph, lint, sections, views
-from tracemill.plans.bindings import EVENTS, REPS, events, r, reps, table
+from tracemill.plans.bindings import BASKETS, EVENTS, REPS, baskets, events, r, reps, table
 from tracemill.plans.coverage_queries import _CALLS, _CONV, _PARTS, _calls, _rounds
 from tracemill.plans import mining_queries
 from tracemill.plans.registry import ORACLE_SQL, query
 from tracemill.sources import files, logs
 from tracemill.streaming import tail
 
+#: Share of sessions in which skills of the charted graph meet.
+_CO = 0.028
+
 
 @query(f"WITH {_CONV} SELECT run_id, seq, prev_out, tool_res, injected_user + injected_harness + skill_body AS injected, other AS residual, CASE WHEN other < 0 THEN CASE WHEN compact_before THEN 'confirmed' ELSE 'inferred' END END AS compaction FROM items")
 def o4_stack_series(spark, sf):
@@ -237,21 +240,22 @@ def o11_ref_rows(spark, sf):
     return cards.ref_rows(coverage.ref_coverage(inventory, reads, triggers, nothing, nothing), triggers)
 
 
-@query(f"""WITH {EVENTS}, n AS (SELECT event_type AS skill, count(DISTINCT run_id) / CAST((SELECT count(DISTINCT run_id) FROM ev) AS DOUBLE) AS rate FROM ev GROUP BY ALL) SELECT 'node' AS kind, skill AS a, NULL AS b, {r('rate', 6)} AS value, false AS merge FROM n
-UNION ALL SELECT 'edge', a, b, 0.5, a IN ('click', 'view') AND b IN ('click', 'view') FROM (VALUES ('click', 'view'), ('click', 'signup')) x(a, b) UNION ALL SELECT 'flow', split_part(ref, '/', 1), ref, numer, false FROM (SELECT event_type || '/r' AS ref, count(*) AS numer FROM ev GROUP BY ALL) f
-UNION ALL SELECT 'merge', 'click,view', NULL, NULL, false UNION ALL SELECT 'inline', event_type || '/r', NULL, NULL, false FROM ev GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {BASKETS}, n AS (SELECT CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS n FROM lineitem), nd AS (SELECT skill, count(*) / any_value(n) AS rate FROM triggers, n GROUP BY skill),
+ed AS (SELECT a.skill AS a, b.skill AS b, count(*) / any_value(n) AS rate FROM triggers a JOIN triggers b ON a.session = b.session AND a.skill < b.skill, n GROUP BY ALL HAVING count(*) / any_value(n) >= {_CO}),
+u AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), c(x, y) AS (SELECT skill, skill FROM nd UNION SELECT c.x, u.b FROM c JOIN u ON c.y = u.a), lb AS (SELECT x, min(y) AS comp FROM c GROUP BY x), mg AS (SELECT comp, string_agg(x, ',' ORDER BY x) AS members FROM lb GROUP BY comp HAVING count(*) >= 2),
+rr AS (SELECT o.ref, count(*) AS n, count(h.ref) AS numer FROM (SELECT DISTINCT o.ref, t.session FROM (SELECT DISTINCT ref, skill FROM reads) o JOIN triggers t USING (skill)) o LEFT JOIN (SELECT DISTINCT ref, session FROM reads) h ON o.ref = h.ref AND o.session = h.session GROUP BY o.ref)
+SELECT 'node' AS kind, skill AS a, NULL AS b, {r('rate', 6)} AS value, false AS merge FROM nd UNION ALL SELECT 'edge', a, b, {r('rate', 6)}, true FROM ed
+UNION ALL SELECT 'flow', skill, ref, numer, false FROM rr JOIN (SELECT DISTINCT ref, skill FROM reads) w USING (ref) WHERE numer > 0 UNION ALL SELECT 'merge', members, NULL, NULL, false FROM mg
+UNION ALL SELECT CASE WHEN numer / CAST(n AS DOUBLE) >= 0.6 THEN 'inline' WHEN numer / CAST(n AS DOUBLE) <= 0.2 THEN 'external' ELSE 'gray-zone-section-split' END, ref, NULL, NULL, false FROM rr""")
 def d12_graph_charts(spark, sf):
-    e = events(spark, sf)
-    total = e.select("run_id").distinct().count()
-    nodes = e.groupBy(F.col("event_type").alias("skill")).agg(js_round(F.count_distinct("run_id") / F.lit(float(total)), 6).alias("trigger_rate"))
-    edges = spark.createDataFrame([("click", "view", 0.5), ("click", "signup", 0.5)], "a string, b string, rate double")
-    merge = spark.createDataFrame([("click", ["click", "view"])], "component string, members array<string>")
-    ref = F.concat("event_type", F.lit("/r"))
-    rates = e.groupBy(ref.alias("ref")).agg(F.count("*").alias("numer")).withColumn("advice", F.lit("inline"))
-    charts = cards.graph_charts(nodes, edges, merge, rates, e.select(ref.alias("ref"), F.col("event_type").alias("skill")))
+    """The charts of the co-trigger graph, its merge groups and the read rates of the baskets."""
+    triggers, reads = baskets(spark, sf)
+    total = table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
+    nodes, edges = graph.co_trigger_graph(triggers, total, least=_CO)
+    charts = cards.graph_charts(nodes, edges, graph.merge_groups(nodes, edges), graph.read_rates(triggers, reads), reads.select("ref", "skill"))
     none = F.lit(None).cast("string")
-    rows = charts["nodes"].select(F.lit("node").alias("kind"), F.col("skill").alias("a"), none.alias("b"), F.col("trigger_rate").alias("value"), F.lit(False).alias("merge"))
-    rows = rows.unionByName(charts["edges"].select(F.lit("edge").alias("kind"), "a", "b", F.col("rate").alias("value"), "merge"))
+    rows = charts["nodes"].select(F.lit("node").alias("kind"), F.col("skill").alias("a"), none.alias("b"), js_round(F.col("trigger_rate"), 6).alias("value"), F.lit(False).alias("merge"))
+    rows = rows.unionByName(charts["edges"].select(F.lit("edge").alias("kind"), "a", "b", js_round(F.col("rate"), 6).alias("value"), "merge"))
     rows = rows.unionByName(charts["flows"].select(F.lit("flow").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("value").cast("double").alias("value"), F.lit(False).alias("merge")))
     return rows.unionByName(charts["signals"].select("kind", F.col("subject").alias("a"), none.alias("b"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("merge")))
 
@@ -319,6 +323,19 @@ def l18_hoisted(spark, sf):
     return lint.first_of(o, ["run_id"], ["ord"]).select("run_id", "payload")
 
 
+@query("""WITH m AS (SELECT o_custkey AS run_id, o_orderkey AS ord, ['id', 'k' || (o_orderkey % 4)] AS top_keys, ['d' || (o_orderkey % 3)] AS declared, CASE WHEN o_orderkey % 5 = 0 THEN ['s' || (o_orderkey % 2)] END AS obs FROM orders)
+SELECT run_id, array_to_string(list_sort(list_distinct(flatten(list(top_keys)))), ',') AS top_keys, array_to_string(flatten(list(declared ORDER BY ord)), ',') AS declared, array_to_string(list_sort(list_distinct(flatten(list(obs) FILTER (WHERE obs IS NOT NULL)))), ',') AS observability FROM m GROUP BY run_id""")
+def l18_merged_meta(spark, sf):
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    word = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    metas = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("run_id"), k.alias("ord"), F.array(F.lit("id"), word("k", k % 4)).alias("top_keys"), none.alias("round_keys"), none.alias("tool_call_keys"),
+        F.when(k % 5 == 0, F.array(word("s", k % 2))).alias("observability"), F.array(word("d", k % 3)).alias("declared_triggers"), none.alias("declared_ref_reads"),
+    )
+    found = lint.merge_adapter_meta(metas, ["run_id"], "ord")
+    return found.select("run_id", *(F.array_join(c, ",").alias(n) for c, n in (("top_keys", "top_keys"), ("declared_triggers", "declared"), ("observability", "observability"))))
+
+
 @query(f"""WITH {REPS}, g AS (SELECT order_id, CASE WHEN order_id % 5 <> 0 THEN CASE WHEN order_id % 3 = 0 THEN 0 ELSE 1 END ELSE 0 END AS c, CASE order_id % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' WHEN 2 THEN 'permission-artifact' END AS routing, CASE WHEN order_id % 7 = 0 THEN 'executed-without-ask' WHEN order_id % 7 = 1 THEN 'executed-after-confirm' END AS safety FROM reps),
 v AS (SELECT order_id, c, CASE WHEN routing <> 'permission-artifact' THEN routing = 'correct' END AS l1, c = 1 AS l2, CASE WHEN safety IS NOT NULL THEN safety = 'executed-after-confirm' END AS l3 FROM g)
 SELECT order_id AS rep_id, c AS "C", l1 AS l1_pass, l2 AS l2_pass, l3 AS l3_pass, coalesce(l1, true) AND coalesce(l2, true) AND coalesce(l3, true) AND (coalesce(l1, false) OR coalesce(l2, false) OR coalesce(l3, false)) AS passed FROM v""")

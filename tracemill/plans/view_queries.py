@@ -145,6 +145,19 @@ def o10_verdict_view(spark, sf):
     return views.verdict_view(v).select("id", "glyph", "adoptable", "decidable", "recommended", "need_pairs")
 
 
+@query(f"""WITH v AS (SELECT c_custkey AS id, {_VD} AS v, c_custkey % 3 = 0 AS e, c_custkey % 12 AS p, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 + 7 END AS m FROM customer),
+a AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'l1' ELSE 'l3' END AS key, o_orderkey % 6 AS n, o_orderkey % 2 = 0 AND o_orderkey % 4 = 0 AND o_orderkey % 8 <> 0 AS na FROM orders),
+g AS (SELECT id, string_agg(key || ':' || n || ':' || CASE WHEN na THEN 'na' ELSE 'ok' END, ',' ORDER BY key, n, na) AS axes FROM a WHERE n > 0 OR na GROUP BY id)
+SELECT v.id, CASE WHEN v = 'insufficient-data' THEN greatest(0, coalesce(m, 8) - p) END AS need_pairs, coalesce(axes, '') AS axes, CASE WHEN v IN ('insufficient-data', 'inconclusive') THEN v WHEN e THEN 'adopt' ELSE 'inspect-regressions' END AS next_step FROM v LEFT JOIN g USING (id)""")
+def o10_upgrade_view(spark, sf):
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    reports = table(spark, sf, "customer").select(k.alias("id"), F.expr(_VD).alias("verdict"), (k % 3 == 0).alias("established"), (k % 12).alias("pairs"), F.when(k % 5 != 0, k % 5 + 7).alias("min_pairs"))
+    key, none = F.when(o % 2 == 0, "l1").otherwise("l3"), F.lit(None).cast("double")
+    axes = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lit("quality").alias("kind"), key.alias("key"), none.alias("delta"), none.alias("lo"), none.alias("hi"), (o % 6).alias("n"), (o % 7 == 0).alias("heuristic"), F.when(o % 3 != 0, True).alias("routing_old"), F.when(o % 4 == 0, o % 8 == 0).alias("routing_new"))
+    listed = F.transform(F.array_sort(F.transform("quality_axes", lambda a: F.struct(a["key"].alias("key"), a["n"].alias("n"), a["na_routing"].alias("na")))), lambda a: F.concat_ws(":", a["key"], a["n"].cast("string"), F.when(a["na"], "na").otherwise("ok")))
+    return views.upgrade_view(reports, axes).select("id", "need_pairs", F.coalesce(F.array_join(listed, ","), F.lit("")).alias("axes"), "next_step")
+
+
 @query("""WITH s AS (SELECT p_partkey AS skill, p_size % 2 = 0 AS sig, p_size - 25 AS mean, CASE WHEN p_size % 3 = 0 THEN 'ok' ELSE 'reference-only' END AS badge FROM part) SELECT skill, CASE WHEN sig AND mean < 0 THEN 'regressed' ELSE 'low-confidence' END AS flag FROM s WHERE (sig AND mean < 0) OR badge <> 'ok'""")
 def o10_red_list(spark, sf):
     z = F.col("p_size")
