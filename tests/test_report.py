@@ -37,6 +37,26 @@ def test_stats_of_logs(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/stats/top_tools").first().name == "Read"
 
 
+def test_stats_of_files_and_skills(spark, tmp_path):
+    use = lambda i, name, **inp: {"type": "tool_use", "id": i, "name": name, "input": inp}
+    line = {"type": "assistant", "requestId": "q", "cwd": "/w", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": [use("a", "Skill", skill="sk"), use("b", "Read", file_path="/p/skills/sk/references/a.md"), use("c", "Write", file_path="/w/x")]}}
+    (tmp_path / "a.jsonl").write_text(json.dumps(line))
+    (tmp_path / "b.jsonl").write_text(json.dumps({"type": "user", "cwd": "/w"}))
+    found = cli.stats(spark, str(tmp_path))
+    assert {(r.op, r.skillRefs, r.workspace) for r in found["files"].collect()} == {("read", 1, 0), ("write", 0, 1)}
+    assert [(r.skill, r.runs, r.primary_runs, r.rate) for r in found["skills"].collect()] == [("sk", 1, 1, 0.5)]
+    assert [(r.logical_ref, r.rate) for r in found["references"].collect()] == [("sk/references/a.md", 0.5)]
+
+
+def test_adapter_check_and_preflight(spark, tmp_path):
+    (tmp_path / "out.jsonl").write_text('{"result": "x", "trace": [{"usage": {"in": 1}}]}\n{"reslt": 1}\nnot json\n')
+    found = {tuple(r) for r in cli.adapter_check(spark, f"{tmp_path}/out.jsonl").collect()}
+    assert {("output", "ok", "1 of 3"), ("channel", "usage", "1 of 3"), ("channel", "refReads", "0 of 3"), ("near-miss", "reslt", "result")} <= found
+    for side, cases in (("old", ("a", "b")), ("new", ("b", "c"))):
+        (tmp_path / f"{side}.jsonl").write_text("\n".join(json.dumps({"case_id": c, "excluded": False, "C": 1}) for c in cases))
+    assert {tuple(r) for r in cli.preflight(spark, f"{tmp_path}/old.jsonl", f"{tmp_path}/new.jsonl").collect()} == {("pairs", "cases in both arms", "1"), ("only in one arm", "a", "old"), ("only in one arm", "c", "new")}
+
+
 def test_lint(spark, tmp_path):
     (tmp_path / "suite.json").write_text('{"cases": [{"id": "a", "prompt": "p", "category": "c", "added_in": "1", "expected_skill": "s", "allowed_auxiliary": ["s"], "multi_intent": [], "assertions": [], "safety_negative": false, "superseded_by": "gone"}, {"id": "a"}] /* two */}')
     found = {(r.check, r.subject) for r in cli.lint(spark, f"{tmp_path}/suite.json").collect()}

@@ -1,7 +1,7 @@
-"""Commands: `python -m tracemill.cli ingest|skill|search|export|prune|watch|stats|compare|report|lint ...`.
+"""Commands: `python -m tracemill.cli ingest|skill|search|export|prune|watch|stats|compare|report|lint|adapter-check|preflight ...`.
 
-Most take a folder of logs.  `compare` and `report` take two files or folders of repeats as JSON lines, the old arm and
-the new one; `lint` takes a suite file.
+Most take a folder of logs.  `compare`, `report` and `preflight` take two files or folders of repeats as JSON lines, the old arm and
+the new one; `lint` takes a suite file, `adapter-check` adapter outputs, one a line.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.config import VERDICT
+
 
 def tables(spark: SparkSession, path: str):
     from tracemill.sources import logs
@@ -82,12 +84,36 @@ def stats(spark: SparkSession, path: str, out: str | None = None) -> dict[str, D
     from tracemill.sources import files, logs
 
     p = tables(spark, path)
-    found = report.stats(logs.run_rounds(p), p.tool_calls, p.self_reports)
+    found = report.stats(logs.run_rounds(p), p.tool_calls, p.self_reports, p.runs)
     for name, df in found.items() if out else ():
         files.write_sidecar(df, f"{out}/{name}")
     return found
 
 
+def adapter_check(spark: SparkSession, path: str) -> DataFrame:
+    """What adapter outputs (one JSON document a line) lack or misspell: (check, subject, detail)."""
+    from tracemill.operators import lint
+
+    raw = spark.read.text(path).filter("trim(value) <> ''").withColumnRenamed("value", "raw")
+    found = lint.adapter_channels(raw)
+    total = found.agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("ok", *lint.CHANNELS)))
+    counts = total.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(c).alias("seen")) for c in ("ok", *lint.CHANNELS)))).alias("x"))
+    rows = counts.select(F.when(F.col("x.subject") == "ok", "output").otherwise("channel").alias("check"), F.col("x.subject").alias("subject"), F.concat_ws(" of ", F.col("x.seen").cast("string"), F.col("n").cast("string")).alias("detail"))
+    near = lint.near_misses(lint.adapter_keys(raw).filter("level = 'top'"), ["result", "trace", *lint.CHANNELS[3:]])
+    return rows.unionByName(near.select(F.lit("near-miss").alias("check"), F.col("key").alias("subject"), F.col("meant").alias("detail")))
+
+
+def preflight(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """What stands in the way of comparing two arms' repeats (JSON lines with the columns of `ARM`): (check, subject, detail)."""
+    from tracemill.operators import compare
+
+    arms = [spark.read.schema(ARM).json(p) for p in (old, new)]
+    pairs = compare.paired(*(compare.experiment_arm(a) for a in arms))
+    few = pairs.agg(F.count("*").alias("n")).filter(F.col("n") < VERDICT["min_pairs"]).select(F.lit("pairs").alias("check"), F.lit("cases in both arms").alias("subject"), F.col("n").cast("string").alias("detail"))
+    alone = compare.only_in(*(a.select("case_id").distinct() for a in arms))
+    return few.unionByName(alone.select(F.lit("only in one arm").alias("check"), F.col("case_id").cast("string").alias("subject"), F.col("side").alias("detail")))
+
+
 ARM = "case_id string, held_out boolean, excluded boolean, C int, l1_pass boolean, l3_pass boolean, flow_status string, u_in long, u_out long, u_cache_r long, u_cache_w long"
 
 
@@ -116,13 +142,14 @@ def lint(spark: SparkSession, path: str) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(prog="tracemill", description=__doc__)
     sub = a.add_subparsers(dest="verb", required=True)
-    for verb in ("ingest", "skill", "search", "export", "prune", "watch", "stats", "compare", "report", "lint"):
+    for verb in ("ingest", "skill", "search", "export", "prune", "watch", "stats", "compare", "report", "lint", "adapter-check", "preflight"):
         p = sub.add_parser(verb)
         p.add_argument("path")
         if verb in ("ingest", "export", "watch", "stats", "report"):
             p.add_argument("--out", required=verb not in ("ingest", "stats"))
-        if verb in ("compare", "report"):
+        if verb in ("compare", "report", "preflight"):
             p.add_argument("new")
+        if verb in ("compare", "report"):
             p.add_argument("--intent", choices=("cost-opt", "quality-fix", "neutral-refactor"), required=True)
         if verb == "search":
             p.add_argument("text")
@@ -157,6 +184,10 @@ def main(argv: list[str] | None = None) -> None:
         from tracemill.sources import files
 
         files.write_report(report.document(comparison(spark, o.path, o.new, o.intent)), o.out)
+    elif o.verb == "adapter-check":
+        adapter_check(spark, o.path).show(1000, truncate=False)
+    elif o.verb == "preflight":
+        preflight(spark, o.path, o.new).show(1000, truncate=False)
     elif o.verb == "lint":
         lint(spark, o.path).orderBy("check", "subject").show(1000, truncate=False)
     else:

@@ -53,13 +53,26 @@ def document(found: DataFrame) -> DataFrame:
     return views.report_json(found, sections)
 
 
-def stats(rounds: DataFrame, calls: DataFrame, reports: DataFrame) -> dict[str, DataFrame]:
-    """The sections of statistics of a set of runs.  rounds, calls and reports as the log parser and `logs.run_rounds` give them."""
+def stats(rounds: DataFrame, calls: DataFrame, reports: DataFrame, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sections of statistics of a set of runs.  rounds, calls and reports as the log parser and `logs.run_rounds` give them.
+
+    With `runs` also the sections that need a run's folder or the number of runs: files, skills and commands read.
+    """
     from tracemill.operators import cards, sections
+    from tracemill.sources import logs
 
     all_ = rounds.withColumn("_all", F.lit("all"))
     used = calls.select("name", "chain", F.lit(None).cast("string").alias("declared_kind"), F.when(F.col("denial_kind").isNotNull(), "permission-artifact").when(F.col("is_error"), "error").otherwise("success").alias("outcome"), F.struct("run_id", "line_no", "pos").alias("ord"))
-    return {
+    more = {}
+    if runs is not None:
+        path = F.coalesce(F.try_variant_get("input", "$.file_path", "string"), F.try_variant_get("input", "$.notebook_path", "string"))
+        own = calls.filter("chain = 'main'").select("run_id", "name", path.alias("path")).join(runs.select("run_id", "cwd"), "run_id")
+        n_runs = runs.agg(F.count("*").alias("_runs"))
+        first = logs.triggers(calls).groupBy("skill").agg(F.count("*").alias("runs"), F.count_if("is_primary").alias("primary_runs"))
+        read = logs.reads(calls).groupBy("skill", "logical_ref").agg(F.count("*").alias("runs"))
+        share = lambda df: df.crossJoin(F.broadcast(n_runs)).withColumn("rate", js_round(F.col("runs") / F.col("_runs"))).drop("_runs")  # noqa: E731  one row
+        more = {"files": sections.file_targets(own), "skills": share(first), "references": share(read)}
+    return more | {
         "tools": cards.tool_view(sections.tool_usage(used)),
         "top_tools": sections.top_tools(used),
         "mcp_servers": sections.mcp_servers(used),
