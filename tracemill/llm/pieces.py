@@ -172,8 +172,11 @@ def stretches(text: str) -> list[str]:
     return _CUT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per row: the id, n_tokens, the ids (unless `with_ids` is off), ids_sha256, decoded_sha256.  No shuffle."""
+def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Per row: the id, n_tokens, the ids (unless `with_ids` is off), ids_sha256, decoded_sha256.  No shuffle.
+
+    A worker remembers `cache_entries` encoded stretches at most, at some 400 bytes each.
+    """
     id_type = docs.schema[id_col].dataType
     shared = Shared(docs.sparkSession, model, "pieces")
     schema = f"`{id_col}` {id_type.simpleString()}, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
@@ -188,7 +191,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
             ids = table.encode_normalized(part)
             found = (",".join(map(str, ids)), len(ids), table.decode_raw(ids), array("i", ids).tobytes() if with_ids else b"")
             if len(part) <= CACHE_CHARS:
-                if len(cache) < CACHE_ENTRIES:
+                if len(cache) < cache_entries:
                     cache[part] = found
                 else:
                     missed[0] += 1
