@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tracemill.llm import neardup
 
 
 def test_stages(spark, sf_dir):
@@ -135,3 +136,16 @@ def test_a_shingle_in_a_third_of_many_texts(spark, sf_dir):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in [*enumerate(texts), *((20_000 + k, t) for k, t in copies.items())]], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).select("doc_id").collect()}
     assert got == set(range(20_000))
+
+
+def test_near_texts_meet_without_copies_of_tiles(spark):
+    """Each fingerprint is dealt four times, however many there are, and those three bits apart still meet."""
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = neardup.nearest(spark.createDataFrame(list(zip(signed, range(600), strict=True)), "fp long, rep long"), 12)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+    near = {frozenset((r.a, r.b)) for r in found.collect()}
+    assert all(bin(fps[a] ^ fps[b]).count("1") <= 12 for a, b in near)
+    assert {frozenset((k, k + 300)) for k in range(300)} <= near

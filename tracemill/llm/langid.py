@@ -24,6 +24,8 @@ from .common import Shared, fold, worker_cache
 UND = "und"
 #: N-grams in a profile, and letters in one stretch of counting (the longest key list held at once).
 PROFILE, STRETCH = 400, 1 << 20
+#: Rows that a worker predicts and gives back at once.
+ROWS = 512
 
 
 def _letters() -> np.ndarray:
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
 
     def run(batches):
         p = shared.value
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             found = [p.predict(t.as_py()) for t in batch.column(at)]
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, pred_col, score_col])

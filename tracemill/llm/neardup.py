@@ -9,8 +9,8 @@ returns a spanning forest of its links, at most one row per fingerprint, never a
 Defined results: null or empty text has fingerprint zero, which links like any other.  Repeated rows share their
 component.  A row without an id gets the component of its fingerprint's group, or null if nobody there has an id.
 
-`similar_groups` links texts whose sets of word shingles have a given Jaccard similarity.  The same tiles, with a wider
-radius, give each text its nearest other one; the links that hold make the first groups.  What is left are pairs in
+`similar_groups` links texts whose sets of word shingles have a given Jaccard similarity.  Fingerprints in
+order give each text a near other one; the links that hold make the first groups.  What is left are pairs in
 different groups, which an equi-join on prefixes of the sets finds without loss.  Before whole sets are compared one
 filter is not exact: pairs of large sets whose fingerprints differ by more than `FAR` bits are left out, which a pair of
 similarity 0.8 does by 6 standard deviations.
@@ -142,16 +142,9 @@ def tile_links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, r
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
-def paired_tiles(reps: DataFrame, radius: int, halves: bool = True) -> DataFrame | None:
-    """(pair, fps, own): the two tiles, or the one, of each pair of tiles within the radius, from `reps` (fp, rep); None without rows.
-
-    With a wide radius few pairs of cells are beyond it, and cells by whole counts are copied to fewer others.
-    """
-    cells = reps.select(
-        "fp", "rep",
-        F.bit_count(F.shiftrightunsigned("fp", 32) if halves else F.col("fp")).cast("int").alias("hi"),
-        (F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))) if halves else F.lit(0)).cast("int").alias("lo"),
-    )
+def paired_tiles(reps: DataFrame, radius: int) -> DataFrame | None:
+    """(pair, fps, own): the two tiles, or the one, of each pair of tiles within the radius, from `reps` (fp, rep); None without rows."""
+    cells = reps.select("fp", "rep", F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int").alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("lo"))
     counts = {(r.hi, r.lo): r.n for r in cells.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 rows at most
     if not counts:
         return None
@@ -166,8 +159,7 @@ def paired_tiles(reps: DataFrame, radius: int, halves: bool = True) -> DataFrame
 
     packed = tiled.select("hi", "lo", "part", "fp", "rep").groupBy("hi", "lo", "part").applyInArrow(pack, "hi int, lo int, part int, fps binary, own binary")
     # each tile meets the tiles of the cells around it (41 at radius 4), itself among them; both ends name the pair alike
-    low = radius if halves else 0
-    near = [(dh, dl) for dh in range(-radius, radius + 1) for dl in range(-low, low + 1) if abs(dh) + abs(dl) <= radius]
+    near = [(dh, dl) for dh in range(-radius, radius + 1) for dl in range(-radius, radius + 1) if abs(dh) + abs(dl) <= radius]
     steps = F.array(*(F.struct(F.lit(dh).alias("dh"), F.lit(dl).alias("dl")) for dh, dl in near))
     around = packed.withColumn("step", F.explode(steps)).withColumn("hi2", F.col("hi") + F.col("step.dh")).withColumn("lo2", F.col("lo") + F.col("step.dl"))
     around = around.join(sizes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("parts").alias("parts2")), ["hi2", "lo2"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
@@ -223,17 +215,16 @@ def tile_nearest(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray,
 
 
 def nearest(reps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): for each of `reps` (fp, rep) with another within the radius, the nearest."""
+    """(a, b): for each of `reps` (fp, rep) a near one within the radius, mostly the nearest.
 
-    def compare(group: pa.Table) -> pa.Table:
-        a, b, d = tile_nearest(*_tiles(group), radius)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64())})
-
-    dealt = paired_tiles(reps, radius, halves=False)
-    if dealt is None:
-        return reps.sparkSession.createDataFrame([], "a long, b long")
-    found = dealt.groupBy("pair").applyInArrow(compare, "a long, b long, d long")
-    return found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    Fingerprints are put in order four times, each time from another quarter on; in each order a fingerprint meets the
+    one before it among those with the same first quarter.  The work grows as the sorting of `reps`.
+    """
+    turned = F.explode(F.array(*(F.struct(F.lit(16 * k).alias("by"), (F.shiftleft("fp", 16 * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * k)) if k else F.col("fp")).alias("turned")) for k in range(4))))
+    rows = reps.select("fp", "rep", turned.alias("t")).select("fp", "rep", "t.by", "t.turned")
+    order = W.partitionBy("by", F.shiftrightunsigned("turned", 48)).orderBy("turned", "rep")
+    met = rows.select(F.col("rep").alias("a"), F.lag("rep").over(order).alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.lag("fp").over(order))).alias("d")).filter(F.col("d") <= radius)
+    return met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -345,12 +336,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = materialize(keyed.mapInArrow(run, "id long, text_key long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
     ids = materialize(rows.select("id", "text_key", "key"), "ids")
     repeated = not ids.groupBy("id", "key").count().filter("count > 1 and id is not null").isEmpty()
-    first = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "fp", "n", "middle", "prefix")).alias("x"))
-    reps = materialize(first.select("key", F.col("x.id").alias("rep"), "x.fp", "x.n", "x.middle", "x.prefix"), "representatives")
+    # a set that stands once is its own representative; prefixes are shuffled only where a set is repeated
+    known = rows.filter("id is not null")
+    again = materialize(ids.filter("id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("times")).filter("times > 1").select("key", "id"), "repeated")
+    few = F.broadcast if again.count() <= NAMED else (lambda df: df)
+    first = known.join(few(again), ["key", "id"], "left_semi").groupBy("key").agg(F.min(F.struct("id", "fp", "n", "middle", "prefix")).alias("x")).select("key", F.col("x.id").alias("rep"), "x.fp", "x.n", "x.middle", "x.prefix")
+    single = known.join(few(again.select("key")), "key", "left_anti").select("key", F.col("id").alias("rep"), "fp", "n", "middle", "prefix")
+    reps = materialize(single.unionByName(first), "representatives")
     discard(rows)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of `pairs` (a, b: keys) whose whole sets are similar; only texts in question are read again."""
+        """Those of `pairs` (a, b: keys) whose whole sets are similar; only texts in question are read again.
+
+        Prefixes come first: beyond the earlier of two prefixes' ends, sets have no more in common than the rest of that
+        set, so what the prefixes have in common bounds the whole, and most pairs need no whole sets.
+        """
+        met = materialize(pairs, "met")
+        asked = materialize(met.select(F.col("a").alias("key")).union(met.select("b")).distinct(), "asked")
+        own = reps.join(F.broadcast(asked) if asked.count() <= NAMED else asked, "key", "left_semi")
+        ends = [own.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in ("a", "b")]
+        rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+        most = F.least(F.size(F.array_intersect("pa", "pb")) + rest, F.col("na"), F.col("nb"))
+        pairs = met.join(ends[0], "a").join(ends[1], "b").filter(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6).select("a", "b")
         pairs = materialize(pairs, "pairs")
         named = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", F.col("rep").alias("id")), "key")
         named = materialize(named, "named")
@@ -374,7 +381,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
         common = F.size(F.array_intersect("ga", "gb"))
         found = materialize(both.filter(common >= (F.size("ga") + F.size("gb") - common) * least - 1e-9).select("a", "b"), "similar")
-        discard(pairs, named, sets)
+        discard(met, asked, pairs, named, sets)
         return found
 
     fps = reps.select("key", "fp", (F.col("n") >= LARGE).alias("large"))
@@ -402,7 +409,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # first the nearest texts, then of each shingle every text with one of those that have it: the one whose shingles are
     # the most frequent, which of many copies is the one that was changed least
     close = nearest(reps.select("fp", F.col("key").alias("rep")), NEAREST)
-    edges = similar(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = [reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b")]
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9  # sets of other sizes can't be this similar
+    edges = similar(close.join(sizes[0], "a").join(sizes[1], "b").filter(alike).select("a", "b"))
     merged = components(edges)
     labelled = grouped(reps.select("key", F.col("n").cast("int").alias("n"), "prefix"), merged)  # whole prefixes, not their places, meet the groups
     shared = between(labelled.select("key", "n", "c", F.posexplode("prefix").alias("pos", "gram"))).join(reps.select("key", "middle"), "key")
