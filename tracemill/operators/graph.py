@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from tracemill.config import DEPGRAPH
 from tracemill.storage import written
 
+#: Pairs of references and their owners that may be broadcast.
+FEW = 200_000
+
 
 def read_rates(triggers: DataFrame, reads: DataFrame) -> DataFrame:
     """P(ref read | a skill that owns it triggered): (ref, n, numer, rate, advice)."""
-    owners = reads.select("ref", "skill").distinct()
+    owners = written(reads.select("ref", "skill").distinct(), "owners")
+    few = F.broadcast if owners.count() <= FEW else (lambda df: df)  # else a frequent reference would gather its sessions in one task
     own = triggers.select("session", "skill").distinct()
     # exposures are counted by skill before references come in; only references with several owners need their sessions
     owned = owners.groupBy("ref").agg(F.count("*").alias("_o"), F.first("skill").alias("skill"))
@@ -23,7 +27,7 @@ def read_rates(triggers: DataFrame, reads: DataFrame) -> DataFrame:
     shared = owners.join(owned.filter("_o > 1").select("ref"), "ref", "left_semi")
     n_shared = shared.join(own, "skill").select("ref", "session").distinct().groupBy("ref").agg(F.count("*").alias("n"))
     # a read counts if some owner triggered in its session
-    hit = reads.select("ref", "session").distinct().join(owners, "ref").join(own, ["session", "skill"], "left_semi").groupBy("ref").agg(F.count_distinct("session").alias("numer"))
+    hit = reads.select("ref", "session").distinct().join(few(owners), "ref").join(own, ["session", "skill"], "left_semi").select("ref", "session").distinct().groupBy("ref").agg(F.count("session").alias("numer"))
     rated = n_alone.unionByName(n_shared).join(hit, "ref", "left").select("ref", "n", F.coalesce("numer", F.lit(0)).alias("numer"))
     all_refs = owners.select("ref").distinct().join(rated, "ref", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("numer", F.lit(0)).alias("numer"))
     rate = F.when(F.col("n") > 0, F.col("numer") / F.col("n"))
@@ -83,7 +87,7 @@ def jaccard_split(sessions: DataFrame, reads: DataFrame) -> DataFrame:
     sessions: (skill, session, category) where the skill triggered; reads: (skill, session, ref) of that skill's refs.
     """
     cats = sessions.withColumn("category", F.coalesce("category", F.lit("__uncategorized__")))
-    sizes = cats.groupBy("skill", "category").agg(F.count_distinct("session").alias("n"))
+    sizes = cats.select("skill", "session", "category").distinct().groupBy("skill", "category").agg(F.count("session").alias("n"))
     refs = cats.join(reads, ["skill", "session"]).select("skill", "category", "ref").distinct()
     count = refs.groupBy("skill", "category").agg(F.count("*").alias("size"))
     sized = sizes.join(count, ["skill", "category"], "left").select("skill", "category", F.coalesce("size", F.lit(0)).alias("size"))
@@ -106,17 +110,18 @@ def break_even(groups: DataFrame, p_trigger: str | None = None) -> DataFrame:
     return out.withColumn("inflation_ceiling", F.when(F.col(p_trigger) > 0, saved / F.col(p_trigger)) if p_trigger else F.lit(None).cast("double"))
 
 
-def session_events(observed: DataFrame, declared: DataFrame) -> DataFrame:
+def session_events(observed: DataFrame, declared: DataFrame, tasks: int | None = None) -> DataFrame:
     """Triggers of sessions in order: observed ones by call, then a round's declared ones; first occurrences.
 
     observed: session, skill, round, ordinal; declared: session, skill, round.  (session, skill, rank, first_ordinal):
-    first_ordinal is null for what was only declared, rank 1 is primary.
+    first_ordinal is null for what was only declared, rank 1 is primary.  With `tasks` sessions are dealt once, to so many.
     """
     from pyspark.sql import Window as W
 
     o = observed.select("session", "skill", "round", F.lit(0).alias("phase"), "ordinal")
     d = declared.select("session", "skill", "round", F.lit(1).alias("phase"), F.lit(None).cast("long").alias("ordinal"))
-    first = o.unionByName(d).filter("skill <> ''").groupBy("session", "skill").agg(F.min(F.struct("round", "phase", "ordinal")).alias("at"), F.min("ordinal").alias("first_ordinal"))
+    both = o.unionByName(d).filter("skill <> ''")
+    first = (both.repartition(tasks, "session") if tasks else both).groupBy("session", "skill").agg(F.min(F.struct("round", "phase", "ordinal")).alias("at"), F.min("ordinal").alias("first_ordinal"))
     return first.select("session", "skill", F.row_number().over(W.partitionBy("session").orderBy("at", "skill")).alias("rank"), "first_ordinal")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracemill.storage import written
+
 #: A name that stands for the round half up of both engines: SQL text for floor(x * 10^k + 0.5) / 10^k.
 def r(x: str, k: int = 3) -> str:  # noqa: E302
     return f"(floor(CAST({x} AS DOUBLE) * 1e{k} + 0.5) / 1e{k})"
@@ -15,11 +17,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Rows of a table that a task sorts or groups at once, about.
+TASK_ROWS = 500_000
+
+
+def tasks(spark: SparkSession, rows: int) -> int | None:
+    """Tasks for so many rows; None where Spark's own number is enough."""
+    return -(-rows // TASK_ROWS) if rows > int(spark.conf.get("spark.sql.shuffle.partitions")) * TASK_ROWS else None
+
+
+def spread(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """`df` dealt by `cols` to as many tasks as `rows` ask for, so that a task's share doesn't grow with the table."""
+    n = tasks(df.sparkSession, rows)
+    return df.repartition(n, *cols) if n else df
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a run's tool calls: a run is a user's day."""
-    e = table(spark, sf, "events").withColumn("run_id", F.concat_ws("|", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    e = table(spark, sf, "events")
+    n = e.count()
+    e = e.withColumn("run_id", F.concat_ws("|", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
     w = W.partitionBy("run_id").orderBy("ts", "event_id")
-    return e.withColumn("ordinal", F.row_number().over(w) - 1)
+    return spread(e, n, "run_id").withColumn("ordinal", F.row_number().over(w) - 1)
 
 
 EVENTS = """ev AS (SELECT *, CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d') AS run_id,
@@ -60,8 +79,12 @@ def baskets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders as sessions: (triggers: session, skill = brand), (reads: session, skill, ref = container-like type)."""
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("p_partkey"))
     pa = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("skill"), F.concat_ws("/", "p_brand", (F.col("p_size") % 4).cast("string")).alias("ref"))
-    j = li.join(pa, "p_partkey")
-    return j.select("session", "skill").distinct(), j.filter(F.col("p_partkey") % 3 != 0).select("session", "skill", "ref").distinct()
+    n = li.count()
+    # each basket is one row, and a basket's rows meet in one task; the operators read both results several times
+    j = spread(li, n, "p_partkey").join(pa, "p_partkey").withColumn("counts", F.col("p_partkey") % 3 != 0).select("session", "skill", "ref", "counts")
+    of = written(spread(j, n, "session").groupBy("session", "skill", "ref").agg(F.bool_or("counts").alias("counts")), "baskets")
+    of = spread(of, n, "session")
+    return of.select("session", "skill").distinct(), of.filter("counts").select("session", "skill", "ref")
 
 
 BASKETS = """j AS (SELECT l_orderkey AS session, p_partkey, p_brand AS skill, p_brand || '/' || CAST(p_size % 4 AS VARCHAR) AS ref FROM lineitem JOIN part ON l_partkey = p_partkey),
