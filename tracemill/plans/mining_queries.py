@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.operators import graph, proximity
-from tracemill.plans.bindings import BASKETS, EVENTS, baskets, events, r, table
+from tracemill.plans.bindings import BASKETS, EVENTS, baskets, events, r, spread, table
 from tracemill.plans.registry import query
 
 
@@ -108,7 +108,9 @@ def d9_jaccard_split(spark, sf):
     from tracemill.functions.num import js_round
 
     li = table(spark, sf, "lineitem")
-    j = li.join(table(spark, sf, "supplier"), li.l_suppkey == F.col("s_suppkey")).join(table(spark, sf, "orders"), li.l_orderkey == F.col("o_orderkey"))
+    n = li.count()
+    named = spread(li.join(table(spark, sf, "supplier"), li.l_suppkey == F.col("s_suppkey")).select("s_nationkey", "l_orderkey", "l_partkey"), n, "l_orderkey")
+    j = named.join(spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     s = j.select(F.col("s_nationkey").cast("string").alias("skill"), F.col("l_orderkey").alias("session"), F.col("o_orderpriority").alias("category"), (F.col("l_partkey") % 50).cast("string").alias("ref"))
     return graph.jaccard_split(s.select("skill", "session", "category").distinct(), s.select("skill", "session", "ref").distinct()).withColumn("mean_jaccard", js_round(F.col("mean_jaccard"), 4))
 
