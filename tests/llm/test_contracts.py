@@ -325,6 +325,22 @@ def test_op3_recall_and_precision_on_disguised_spans(spark):
     assert total > 200 and hits / total >= 0.9 and hits / (hits + false + added) >= 0.9
 
 
+def test_op3_learns_from_every_document(spark):
+    """4,600 documents, every one of which counts, also those beyond any first 4,000; sums in Spark and on the driver agree."""
+    from tracemill.llm import gbt
+
+    rows = [(k, f"note {k} mail user{k}@host{k % 7}.com of {k % 90 + 10} rows and call +1 (743) 555-{k:04d} now") for k in range(4_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sum(len(pii.examples(t)[1]) for _, t in rows)
+    assert pii.counted_examples(docs).groupBy().sum("n").first()[0] == want
+    a, b = (pii.train(docs.filter("doc_id < 900"), few=few) for few in (gbt.FEW, 0))
+    assert a.thresholds == b.thresholds and a.trees.scale == b.trees.scale and a.trees.base == b.trees.base
+    for x, y in zip(a.trees.trees, b.trees.trees, strict=True):
+        assert [v.tolist() for v in x] == [v.tolist() for v in y]
+    twice = pii.train(docs.filter("doc_id < 900").unionByName(docs.filter("doc_id < 900")))
+    assert twice.thresholds.keys() == a.thresholds.keys()
+
+
 def test_op3_long_text_with_many_spans(spark):
     import time
 

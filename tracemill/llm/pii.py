@@ -2,13 +2,16 @@
 
 Base spans (e-mail, IPv4, card, phone) follow fixed formats and always stay.  On top of them high-recall generators
 propose overlapping candidates: written-out e-mail addresses, dotted quads with spaces, digit groups with other
-separators, telephone numbers without country prefix.  Trees learn which of them to add, from a bounded sample of
+separators, telephone numbers without country prefix.  Trees learn which of them to add, from all
 documents.  Positive are candidates on base spans, and candidates on base spans that were disguised first: written out,
 with other separators, without their prefix.  Negative are candidates on other kinds' spans, those that fail a check of
 their kind, and disguised spans that were spoiled (a check digit, a part, the ending).  Well-formed candidates elsewhere
 may be what is looked for and carry no label.  Features are format, checks and context.  Per kind, the lowest
-calibrated probability with the wanted precision on held-back documents is the threshold; candidates above it that
-touch no base span are added, best first.
+calibrated probability with the wanted precision on held-back documents (a third, by their texts) is the threshold;
+candidates above it that touch no base span are added, best first.
+
+Training: examples' features are whole numbers, so equal examples become one row with a count, and all that the trees, the
+calibration and the thresholds need are sums of counts (`gbt`), which Spark makes; the driver gets histograms only.
 
 Defined results: null text is empty and has no spans; empty text too; offsets are code points; repeated rows are
 treated each on its own; other columns are not read.  With no labelled candidates of a kind, nothing is added to it.
@@ -28,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import Shared
+from .common import Shared, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents in the training sample, candidates that it may give, and the precision wanted from added spans.
-SAMPLE_DOCS, SAMPLE_CANDIDATES, PRECISION = 4_000, 60_000, 0.98
+#: Precision wanted from added spans; labelled candidates without which nothing is learnt, and positive ones of a kind; numbers of a candidate.
+PRECISION, LEAST, LEAST_HITS, FEATURES = 0.98, 30, 10, 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -196,8 +199,8 @@ def examples(text: str) -> tuple[list[list[float]], list[int]]:
 
 
 def features(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """Format, checks and context of candidates; the country prefix is not among them."""
-    out = np.zeros((len(spans), 20))
+    """Format, checks and context of candidates, whole numbers of 16 bits at most; the country prefix is not among them."""
+    out = np.zeros((len(spans), FEATURES))
     for row, (start, kind, end) in zip(out, spans, strict=True):
         s, before, after = _COUNTRY.sub("", text[start:end]), text[max(0, start - 24) : start], text[end : end + 12]
         groups = re.findall("[0-9]+", s)
@@ -210,11 +213,11 @@ def features(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
         row[13] = any(cue in before.lower() for cue in _CUES[KINDS[kind]])
         row[14] = before[-1:].isalnum() + 2 * before[-1:].isspace() if before else 3
         row[15] = after[:1].isalnum() + 2 * after[:1].isspace() if after else 3
-        row[16] = sum(c.isdigit() for c in before) / 24
+        row[16] = sum(c.isdigit() for c in before)
         row[17] = len(re.findall(r"[A-Za-z0-9-]{2,}$", s))
         row[18] = well_formed(s, kind)
         row[19] = luhn("".join(groups))
-    return out
+    return np.minimum(out, 2**16 - 1)
 
 
 @dataclass
@@ -240,49 +243,50 @@ class Detector:
         return out
 
 
-def learn(rows: list[tuple[list[float], int]], precision: float = PRECISION) -> Detector:
-    """Fit on two thirds of the candidates, calibrate and set thresholds on the rest."""
-    if len(rows) < 30:
-        return Detector(None, {})
-    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-    held = np.arange(len(y)) % 3 == 0
-    if y[~held].min() == y[~held].max():
+def counted_examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, x, y, held, n): distinct labelled candidates of all documents, packed, and how many there are of each."""
+
+    def run(batches):
+        for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
+            rows, labels, held = [], [], []
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                x, y = examples(text)
+                if y:
+                    rows.append(np.array(x))
+                    labels += y
+                    held += [zlib.crc32(text.encode("utf-8", "replace")) % 3 == 0] * len(y)
+            packed = np.concatenate(rows).astype("<u2") if rows else np.zeros((0, FEATURES), "<u2")
+            columns = [pa.array(packed[:, 0].astype(np.int32)), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(labels, pa.int32()), pa.array(held, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "x", "y", "held"])
+
+    found = docs.select(text_col).mapInArrow(run, "kind int, x binary, y int, held boolean")
+    return found.groupBy("kind", "x", "y", "held").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text", precision: float = PRECISION, few: int = gbt.FEW) -> Detector:
+    """Fit on the examples of two thirds of the documents, calibrate and set thresholds on the rest's."""
+    rows = materialize(counted_examples(docs, text_col), "examples")
+    own = ~F.col("held")
+    found = rows.agg(F.sum("n").alias("n"), F.sum(F.when(own, F.col("n"))).alias("own"), F.sum(F.when(own, F.col("n") * F.col("y"))).alias("hits")).first()
+    if (found.n or 0) < LEAST or not found.own or found.hits in (0, found.own):
         return Detector(None, {})
-    trees = gbt.fit(x[~held], y[~held])
-    gbt.calibrate(trees, x[held], y[held])
-    p, thresholds = trees.probability(x[held]), {}
+    trees, binned = gbt.fit(rows, FEATURES, found.own, found.hits, few)
+    margins = gbt.margins(binned.filter("held"), trees)
+    gbt.calibrate(trees, margins.margin, margins.n, margins.hits)
+    thresholds = {}
     for kind in range(len(KINDS)):
-        own = x[held][:, 0] == kind
-        order = np.argsort(-p[own], kind="stable")
-        q, hit = p[own][order], y[held][own][order]
-        if hit.sum() < 10:
+        m = margins.of(kind)
+        if m.hits.sum() < LEAST_HITS:
             continue
-        share = hit.cumsum() / np.arange(1, len(hit) + 1)
-        last = np.append(q[1:] < q[:-1], True)  # a threshold takes all rows of one probability
-        good = np.nonzero(last & (share >= precision) & (q >= 0.5))[0]
+        p = trees.scaled(m.margin)  # margins descend, so do probabilities; equal ones are one threshold
+        share = m.hits.cumsum() / m.n.cumsum()
+        good = np.nonzero(np.append(p[1:] < p[:-1], True) & (share >= precision) & (p >= 0.5))[0]
         if len(good):
-            thresholds[kind] = float(q[good[-1]])
+            thresholds[kind] = float(p[good[-1]])
     return Detector(trees, thresholds)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Detector:
-    """Learn from at most `sample_docs` documents, those with the smallest id hashes, and `sample_candidates` candidates."""
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample_docs).distinct()
-
-    def run(batches):
-        for batch in batches:
-            rows, labels = [], []
-            for text in batch.column(0):
-                x, y = examples(text.as_py() or "")
-                rows.extend(x)
-                labels.extend(y)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["x", "y"])
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text")
-    found = texts.mapInArrow(run, "x array<double>, y int").orderBy(F.xxhash64("x"), "y").limit(sample_candidates).collect()
-    return learn([(r.x, r.y) for r in found])
-
-
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
