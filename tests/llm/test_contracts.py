@@ -246,6 +246,24 @@ def test_op2_stops_on_proof_only():
         assert ids.tolist() == want and scores.tolist() == [int(v[i] @ q) for i in want]
 
 
+def test_op2_answers_queries_together():
+    """Queries of one block share their passes, with the same answers in every range of values."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.standard_normal((8192, 64)) / 8).astype(np.int64)
+    index, queries_of = topk.ImpactIndex(np.arange(8192)[::-1].copy(), v), v[:128]
+    got = index.search_all(queries_of, 5, list(range(128)))
+    for own, q, (ids, scores) in zip(range(128), queries_of, got, strict=True):
+        want = sorted((-int(s), i) for s, i in zip(v @ q, index.ids, strict=True) if i != own)[:5]
+        assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+    for scale in (1, 2**9, 2**14, 2**24, 2**29):  # single, double, 64 bits, plain
+        small = topk.ImpactIndex(np.arange(300), v[:300, :5] * scale)
+        for q, (ids, scores) in zip(v[:9, :5] * scale, small.search_all(v[:9, :5] * scale, 5, [None] * 9), strict=True):
+            want = sorted((-min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(r, q, strict=True))), i) for i, r in enumerate(v[:300, :5] * scale))[:5]
+            assert list(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+
+
 BASE3 = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 

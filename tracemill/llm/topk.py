@@ -5,7 +5,8 @@ segments of like (quantised) value.  For a query, a segment's impact is the larg
 beyond the least that its dimension gives to anybody; segments are processed by descending impact, adding exact
 contributions to accumulators.  What is still unprocessed bounds each row's final score from above, so once the rows
 that could reach the k-th best lower bound are few, the bound proves all others out; the possible members are then
-rescored exactly.  Without such a proof all segments are processed.
+rescored exactly.  Without such a proof all segments are processed.  A segment's rows are read once for some dozens of
+queries, each of which takes it at its own turn.
 
 A block's index is built once for each batch of queries, which is large; blocks hold rows dealt by id, vector and a number
 among equal rows, so neither a repeated id nor a repeated vector gathers in one of them.  Of equal rows k are kept, for no
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block, queries of a batch, segments of a dimension; parts of a query's segments after which a proof is tried.
-BLOCK, BATCH, SEGMENTS, PROOFS = 8_192, 4_096, 8, (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16)
+#: Rows of a block, queries of a batch, segments of a dimension, queries that are answered together; parts of a query's segments after which a proof is tried.
+BLOCK, BATCH, SEGMENTS, TOGETHER, PROOFS = 8_192, 4_096, 8, 64, (1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16)
 _LONG = 2**63 - 1
 
 
@@ -40,6 +41,7 @@ class ImpactIndex:
         n, d = vectors.shape
         self.rows, self.values, self.cuts = [], [], []
         self.most = max(int(vectors.max()), -int(vectors.min())) if vectors.size else 0
+        self.begin = self.served = 0  # the proof that is tried first: that which was enough for half the queries before, at times the one before it
         for k in range(d if self.most < 2**31 else 0):  # larger ones are compared plainly
             order = np.argsort(vectors[:, k], kind="stable")
             value = vectors[order, k]
@@ -50,44 +52,83 @@ class ImpactIndex:
             self.rows.append(order)
             self.values.append(value)
             self.cuts.append(cut)
+        # least and largest value of each segment; those that a dimension doesn't have aren't real
+        self.least, self.largest, self.real = (np.zeros((len(self.cuts), max(map(len, self.cuts), default=2) - 1), t) for t in (np.int64, np.int64, bool))
+        for k, (value, cut) in enumerate(zip(self.values, self.cuts, strict=True)):
+            if n:
+                self.least[k, : len(cut) - 1], self.largest[k, : len(cut) - 1], self.real[k, : len(cut) - 1] = value[cut[:-1]], value[cut[1:] - 1], True
+        self.tables: dict[type, np.ndarray] = {}
+
+    def table(self, kind: type) -> np.ndarray:
+        """Two lines a segment: how far its rows' values are above their dimension's least, and 1 at its rows."""
+        if kind not in self.tables:
+            self.tables[kind] = np.zeros((2, int(self.real.sum()), len(self.ids)), kind)
+            for line, (dim, s) in enumerate(np.argwhere(self.real)):
+                a, b = self.cuts[dim][s], self.cuts[dim][s + 1]
+                self.tables[kind][0, line, self.rows[dim][a:b]] = self.values[dim][a:b] - self.values[dim][0]
+                self.tables[kind][1, line, self.rows[dim][a:b]] = 1
+        return self.tables[kind]
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows whose id isn't `own`, by score, then id."""
+        return self.search_all(query[None], k, [own])[0]
+
+    def search_all(self, queries: np.ndarray, k: int, owns: list[int | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The answers to many queries; `TOGETHER` of them have a line of accumulators each, so a segment's rows are read once for them."""
         n, d = self.vectors.shape
-        if self.most >= 2**31 or 2 * self.most * max(1, d) * int(np.abs(query.astype(object)).max(initial=0)) >= _LONG:
-            return self._plain(query, k, own)
-        plan, rest = [], []
-        for dim in range(d):
-            q = int(query[dim])
-            if q == 0 or n == 0:
-                continue
-            value, cut = self.values[dim], self.cuts[dim]
-            low = min(q * int(value[0]), q * int(value[-1]))
-            best = [max(q * int(value[a]), q * int(value[b - 1])) - low for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            order = range(len(best)) if q < 0 else range(len(best) - 1, -1, -1)
-            for s, after in zip(order, [*list(order)[1:], None], strict=True):
-                plan.append((best[s], dim, s, q, low, best[after] if after is not None else 0))
-            rest.append(best[order[0]])
-        plan.sort(key=lambda p: (-p[0], p[1]))
-        # acc: a row's contributions so far, each beyond its dimension's least, so it is a lower bound of that sum;
-        # bound: the most that the unprocessed segments can still add to any row
-        acc, bound = np.zeros(n, np.int64), sum(rest)
-        ask = {int(len(plan) * part) for part in PROOFS}
-        members = None
-        for step, (gain, dim, s, q, low, after) in enumerate(plan):
-            if step in ask and n > 4 * k:
-                members = self._possible(acc, bound, k, own)
-                if len(members) * 20 <= n:
-                    break
-                members = None
-            a, b = self.cuts[dim][s], self.cuts[dim][s + 1]
-            acc[self.rows[dim][a:b]] += q * self.values[dim][a:b] - low
-            bound += after - gain
-        if members is None:
-            members = self._possible(acc, 0, k, own)
-        ids, scores = self.ids[members], self.vectors[members] @ query
-        order = np.lexsort((ids, -scores))[:k]
-        return ids[order], scores[order]
+        out: list = [None] * len(queries)
+        fits = []
+        for i, query in enumerate(queries):
+            top = 4 * self.most * max(1, d) * int(np.abs(query.astype(object)).max(initial=0))
+            if self.most >= 2**31 or top >= _LONG:
+                out[i] = self._plain(query, k, owns[i])
+            else:
+                fits.append((i, top))
+        for part in (fits[j : j + TOGETHER] for j in range(0, len(fits), TOGETHER)):
+            which = [i for i, _ in part]
+            most = max(top for _, top in part)
+            kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # whole numbers, all sums are exact
+            for i, members in zip(which, self._members(queries[which], k, [owns[i] for i in which], kind), strict=True):
+                ids, scores = self.ids[members], self.vectors[members] @ queries[i]
+                order = np.lexsort((ids, -scores))[:k]
+                out[i] = ids[order], scores[order]
+        return out
+
+    def _members(self, queries: np.ndarray, k: int, owns: list[int | None], kind: type) -> list[np.ndarray]:
+        """Rows that can be among the k best of each query, after its segments of highest impact or, without a proof, all."""
+        n, m = len(self.ids), len(queries)
+        q = queries[:, : len(self.cuts), None]
+        span = (self.largest.max(1, initial=-_LONG, where=self.real) - self.least.min(1, initial=_LONG, where=self.real))[:, None] if n else np.zeros((len(self.cuts), 1), np.int64)
+        # a contribution beyond its dimension's least is q times what the value is above the least one, plus `lift`; a segment's
+        # impact is the largest, `place` its place among its query's segments
+        lift = np.where(q < 0, -q * span, 0)
+        above = np.where(q > 0, self.largest, self.least) - self.least.min(1, initial=_LONG, where=self.real)[:, None]
+        real = self.real & (q != 0)
+        gain = np.where(real, q * np.where(self.real, above, 0) + lift, -1)
+        order, place = np.argsort(-gain.reshape(m, -1), axis=1, kind="stable"), np.empty((m, gain[0].size), np.int64)
+        np.put_along_axis(place, order, np.arange(gain[0].size)[None], axis=1)
+        place, total = place.reshape(gain.shape), real.sum((1, 2))
+        # acc: a row's contributions so far, so it is a lower bound of their sum
+        acc, done = np.zeros((m, n), kind), np.zeros(gain.shape, bool)
+        found: list = [None] * m
+        proven = np.full(m, len(PROOFS))
+        for proof in range(self.begin if n > 4 * k else len(PROOFS), len(PROOFS) + 1):
+            todo = np.array([i for i in range(m) if found[i] is None])
+            new = real[todo] & ~done[todo] & (place[todo] < np.floor(total[todo] * (*PROOFS, 1)[proof])[:, None, None])
+            done[todo] |= new
+            for line, weight in zip(self.table(kind), (q[todo], lift[todo]), strict=True):
+                acc[todo] += np.where(new, weight, 0)[:, self.real].astype(kind) @ line
+            # the most that the unprocessed segments can still add to any row
+            bound = np.where(real & ~done, gain, 0).max(2, initial=0).sum(1)
+            for i in todo.tolist():
+                members = self._possible(acc[i], int(bound[i]), k, owns[i])
+                if proof == len(PROOFS) or len(members) * 20 <= n:
+                    found[i], proven[i] = members, proof
+            if all(f is not None for f in found):
+                break
+        self.begin = max(0, int(np.median(proven)) - (self.served % 8 == 0))
+        self.served += 1
+        return found
 
     def _plain(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Whole numbers of any size, for components that 64 bits cannot multiply and add."""
@@ -149,8 +190,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         if len(sides) == 2:
             (ids, vs), (qids, qs) = sides[0], sides[1]
             index = ImpactIndex(ids, vs.reshape(len(ids), -1))
-            for qid, q in zip(qids.tolist(), qs.reshape(len(qids), -1), strict=True):
-                found.extend((qid, i, s) for i, s in zip(*(x.tolist() for x in index.search(q, k, qid)), strict=True))
+            answers = index.search_all(qs.reshape(len(qids), -1), k, qids.tolist())
+            for qid, answer in zip(qids.tolist(), answers, strict=True):
+                found.extend((qid, i, s) for i, s in zip(*(x.tolist() for x in answer), strict=True))
         return pa.table({c: pa.array([f[n] for f in found], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
 
     found = blocks.unionByName(batches).groupBy("dim", "block", "batch").applyInArrow(search, out)
