@@ -85,3 +85,12 @@ def test_a_vocabulary_that_merging_does_not_reach_is_refused(tmp_path):
     (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % k for k, p in enumerate(lines)))
     with pytest.raises(ValueError):
         bytepairs.Vocabulary.load(str(tmp_path / "ranks"))
+
+
+def test_two_bytes_begin_as_what_they_make(spark, vocabulary):
+    """The states that a fold begins with are literals: each byte before each other one, and before none."""
+    states = bytepairs.literal_map(vocabulary)[0]
+    found = spark.range(1).select(states.alias("s")).first().s
+    single = {p[0]: i for i, p in enumerate(vocabulary.pieces) if len(p) == 1}
+    none = 2**31 - 1
+    assert found == [vocabulary.pairs.get((single[a], single.get(b)), none) << 32 | single[a] for a in range(256) for b in range(257)]

@@ -86,44 +86,44 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 
 def literal_map(vocabulary: Vocabulary) -> tuple[Column, Column]:
-    """The ids of single bytes, and in buckets what each pair makes (in the upper half of a long), as literals."""
+    """As literals: the state of each byte before each other one (or none, 256), and in buckets what each pair makes (in the upper half of a long)."""
     single = {p[0]: i for i, p in enumerate(vocabulary.pieces) if len(p) == 1}
+    made = lambda a, b: vocabulary.pairs.get((single[a], single.get(b))) if b < 256 else None
+    states = [(_NONE if (r := made(a, b)) is None else r << 32) | single[a] for a in range(256) for b in range(257)]
     buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for (a, b), rank in vocabulary.pairs.items():
-        buckets[(15 * a + b) % BUCKETS][a << 32 | b] = rank << 32
+        buckets[(a << 32 | b) % BUCKETS][a << 32 | b] = rank << 32
     table = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
-    return F.split(F.lit(",".join(str(single[b]) for b in range(256))), ",").cast("array<bigint>"), table
+    return F.split(F.lit(",".join(map(str, states))), ",").cast("array<bigint>"), table
 
 
 def fold(word: Column, vocabulary: Vocabulary) -> Column:
     """array<int>, the ids of a word that is given as an array of byte values.
 
     The state is an array of longs: in the lower half a token, in the upper half what it makes with the next.  A token of no
-    vocabulary stands at either end.
+    vocabulary stands at either end.  Spark interprets lambdas node by node, so a step has as few as it can: it looks up
+    the new token with both neighbours and lays the rest around these.
     """
-    single, table = literal_map(vocabulary)
+    states, table = literal_map(vocabulary)
     bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  a value that is computed once
-    nobody, none, low = F.lit(_NONE >> 32).cast("long"), F.lit(_NONE).cast("long"), F.lit(_LOW).cast("long")
+    none, low, high = (F.lit(x).cast("long") for x in (_NONE, _LOW, _NONE))
+    end = F.array(F.lit(_NONE | _NONE >> 32).cast("long"))
 
-    def state(a: Column, b: Column) -> Column:
-        made = F.get(table, ((a * 15 + b) % BUCKETS).cast("int"))[F.shiftleft(a, 32).bitwiseOR(b)]
-        return F.coalesce(made, none).bitwiseOR(a)
-
-    def begin(ids: Column) -> Column:
-        return F.concat(F.array(none.bitwiseOR(nobody)), F.zip_with(ids, F.concat(F.slice(ids, F.lit(2), F.size(ids)), F.array(nobody)), state), F.array(none.bitwiseOR(nobody)))
+    def made(pair: Column) -> Column:
+        return F.coalesce(F.get(table, (pair % BUCKETS).cast("int"))[pair], none)
 
     def step(q: Column, _: Column) -> Column:
-        def at(m: Column) -> Column:
-            def merge(i: Column) -> Column:
-                made, left, right = F.shiftright(m, 32), F.get(q, i - 2).bitwiseAND(low), F.get(q, i + 1).bitwiseAND(low)
-                return F.flatten(F.array(F.slice(q, F.lit(1), i - 2), F.array(state(left, made), state(made, right)), F.slice(q, i + 2, F.size(q))))
-
-            return F.when(m >= none, q).otherwise(bound(F.array_position(q, m).cast("int"), merge))
+        def at(i: Column) -> Column:
+            left, own, right = F.get(q, i - 2), F.get(q, i - 1), F.get(q, i + 1)
+            token = F.shiftright(own, 32)
+            new = F.array(made(F.shiftleft(left, 32).bitwiseOR(token)).bitwiseOR(left.bitwiseAND(low)), made(own.bitwiseAND(high).bitwiseOR(right.bitwiseAND(low))).bitwiseOR(token))
+            return F.when(own >= none, q).otherwise(F.concat(F.slice(q, F.lit(1), i - 2), new, F.slice(q, i + 2, F.size(q))))
 
-        return bound(F.array_min(q), at)
+        return bound(F.array_position(q, F.array_min(q)).cast("int"), at)
 
-    start = bound(F.transform(word, lambda b: F.get(single, b)), begin)
-    ids = F.aggregate(word, start, step, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: x.bitwiseAND(low).cast("int")))
+    rest = F.slice(word, F.lit(2), F.size(word))
+    start = F.concat(end, F.zip_with(word, F.concat(rest, F.array(F.lit(256))), lambda a, b: F.get(states, a * 257 + b)), end)
+    ids = F.aggregate(rest, start, step, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: x.bitwiseAND(low).cast("int")))
     return F.when(F.size(word) > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
