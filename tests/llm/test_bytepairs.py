@@ -94,3 +94,29 @@ def test_two_bytes_begin_as_what_they_make(spark, vocabulary):
     single = {p[0]: i for i, p in enumerate(vocabulary.pieces) if len(p) == 1}
     none = 2**31 - 1
     assert found == [vocabulary.pairs.get((single[a], single.get(b)), none) << 32 | single[a] for a in range(256) for b in range(257)]
+
+
+def test_ranks_that_words_hold(vocabulary):
+    """Every piece of two bytes or more among a word's bytes, ascending, each once; by all of its substrings."""
+    ranks = {vocabulary.pieces[r]: r for r in vocabulary.pairs.values()}
+    rng = random.Random(5)
+    words = [" the", "Hello", "aaaaaaa", "x", "数字", "...", "====" * 40, *("".join(rng.choices(" etaoinsé數", k=rng.randrange(1, 12))) for _ in range(300))]
+    words = [b"", *(w.encode() for w in words), b""]
+    want = [sorted({ranks[w[a:b]] for a in range(len(w)) for b in range(a + 2, len(w) + 1) if w[a:b] in ranks}) for w in words]
+    known = bytepairs.prefixes(vocabulary)
+    assert bytepairs.held(words, known).to_pylist() == want and bytepairs.held([], known).to_pylist() == []
+    bare = bytepairs.Vocabulary(tuple(bytes([b]) for b in range(256)), {})
+    assert bytepairs.held(words, bytepairs.prefixes(bare)).to_pylist() == [[] for _ in words]
+
+
+def test_a_step_of_the_fold_is_one_replacement(spark, sf_dir):
+    """The query folds over ranks, each by one replacement; it doesn't look for the lowest pair at every step."""
+    plan = queries.op11_bytepairs(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert "replace(" in plan and "aggregate(" in plan and "array_min" not in plan and "array_position" not in plan
+
+
+def test_characters_of_tokens():
+    import pyarrow as pa
+
+    ids = [0, 44, 255, 0xD800 - 257, 0xD800 - 256, 0xD800, 0xDFFF, 0xFFFF, 200_000]
+    assert bytepairs.tokens(pa.array(["".join(map(bytepairs.char, ids[:4])), "", "".join(map(bytepairs.char, ids[4:]))])).tolist() == ids

@@ -2,12 +2,17 @@
 
 A text is cut by the vocabulary's pattern; each match, a word, is merged on its own: of all adjacent tokens the pair with
 the lowest rank becomes one token, leftmost first, until no pair has a rank.  In a vocabulary that was made by merging,
-every token has one last merge, and no other pair of tokens that spell it is ever merged.  So a literal map from pairs of
-tokens to the token that they make, which is its rank, is all that the fold needs.
+every token has one last merge, and no other pair of tokens that spell it is ever merged.  So a literal map between pairs of
+tokens and the token that they make, which is its rank, is all that a fold needs.  What a merge makes has a higher rank than
+its parts, so all merges of one rank come before all of the next, and a rank that was passed never comes again.
+
+The query's fold, `ranked`, is over the ranks in ascending order, of the pieces that a word holds anywhere among its bytes
+(no other piece can be made): each step replaces a pair of tokens by what it makes, in a string that has a character for each
+token.  `fold` is for columns of byte arrays: it looks for the pair of lowest rank itself.
 
 One pass without a shuffle: workers cut texts and number the distinct words of a task (a new numbering begins after `WORDS`
-words, so memory is bounded), each document's row carries the bytes of the words that are new with it, Spark folds these,
-and workers lay the ids of each document side by side; decoding concatenates the binary pieces of the ids.
+words, so memory is bounded), each document's row carries the bytes of the words that are new with it and the ranks to try,
+Spark folds these, and workers lay the ids of each document side by side; decoding concatenates the binary pieces of the ids.
 
 The fold takes time with the square of a word, so words of over `WINDOW` bytes are folded in windows that overlap.  Two
 windows that have a token in common, at the same place, continue each other there: a row of tokens is right if all its
@@ -29,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +45,8 @@ WORDS, WINDOW, OVERLAP, BUCKETS = 250_000, 512, 256, 4_093
 #: White space of the pattern's `\\s`.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE, _LOW = (2**31 - 1) << 32, 2**32 - 1
+#: A token's character is its id and this, beyond surrogates.
+FIRST, SURROGATES, HIDDEN = 256, 0xD800, 0x800
 
 
 @dataclass(frozen=True)
@@ -97,6 +105,69 @@ def literal_map(vocabulary: Vocabulary) -> tuple[Column, Column]:
     return F.split(F.lit(",".join(map(str, states))), ",").cast("array<bigint>"), table
 
 
+def char(token: int) -> str:
+    """The character that stands for a token."""
+    return chr(token + FIRST if token + FIRST < SURROGATES else token + FIRST + HIDDEN)
+
+
+def tokens(words: pa.StringArray) -> np.ndarray:
+    """int32, the tokens that the characters of all words stand for."""
+    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32)
+    return np.where(points < SURROGATES, points, points - HIDDEN) - np.int32(FIRST)
+
+
+def prefixes(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What pieces of two bytes or more begin with, numbered: the number by two bytes (-1: none); (number << 9 | next byte), sorted, and the numbers there; the piece's rank by number (-1: only a beginning)."""
+    number: dict[bytes, int] = {}
+    for rank in vocabulary.pairs.values():
+        for k in range(2, len(vocabulary.pieces[rank]) + 1):
+            number.setdefault(vocabulary.pieces[rank][:k], len(number))
+    two, ranks = np.full(1 << 18, -1, np.int64), np.full(len(number), -1, np.int64)
+    for p, k in number.items():
+        if len(p) == 2:
+            two[p[0] << 9 | p[1]] = k
+    ranks[[number[vocabulary.pieces[r]] for r in vocabulary.pairs.values()]] = list(vocabulary.pairs.values())
+    longer = sorted((number[p[:-1]] << 9 | p[-1], k) for p, k in number.items() if len(p) > 2)
+    keys, to = np.array(longer, np.int64).reshape(-1, 2).T.copy()
+    return two, keys, to, ranks
+
+
+def held(words: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> pa.ListArray:
+    """For each word the ranks of the pieces of two bytes or more that it holds, ascending; `known`: `prefixes`."""
+    two, keys, to, ranks = known
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    which = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(which)) + which
+    flat = np.full(len(which) + len(words), 256, np.int64)  # no byte stands after each word
+    flat[at] = np.frombuffer(b"".join(words), np.uint8)
+    place, found, size = two[flat[at] << 9 | flat[at + 1]], [], 2
+    while True:
+        there = np.nonzero(place >= 0)[0]
+        if not len(there):
+            break
+        at, which, place = at[there], which[there], place[there]
+        own = ranks[place]
+        pieces = np.nonzero(own >= 0)[0]
+        found.append(which[pieces] << 32 | own[pieces])
+        if not len(keys):
+            break
+        key = place << 9 | flat[at + size]
+        near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        place = np.where(keys[near] == key, to[near], -1)
+        size += 1
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+    every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]  # np.unique takes 30 times as long
+    ends = np.cumsum(np.append(0, np.bincount(every >> 32, minlength=len(words))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((every & _LOW).astype(np.int32)))
+
+
+def ranked(words: Column, ranks: Column, vocabulary: Vocabulary) -> Column:
+    """array<string>, words after all merges; a word has a character for each token, its ranks (an array for each word) ascend."""
+    made = dict.fromkeys(range(len(vocabulary.pieces)), ("", "")) | {r: (char(a) + char(b), char(r)) for (a, b), r in vocabulary.pairs.items()}
+    pairs, to = (F.split(F.lit(",".join(x[k] for x in made.values())), ",") for k in range(2))
+    return F.zip_with(words, ranks, lambda word, own: F.aggregate(own, word, lambda q, r: F.replace(q, F.get(pairs, r), F.get(to, r))))
+
+
 def fold(word: Column, vocabulary: Vocabulary) -> Column:
     """array<int>, the ids of a word that is given as an array of byte values.
 
@@ -159,17 +230,21 @@ def stitched(parts: list[list[int]], sizes: list[int]) -> list[int] | None:
     return [i for _, i in out]
 
 
-def cut(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, codes, words, fresh): numbers of a document's words; the bytes of those that are new; whether numbers begin anew.
+def cut(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, codes, words, ranks, fresh): numbers of a document's words; those that are new, a character for each byte, and the ranks that they hold; whether numbers begin anew.
 
     A long word is minus the number of its windows and then their numbers.  Texts are cut after every stretch without white
     space first, where the pattern always cuts, so that it is matched once for a distinct stretch.
     """
     pattern = pattern_of(pattern)
+    single = {p[0]: char(i) for i, p in enumerate(vocabulary.pieces) if len(p) == 1}
+    shared = Shared(docs.sparkSession, (single, prefixes(vocabulary)), "bytepairs")
 
     def run(batches):
         import regex
 
+        chars, known_pieces = shared.value
+
         found = regex.compile(pattern).findall
         stretches, odd = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall, re.compile(f"[{SPACE}] (?:[{SPACE}]|\\Z)").search
         known: dict[str | bytes, int] = {}
@@ -216,13 +291,13 @@ def cut(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
                 new_ends.append(len(new))
                 starts.append(fresh)
                 fresh = False
-            values = pa.array(np.frombuffer(b"".join(new), np.uint8).astype(np.int32))
-            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, new)]), pa.int32()), values)
-            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())), pa.ListArray.from_arrays(pa.array(new_ends, pa.int32()), words), pa.array(starts)]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "codes", "words", "fresh"])
+            words = pa.array([w.decode("latin-1").translate(chars) for w in new], pa.string())
+            new_ends = pa.array(new_ends, pa.int32())
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())), *(pa.ListArray.from_arrays(new_ends, x) for x in (words, held(new, known_pieces))), pa.array(starts)]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "codes", "words", "ranks", "fresh"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, codes array<int>, words array<array<int>>, fresh boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, codes array<int>, words array<string>, ranks array<array<int>>, fresh boolean")
 
 
 class _Encoded:
@@ -231,9 +306,8 @@ class _Encoded:
     def __init__(self):
         self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
 
-    def add(self, words: pa.ListArray) -> None:
-        ids, offsets = words.flatten().to_numpy(zero_copy_only=False), words.offsets.to_numpy()
-        sizes = offsets[1:] - offsets[:-1]
+    def add(self, words: pa.StringArray) -> None:
+        ids, sizes = tokens(words), pc.utf8_length(words).to_numpy()
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(sizes) + 1 > len(self.starts):
@@ -301,5 +375,5 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_c
                 columns |= {"ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *rows]))), "decoded": pa.array(texts, pa.binary())}
             yield pa.RecordBatch.from_pydict(columns | {"ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
-    folded = cut(docs, pattern, id_col, text_col).select(id_col, "codes", F.transform("words", lambda w: fold(w, vocabulary)).alias("words"), "fresh")
+    folded = cut(docs, vocabulary, pattern, id_col, text_col).select(id_col, "codes", ranked(F.col("words"), F.col("ranks"), vocabulary).alias("words"), "fresh")
     return folded.mapInArrow(run, schema)
