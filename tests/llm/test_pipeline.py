@@ -149,3 +149,22 @@ def test_near_texts_meet_without_copies_of_tiles(spark):
     near = {frozenset((r.a, r.b)) for r in found.collect()}
     assert all(bin(fps[a] ^ fps[b]).count("1") <= 12 for a, b in near)
     assert {frozenset((k, k + 300)) for k in range(300)} <= near
+
+
+def test_batches_are_small_and_memory_is_given_back(spark, sf_dir, monkeypatch):
+    """Stages with workers lower the texts of a batch, and a task ends by giving back what it freed."""
+    from tracemill.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    try:
+        for given, left in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(name, given)
+            corpus_pipeline.encode(spark, docs, sf_dir)
+            assert int(spark.conf.get(name)) == left
+    finally:
+        spark.conf.set(name, before)
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shared, fold, worker_cache
+from .common import Shared, fold, released, worker_cache
 
 UND = "und"
 #: N-grams in a profile, and letters in one stretch of counting (the longest key list held at once).
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
                 yield from rows()
         yield from rows()
 
-    counts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, gram long, n long")
+    counts = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col).mapInArrow(released(run), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # first the best of each of 16 slices of a language, then the best of those: no task gathers a language's n-grams
     total = total.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(16)))
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
             columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, pred_col, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

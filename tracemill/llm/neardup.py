@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shared, discard, materialize
+from .common import Shared, discard, materialize, released
 
 #: Fingerprints in a tile at most (16 bytes each), and comparisons above which a pair of tiles is cut more finely.
 TILE, SUB_TILED = 32_768, 16_000_000
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), "id long, fp long")
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle))], ["h"])
 
-    counted = keyed.filter(F.col("at") <= last).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = keyed.filter(F.col("at") <= last).select("text").mapInArrow(released(run), "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     rows = sorted((r.h, r.n) for r in counted.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect())
     return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
@@ -333,7 +333,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(middles, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "key", "fp", "n", "middle", "prefix"])
 
-    rows = materialize(keyed.mapInArrow(run, "id long, text_key long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
+    rows = materialize(keyed.mapInArrow(released(run), "id long, text_key long, key long, fp long, n long, middle double, prefix array<long>"), "prefixes")
     ids = materialize(rows.select("id", "text_key", "key"), "ids")
     repeated = not ids.groupBy("id", "key").count().filter("count > 1 and id is not null").isEmpty()
     # a set that stands once is its own representative; prefixes are shuffled only where a set is repeated
@@ -374,7 +374,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["key", "grams"])
 
-        sets = own.select("key", "text").mapInArrow(grams, "key long, grams array<long>")
+        sets = own.select("key", "text").mapInArrow(released(grams), "key long, grams array<long>")
         if repeated:
             sets = sets.groupBy("key").agg(F.first("grams").alias("grams"))
         sets = materialize(sets, "sets")
