@@ -202,6 +202,36 @@ def test_op1_head_and_tail_agree(spark, sf_dir, monkeypatch):
         assert r.base_score == pytest.approx(a[r.doc_id].base_score) and r.score == pytest.approx(a[r.doc_id].score)
 
 
+def test_op1_fitted_score_is_near_the_base_on_held_out_rows(spark, sf_dir):
+    """The second model, refitted and with whole words: finite on every row, near the base, and the same as learnt alone."""
+    rows = queries.op1_lattice(spark, sf_dir).collect()
+    held = [r for r in rows if r.held_out]
+    assert held and all(math.isfinite(r.fitted_score) and r.fitted_score < 0 for r in rows)
+    base = sum(r.base_score for r in held)
+    assert sum(r.fitted_score for r in held) > 1.3 * base
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = pieces.PieceModel.load(queries.tokenizer_path(spark, queries.PIECES))
+    alone = lattice.score(docs, lattice.learn(docs, model, ~queries.fold(docs.doc_id, 7, 2), rounds=1, whole_words=True))
+    assert {r.doc_id: r.score for r in alone.collect()} == {r.doc_id: pytest.approx(r.fitted_score, rel=1e-9) for r in rows}
+
+
+def test_op1_fitted_words_are_a_distribution(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c " + "é" * 600)], "doc_id long, text string")
+    more = spark.createDataFrame([(k, chr(k)) for k in range(97, 123)], "doc_id long, text string")
+    model = pieces.PieceModel.load(queries.tokenizer_path(spark, queries.PIECES))
+    both = lattice.extended(lattice.learn(docs, model, F.lit(True), beside=1), more)
+    plain, fitted = (lattice.extended(lattice.learn(docs, model, F.lit(True), **o), more) for o in ({}, {"rounds": 1, "whole_words": True}))
+    table = {r.word: r for r in both.words.collect()}
+    assert len(table) == 27 and sum(10**r.fitted for r in table.values()) + 10**both.end_log < 1
+    assert table["a"].fitted > table["b"].fitted > table["z"].fitted
+    assert {w: r.logp for w, r in table.items()} == {r.word: pytest.approx(r.logp) for r in plain.words.collect()}
+    assert {w: r.fitted for w, r in table.items()} == {r.word: pytest.approx(r.logp) for r in fitted.words.collect()}
+    empty = lattice.score(more, lattice.extended(lattice.learn(docs, model, F.lit(False), beside=1), more)).collect()
+    assert len(empty) == 26 and all(math.isfinite(r.fitted_score) and r.fitted_score < 0 for r in empty)
+
+
 def brute_top(rows, k=5):
     clip = lambda x: max(-(2**63), min(2**63 - 1, x))
     vs = [(i, [clip(math.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
