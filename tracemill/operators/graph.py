@@ -5,7 +5,7 @@ Sets come in long form: triggers (session, skill), reads (session, skill, ref),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.config import DEPGRAPH
@@ -13,6 +13,9 @@ from tracemill.storage import written
 
 #: Pairs of references and their owners that may be broadcast.
 FEW = 200_000
+#: Categories whose sets are the bits of one number, at most.
+MASKED = 62
+UNCATEGORIZED = "__uncategorized__"
 
 
 def read_rates(triggers: DataFrame, reads: DataFrame) -> DataFrame:
@@ -86,13 +89,41 @@ def jaccard_split(sessions: DataFrame, reads: DataFrame) -> DataFrame:
 
     sessions: (skill, session, category) where the skill triggered; reads: (skill, session, ref) of that skill's refs.
     """
-    cats = sessions.withColumn("category", F.coalesce("category", F.lit("__uncategorized__")))
+    cats = sessions.withColumn("category", F.coalesce("category", F.lit(UNCATEGORIZED)))
     sizes = cats.select("skill", "session", "category").distinct().groupBy("skill", "category").agg(F.count("session").alias("n"))
     refs = cats.join(reads, ["skill", "session"]).select("skill", "category", "ref").distinct()
     count = refs.groupBy("skill", "category").agg(F.count("*").alias("size"))
+    shared = refs.select("skill", "ref", F.col("category").alias("x")).join(refs.select("skill", "ref", F.col("category").alias("y")), ["skill", "ref"]).filter("x < y").groupBy("skill", "x", "y").agg(F.count("*").alias("both"))
+    return _split(sizes, count, shared)
+
+
+def category_bit(category: Column, categories: list[str]) -> Column:
+    """A number with one bit set, that of the place of a category among at most `MASKED`."""
+    named = F.coalesce(category, F.lit(UNCATEGORIZED))
+    return F.coalesce(*(F.when(named == c, F.lit(1 << i).cast("long")) for i, c in enumerate(categories)), F.lit(None).cast("long"))
+
+
+def jaccard_split_masked(rows: DataFrame) -> DataFrame:
+    """`jaccard_split` of rows (skill, session, ref, bit) that name all at once; `bit` is `category_bit`'s, so `MASKED` categories at most.
+
+    A ref's categories are the bits of one number: no ref meets itself, and what is left are counts by skill and number.
+    """
+    places = F.array(*(F.lit(i) for i in range(MASKED)))
+    has = lambda i: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0
+    # one row for each set of categories, written since each is read twice; an unknown ref counts in each category's size, but is never the same as another
+    in_sessions = written(rows.groupBy("skill", "session").agg(F.bit_or("bit").alias("mask")).groupBy("skill", "mask").agg(F.count("*").alias("k")), "sessions")
+    in_refs = written(rows.groupBy("skill", "ref").agg(F.bit_or("bit").alias("mask")).groupBy("skill", "mask", F.col("ref").isNotNull().alias("known")).agg(F.count("*").alias("k")), "refs")
+    each = lambda df: df.withColumn("of", F.filter(places, has)).withColumn("category", F.explode("of"))
+    sizes = each(in_sessions).groupBy("skill", "category").agg(F.sum("k").alias("n"))
+    count = each(in_refs).groupBy("skill", "category").agg(F.sum("k").alias("size"))
+    pairs = each(in_refs.filter("known")).withColumnRenamed("category", "x").withColumn("y", F.explode(F.filter("of", lambda y: y > F.col("x"))))
+    return _split(sizes, count, pairs.groupBy("skill", "x", "y").agg(F.sum("k").alias("both")))
+
+
+def _split(sizes: DataFrame, count: DataFrame, shared: DataFrame) -> DataFrame:
+    """From sessions (n) and refs (size) by skill and category, and the refs (both) that two categories x < y share."""
     sized = sizes.join(count, ["skill", "category"], "left").select("skill", "category", F.coalesce("size", F.lit(0)).alias("size"))
     x, y = sized.select("skill", F.col("category").alias("x"), F.col("size").alias("sx")), sized.select("skill", F.col("category").alias("y"), F.col("size").alias("sy"))
-    shared = refs.select("skill", "ref", F.col("category").alias("x")).join(refs.select("skill", "ref", F.col("category").alias("y")), ["skill", "ref"]).filter("x < y").groupBy("skill", "x", "y").agg(F.count("*").alias("both"))
     pairs = x.join(y, "skill").filter("x < y").join(shared, ["skill", "x", "y"], "left")
     both = F.coalesce("both", F.lit(0))
     union = F.col("sx") + F.col("sy") - both

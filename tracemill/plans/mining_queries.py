@@ -94,7 +94,7 @@ def d8_merge_map(spark, sf):
     return graph.merge_groups(nodes, e).withColumn("members", F.array_join("members", ","))
 
 
-_JACCARD = """s AS (SELECT CAST(s_nationkey AS VARCHAR) AS skill, l_orderkey AS session, o_orderpriority AS category, CAST(l_partkey % 50 AS VARCHAR) AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey)"""
+_JACCARD = """s AS (SELECT CAST(s_nationkey AS VARCHAR) AS skill, l_orderkey AS session, o_orderpriority AS category, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 @query(f"""WITH {_JACCARD}, z AS (SELECT skill, category, count(DISTINCT session) AS n FROM s GROUP BY ALL), f AS (SELECT DISTINCT skill, category, ref FROM s), k AS (SELECT skill, category, count(*) AS size FROM f GROUP BY ALL),
@@ -107,12 +107,20 @@ SELECT g.skill, categories, g.n, CASE WHEN categories >= 2 AND least >= 5 THEN j
 def d9_jaccard_split(spark, sf):
     from tracemill.functions.num import js_round
 
-    li = table(spark, sf, "lineitem")
+    li, su = table(spark, sf, "lineitem"), table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     n = li.count()
-    named = spread(li.join(table(spark, sf, "supplier"), li.l_suppkey == F.col("s_suppkey")).select("s_nationkey", "l_orderkey", "l_partkey"), n, "l_orderkey")
-    j = named.join(spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = j.select(F.col("s_nationkey").cast("string").alias("skill"), F.col("l_orderkey").alias("session"), F.col("o_orderpriority").alias("category"), (F.col("l_partkey") % 50).cast("string").alias("ref"))
-    return graph.jaccard_split(s.select("skill", "session", "category").distinct(), s.select("skill", "session", "ref").distinct()).withColumn("mean_jaccard", js_round(F.col("mean_jaccard"), 4))
+    few = F.broadcast if su.count() <= graph.FEW else (lambda df: df)
+    named = spread(li.join(few(su), li.l_suppkey == F.col("s_suppkey")).select(F.col("s_nationkey").alias("skill"), F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("ref")), n, "session")
+    od = table(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), F.col("o_orderpriority").alias("category"))
+    # the limit bounds what the driver gets: with more categories, all rows take the other form
+    found = [c for (c,) in od.select(F.coalesce("category", F.lit(graph.UNCATEGORIZED))).distinct().limit(graph.MASKED + 1).collect()]
+    if len(found) <= graph.MASKED:
+        od = od.select("session", graph.category_bit(F.col("category"), found).alias("bit"))
+        out = graph.jaccard_split_masked(named.join(spread(od, n, "session"), "session"))
+    else:
+        s = named.join(spread(od, n, "session"), "session")
+        out = graph.jaccard_split(s.select("skill", "session", "category").distinct(), s.select("skill", "session", "ref").distinct())
+    return out.withColumn("skill", F.col("skill").cast("string")).withColumn("mean_jaccard", js_round(F.col("mean_jaccard"), 4))
 
 
 @query("""SELECT p_brand AS brand, CAST(sum(length(p_name)) AS BIGINT) AS sum_desc, max(length(p_name)) AS merged_desc, (sum(length(p_name)) - max(length(p_name))) / 4e0 AS resident_savings,
